@@ -1,7 +1,7 @@
 """All oracle SQL strings, keyed like ``leadlens.plans.catalog.QUERIES``."""
 
-from oracle import sql_metrics
+from oracle import sql_leads, sql_metrics
 
 SQL: dict[str, str] = {}
-for _m in (sql_metrics,):
+for _m in (sql_metrics, sql_leads):
     SQL.update(_m.SQL)
