@@ -40,4 +40,4 @@ def entity_as_of():
 
 
 # Job modules register themselves on import.
-from leadlens.plans import jobs_leads, jobs_metrics  # noqa: E402,F401
+from leadlens.plans import jobs_conversations, jobs_leads, jobs_metrics  # noqa: E402,F401
