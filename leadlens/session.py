@@ -15,6 +15,8 @@ JOB_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # JSON.parse keeps the last of duplicate keys; so does the variant parser with this on.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

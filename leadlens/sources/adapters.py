@@ -129,7 +129,7 @@ def _sports(k: Column) -> Column:
     return e
 
 
-def reports(t: Tables) -> DataFrame:
+def reports(t: Tables, extra: tuple = ()) -> DataFrame:
     """One report per finished session, written at finish time."""
     l = t.lineitem.filter(F.col("l_linestatus") == "F")
     fin = _finished_at()
@@ -151,6 +151,7 @@ def reports(t: Tables) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("delivered"),
         F.when(F.col("l_returnflag") == "R", add_units("HOUR", F.lit(1), fin)).alias("delivered_at"),
         fin.alias("created_at"),
+        *extra,
     )
 
 
@@ -213,3 +214,61 @@ def funnel_events(t: Tables) -> DataFrame:
               .when(et == "click", "contact").when(et == "purchase", "delivered"))
     return e.filter(et.isin("signup", "view", "click", "purchase")) \
         .select(metric.alias("metric"), F.col("ts"))
+
+
+# Display forms the model writes for each level (normalized back by parse_report).
+_LEVEL_TEXT = {"kuchli": "KUCHLI daraja", "meyorda": "Me'yorda", "shakllanmoqda": "Shakllanmoqda"}
+
+
+def _level_json(c: Column) -> Column:
+    e = F.lit("null")
+    for k, v in _LEVEL_TEXT.items():
+        e = F.when(c == k, F.lit('"' + v + '"')).otherwise(e)
+    return e
+
+
+def report_replies(t: Tables) -> DataFrame:
+    """Raw model replies for each finished session's report.
+
+    Rendered from the report columns: headed sections with bullets and a
+    numbered list, a marker on its own line and one inline, then a fence
+    variant chosen by l_suppkey % 7: one fence; two (last wins); last invalid;
+    none; upper-case JSON tag; levels not an object; sports not an array.
+    """
+    j = reports(t, extra=((F.col("l_suppkey") % 7).alias("variant"),))
+    sports_json = F.concat(F.lit("["), F.array_join(F.transform("sports", lambda s: F.concat(F.lit('"'), s, F.lit('"'))), ", "), F.lit("]"))
+    levels_json = F.concat(F.lit('{"mantiq": '), _level_json(F.col("level_logic")),
+                           F.lit(', "psixologiya": '), _level_json(F.col("level_psych")),
+                           F.lit(', "harakat": '), _level_json(F.col("level_activity")), F.lit("}"))
+    good = F.concat(F.lit('{"levels": '), levels_json, F.lit(', "sports": '), sports_json, F.lit("}"))
+    fence = lambda body, tag="json": F.concat(F.lit("```" + tag + "\n"), body, F.lit("\n```"))
+    first = F.lit('```json\n{"levels": {"mantiq": "kuchli"}, "sports": ["X"]}\n```\n\n')
+    v = F.col("variant")
+    tail = (F.when(v == 0, fence(good))
+            .when(v == 1, F.concat(first, fence(good)))
+            .when(v == 2, F.concat(fence(good), F.lit("\n\n"), fence(F.lit('{"levels": {"mantiq": "kuchli"},}'))))
+            .when(v == 3, F.lit(""))
+            .when(v == 4, fence(good, "JSON"))
+            .when(v == 5, fence(F.concat(F.lit('{"levels": "kuchli", "sports": '), sports_json, F.lit("}"))))
+            .otherwise(fence(F.concat(F.lit('{"levels": '), levels_json, F.lit(', "sports": "Futbol"}')))))
+    body = F.concat(
+        F.lit("[YAKUN: MANTIQ]\n## Xulosa\nMashg'ulot "), F.col("session_id"), F.lit(" yakunlandi.\n\n"),
+        F.lit("## Kuchli tomonlar\n- **Mantiq** — "), F.coalesce("level_logic", F.lit("-")),
+        F.lit("\n- **Psixologiya** — "), F.coalesce("level_psych", F.lit("-")),
+        F.lit("\n\n## Tavsiyalar\n1. Kitob o'qish\n2. Sport: "), F.array_join("sports", ", "),
+        F.lit("\nRahmat! [YAKUN: HARAKAT]\n"), tail)
+    return j.select("session_id", "child_id", "created_at", "partial", body.alias("raw_text"))
+
+
+def report_attempts(t: Tables) -> DataFrame:
+    """Report inserts as they arrive: every finished session once, and a
+    concurrent second attempt for return flag 'A' (earlier for odd line
+    numbers, same instant for even ones)."""
+    l = t.lineitem.filter(F.col("l_linestatus") == "F")
+    fin = _finished_at()
+    base = l.select(_session_id().alias("session_id"), F.md5(_session_id()).alias("share_token"),
+                    fin.alias("created_at"))
+    retry = l.filter(F.col("l_returnflag") == "A").select(
+        _session_id().alias("session_id"), F.md5(F.concat(F.lit("retry-"), _session_id())).alias("share_token"),
+        F.when(F.col("l_linenumber") % 2 == 1, add_units("SECOND", F.lit(-1), fin)).otherwise(fin).alias("created_at"))
+    return base.unionByName(retry)
