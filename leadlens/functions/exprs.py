@@ -65,19 +65,18 @@ def parse_int_prefix(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Phone numbers
 # ---------------------------------------------------------------------------
+_NATIONAL = r"^(?:998|0)?([0-9]{9})$"
+
+
 def normalize_phone(c: Column) -> Column:
     """Raw phone text -> +998XXXXXXXXX or NULL.
 
-    Keep digits; empty -> NULL; drop one leading 00; then 12 digits starting
-    998, or 9 digits, or 10 digits starting 0; anything else NULL.
+    Keep digits; drop one leading 00; then accept 998 + 9 digits, 9 digits,
+    or 0 + 9 digits — anything else (including empty) is NULL. Two regex
+    passes, so the expression stays small when it is composed further.
     """
-    d0 = F.regexp_replace(c.cast("string"), "[^0-9]", "")
-    d = F.when(d0.startswith("00"), F.substring(d0, 3, 1 << 30)).otherwise(d0)
-    return (F.when(d0 == "", F.lit(None).cast("string"))
-            .when((F.length(d) == 12) & d.startswith("998"), F.concat(F.lit("+"), d))
-            .when(F.length(d) == 9, F.concat(F.lit("+998"), d))
-            .when((F.length(d) == 10) & d.startswith("0"), F.concat(F.lit("+998"), F.substring(d, 2, 9)))
-            .otherwise(F.lit(None).cast("string")))
+    d = F.regexp_replace(F.regexp_replace(c.cast("string"), "[^0-9]", ""), "^00", "")
+    return F.when(d.rlike(_NATIONAL), F.regexp_replace(d, _NATIONAL, "+998$1"))
 
 
 _E164_UZ = r"^\+998([0-9]{2})([0-9]{3})([0-9]{2})([0-9]{2})\z"

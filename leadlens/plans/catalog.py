@@ -40,4 +40,5 @@ def entity_as_of():
 
 
 # Job modules register themselves on import.
-from leadlens.plans import jobs_conversations, jobs_leads, jobs_metrics, jobs_reports  # noqa: E402,F401
+from leadlens.plans import (jobs_conversations, jobs_identity, jobs_leads, jobs_metrics,  # noqa: E402,F401
+                            jobs_reports)

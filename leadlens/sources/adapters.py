@@ -28,8 +28,11 @@ def add_units(unit: str, n: Column, ts: Column) -> Column:
 
 
 def _phone_raw(key: Column) -> Column:
-    """Five spellings of one national number plus NULL and an invalid value."""
-    n = F.lpad(key.cast("string"), 9, "9")
+    """Five spellings of one national number plus NULL and an invalid value.
+
+    The national number is '9' + the key zero-padded to 8 digits: unique per key.
+    """
+    n = F.concat(F.lit("9"), F.lpad(key.cast("string"), 8, "0"))
     styled = F.concat(F.lit("+998 ("), F.substring(n, 1, 2), F.lit(") "), F.substring(n, 3, 3),
                       F.lit("-"), F.substring(n, 6, 2), F.lit("-"), F.substring(n, 8, 2))
     r = key % 6
@@ -272,3 +275,96 @@ def report_attempts(t: Tables) -> DataFrame:
         _session_id().alias("session_id"), F.md5(F.concat(F.lit("retry-"), _session_id())).alias("share_token"),
         F.when(F.col("l_linenumber") % 2 == 1, add_units("SECOND", F.lit(-1), fin)).otherwise(fin).alias("created_at"))
     return base.unionByName(retry)
+
+
+def lead_patches(t: Tables) -> DataFrame:
+    """Admin patches: one per urgent order, for its customer. Status text by
+    order status: a label, a padded mixed-case enum, an unknown word; notes
+    for some, long enough to be cut for others."""
+    o = t.orders.filter(F.col("o_orderpriority") == "1-URGENT")
+    k = F.col("o_orderkey")
+    st = F.col("o_orderstatus")
+    text = F.when(st == "F", F.lit("Yozildi")).when(st == "O", F.lit(" CONTACTED ")).otherwise(F.lit("noma'lum"))
+    notes = (F.when(k % 3 == 0, F.lit(None).cast("string"))
+             .when(k % 3 == 1, F.concat(F.lit("qo'ng'iroq "), k.cast("string")))
+             .otherwise(F.repeat(F.lit("x"), (k % 5000).cast("int"))))
+    return o.select(k.alias("patch_id"), F.col("o_custkey").alias("parent_id"),
+                    F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise(text).alias("lead_status_text"),
+                    notes.alias("admin_notes"), F.col("o_orderdate").alias("ts"))
+
+
+def turn_log(t: Tables) -> DataFrame:
+    """LLM calls not yet folded into the session counters: a conversation turn
+    for open sessions, a report call (no turn) for finished ones."""
+    l = t.lineitem
+    fin = F.col("l_linestatus") == "F"
+    return l.select(_session_id().alias("session_id"),
+                    F.lit(100).cast("long").alias("input_tokens"), F.lit(200).cast("long").alias("output_tokens"),
+                    (~fin).alias("inc_turn"),
+                    (~fin & (F.col("l_suppkey") % 3 == 0)).alias("m_mantiq"),
+                    (~fin & (F.col("l_suppkey") % 3 == 1)).alias("m_psixologiya"),
+                    (~fin & (F.col("l_suppkey") % 3 == 2)).alias("m_harakat"))
+
+
+def delivery_updates(t: Tables) -> DataFrame:
+    """Bot webhook updates as JSON text: '/start <token>' for reports not yet
+    delivered (some twice), a greeting without a token, and unknown tokens."""
+    l = t.lineitem.filter(F.col("l_linestatus") == "F")
+    fin = _finished_at()
+    sid = _session_id()
+    k = F.col("l_suppkey") % 4
+    text = (F.when(k == 0, F.concat(F.lit("/start "), F.md5(sid)))
+            .when(k == 1, F.concat(F.lit("  /start   "), F.md5(sid), F.lit(" ")))
+            .when(k == 2, F.lit("salom"))
+            .otherwise(F.concat(F.lit("/start "), F.md5(F.concat(F.lit("gone-"), sid)))))
+    at = add_units("HOUR", F.lit(2), fin)
+    upd = F.to_json(F.struct(F.col("l_orderkey").alias("update_id"),
+                             F.struct(F.struct(F.col("l_partkey").alias("id")).alias("chat"),
+                                      text.alias("text"),
+                                      F.unix_timestamp(at.cast("timestamp")).alias("date")).alias("message")))
+    first = l.filter(F.col("l_returnflag") != "R").select(upd.alias("update_json"))
+    again = l.filter((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1)).select(
+        F.to_json(F.struct(F.col("l_orderkey").alias("update_id"),
+                           F.struct(F.struct(F.col("l_partkey").alias("id")).alias("chat"), text.alias("text"),
+                                    F.unix_timestamp(add_units("DAY", F.lit(1), at).cast("timestamp")).alias("date"))
+                           .alias("message"))).alias("update_json"))
+    return first.unionByName(again)
+
+
+def call_log(t: Tables) -> DataFrame:
+    """Model calls with their HTTP outcome (one per session)."""
+    l = t.lineitem
+    k = F.col("l_suppkey") % 10
+    status = (F.when(k == 0, 429).when(k == 1, 503).when(k == 2, 402).when(k == 3, 504).when(k == 4, 400)
+              .otherwise(200))
+    flag = F.col("l_returnflag")
+    model = (F.when(flag == "A", "claude-sonnet-4-6").when(flag == "N", "anthropic/claude-sonnet-4.6")
+             .otherwise("claude-haiku-4-5-20251001"))
+    return l.select(model.alias("model"), F.col("l_shipdate").alias("ts"), status.cast("int").alias("status"),
+                    (k == 5).alias("request_error"), (k == 6).alias("choice_error"), (k == 7).alias("empty_text"))
+
+
+def session_requests(t: Tables) -> DataFrame:
+    """New-session form posts: one per order, with every rejection branch."""
+    o = t.orders
+    k = F.col("o_orderkey")
+    r = k % 11
+    nick = (F.when(r == 1, F.lit("   ")).when(r == 2, F.repeat(F.lit("a"), 61))
+            .otherwise(F.concat(F.lit(" kid"), (k % 100).cast("string"), F.lit(" "))))
+    grade = (F.when(r == 3, F.lit("5")).when(r == 4, F.lit("x")).when(r == 5, F.lit("3abc"))
+             .otherwise(F.substring("o_orderpriority", 1, 1)))
+    age = (F.when(r == 6, F.lit("2")).when(r == 7, F.lit("")).when(r == 8, F.lit(None).cast("string"))
+           .otherwise((k % 10 + 5).cast("string")))
+    return o.select(k.alias("request_id"), (F.col("o_orderstatus") != "P").alias("consent"),
+                    nick.alias("nickname"), grade.alias("grade"), age.alias("age"),
+                    F.when(r == 9, F.repeat(F.lit("g"), 310)).otherwise(F.lit(" matematika ")).alias("goal"),
+                    F.when(r == 10, F.lit("  ")).otherwise(F.concat(F.lit("izoh "), k.cast("string"))).alias("notes"))
+
+
+def erasure_requests(t: Tables) -> DataFrame:
+    """Erasure requests: customers with a negative balance, plus ids that
+    match no parent (rejected as not found)."""
+    c = t.customer.filter(F.col("c_acctbal") < 0)
+    known = c.select(F.col("c_custkey").alias("parent_id"))
+    unknown = c.filter(F.col("c_acctbal") < -900).select((F.col("c_custkey") + F.lit(10 ** 9)).alias("parent_id"))
+    return known.unionByName(unknown)

@@ -20,7 +20,7 @@ def norm_phone(raw: str) -> str:
 
 
 def phone_raw(key: str) -> str:
-    n = f"lpad(CAST({key} AS VARCHAR), 9, '9')"
+    n = f"('9' || lpad(CAST({key} AS VARCHAR), 8, '0'))"
     styled = (f"'+998 (' || substr({n},1,2) || ') ' || substr({n},3,3) || '-' || substr({n},6,2)"
               f" || '-' || substr({n},8,2)")
     return (f"(CASE {key} % 6 WHEN 0 THEN NULL WHEN 1 THEN {styled} WHEN 2 THEN {n} "
