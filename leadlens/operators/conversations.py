@@ -169,3 +169,29 @@ def minimized_llm_view(children: DataFrame) -> DataFrame:
 
 def grade_bands(children: DataFrame) -> DataFrame:
     return children.select("id", "grade", grade_band(F.col("grade")).alias("band"))
+
+
+def resume_documents(sessions: DataFrame, children: DataFrame, messages: DataFrame,
+                     reports: DataFrame) -> DataFrame:
+    """One resume document per session: child, ordered messages, progress,
+    done, turn_count and the report link (or null). Messages are grouped per
+    session before the join (a transcript is bounded by the turn cap)."""
+    msgs = (messages.groupBy(F.col("session_id").cast("string").alias("m_sid"))
+            .agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "role", "content", "meta"))).alias("m")))
+    c = children.select(F.col("id").alias("c_id"), "nickname", "grade", "age", "goal", "notes")
+    r = reports.select(F.col("session_id").alias("r_sid"), "share_token", "partial")
+    j = (sessions.join(c, sessions.child_id == c.c_id, "left")
+         .join(r, sessions.id == r.r_sid, "left")
+         .join(msgs, sessions.id == msgs.m_sid, "left"))
+    done = F.col("done_mantiq") & F.col("done_psixologiya") & F.col("done_harakat")
+    doc = F.struct(
+        F.struct("nickname", "grade", "age", "goal", "notes").alias("child"),
+        F.transform(F.coalesce("m", F.array()), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"),
+                                                                   x["meta"].alias("meta"))).alias("messages"),
+        F.col("status"),
+        F.struct(F.col("done_mantiq").alias("mantiq"), F.col("done_psixologiya").alias("psixologiya"),
+                 F.col("done_harakat").alias("harakat")).alias("progress"),
+        done.alias("done"), F.col("turn_count"),
+        F.when(F.col("share_token").isNotNull(),
+               F.struct(F.col("share_token"), F.col("partial"))).alias("report"))
+    return j.select(F.col("id").alias("session_id"), F.to_json(doc).alias("doc"))

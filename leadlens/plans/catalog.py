@@ -41,4 +41,4 @@ def entity_as_of():
 
 # Job modules register themselves on import.
 from leadlens.plans import (jobs_conversations, jobs_identity, jobs_leads, jobs_metrics,  # noqa: E402,F401
-                            jobs_reports, jobs_streams)
+                            jobs_reports, jobs_rubric, jobs_streams)

@@ -79,3 +79,8 @@ def grade_band(t):
 @job("minimized_llm_view")
 def minimized_llm_view(t):
     return C.minimized_llm_view(A.children(t))
+
+
+@job("resume_json")
+def resume_json(t):
+    return C.resume_documents(A.sessions(t), A.children(t), A.messages(t), A.reports(t))

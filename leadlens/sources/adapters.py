@@ -368,3 +368,21 @@ def erasure_requests(t: Tables) -> DataFrame:
     known = c.select(F.col("c_custkey").alias("parent_id"))
     unknown = c.filter(F.col("c_acctbal") < -900).select((F.col("c_custkey") + F.lit(10 ** 9)).alias("parent_id"))
     return known.unionByName(unknown)
+
+
+def answers(t: Tables) -> DataFrame:
+    """Answer log from events: click = logic task, view = psychology item,
+    purchase = movement item; props.k picks the kind and the RIASEC letter;
+    a logic answer is correct when value >= 20."""
+    e = t.events
+    et = F.col("event_type")
+    k = F.get_json_object("props", "$.k").cast("int")
+    track = F.when(et == "click", "mantiq").when(et == "view", "psixologiya").when(et == "purchase", "harakat")
+    logic_kind = F.element_at(F.array(*[F.lit(x) for x in ("pattern", "count", "compare", "language")]), (k % 4) + 1)
+    psych_kind = F.element_at(F.array(*[F.lit(x) for x in ("riasec", "growth", "self_control", "feelings")]), (k % 4) + 1)
+    move_kind = F.when(k % 2 == 0, "preference").otherwise("mini_task")
+    kind = F.when(et == "click", logic_kind).when(et == "view", psych_kind).otherwise(move_kind)
+    letter = F.when((et == "view") & (k % 4 == 0), F.substring(F.lit("RIASEC"), (k % 6) + 1, 1))
+    return e.filter(et.isin("click", "view", "purchase")).select(
+        F.col("user_id").alias("session_id"), track.alias("track"), kind.alias("kind"), letter.alias("riasec_letter"),
+        F.when(et == "click", F.col("value") >= 20).alias("correct"), "ts")

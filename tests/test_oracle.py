@@ -61,3 +61,11 @@ def test_json_documents_parse_back(spark):
 
 def test_entry_smoke(spark):
     assert E.entry(spark).count() > 0
+
+
+def test_resume_json_parse_back(spark):
+    import json
+    for r in E.queries()["resume_json"](spark, SF).limit(30).collect():
+        d = json.loads(r["doc"])
+        assert set(d) >= {"child", "messages", "status", "progress", "done", "turn_count"}
+        assert d["done"] == all(d["progress"].values())
