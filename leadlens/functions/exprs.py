@@ -141,11 +141,11 @@ def status_order(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 def has_marker(c: Column, track: str) -> Column:
     """True when the text reports ``track`` complete anywhere (any case, repeated ok)."""
-    return F.coalesce(c.rlike(r"(?i)\[YAKUN:\s*" + track + r"\s*\]"), F.lit(False))
+    return F.coalesce(c.rlike(r"\[(?i:YAKUN):\s*(?i:" + track + r")\s*\]"), F.lit(False))
 
 
 def any_marker(c: Column) -> Column:
-    return F.coalesce(c.rlike("(?i)" + MARKER_RE), F.lit(False))
+    return F.coalesce(c.rlike(r"\[(?i:YAKUN):\s*(?i:MANTIQ|PSIXOLOGIYA|HARAKAT)\s*\]"), F.lit(False))
 
 
 def norm_level(c: Column) -> Column:

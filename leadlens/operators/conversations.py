@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Documents keep null members, as JSON.stringify does (Spark drops them by default).
+JSON_OPTS = {"ignoreNullFields": "false"}
+
 from leadlens.functions.exprs import (MAX_TURNS, MIN_ANSWERS_FOR_REPORT, TRACKS, grade_band,
                                       has_marker)
 
@@ -194,4 +197,4 @@ def resume_documents(sessions: DataFrame, children: DataFrame, messages: DataFra
         done.alias("done"), F.col("turn_count"),
         F.when(F.col("share_token").isNotNull(),
                F.struct(F.col("share_token"), F.col("partial"))).alias("report"))
-    return j.select(F.col("id").alias("session_id"), F.to_json(doc).alias("doc"))
+    return j.select(F.col("id").alias("session_id"), F.to_json(doc, JSON_OPTS).alias("doc"))

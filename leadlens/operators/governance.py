@@ -79,7 +79,8 @@ def erase_parents(parents, children, sessions, messages, reports, requests: Data
     """
     req = requests.select(F.col("parent_id").alias("id")).distinct()
     not_found = req.join(parents.select("id"), "id", "left_anti")
-    gone_children = children.join(req.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id")
+    gone_children = (children.filter(F.col("parent_id").isNotNull())
+                     .join(req.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id"))
     after = cascade_children(children, sessions, messages, reports, gone_children)
     after["parents"] = parents.join(req, "id", "left_anti")
     before = {"parents": parents, "children": children, "sessions": sessions, "messages": messages,

@@ -68,7 +68,10 @@ def upsert_parents(parents: DataFrame, contacts: DataFrame) -> DataFrame:
     lead_status and notes of existing parents are untouched.
     """
     with_phone = _collapse(contacts.filter(F.col("phone").isNotNull()), "phone")
-    p = parents.select(*PARENT_COLS)
+    # Parents without a phone never match: they bypass the join, so NULL keys
+    # (possibly a large share of all parents) are not hashed into one task.
+    p_all = parents.select(*PARENT_COLS)
+    p = p_all.filter(F.col("phone").isNotNull())
     m = p.join(with_phone, "phone", "full_outer")
     exists = F.col("id").isNotNull()
     has_new = F.col("new_name").isNotNull()
@@ -83,6 +86,7 @@ def upsert_parents(parents: DataFrame, contacts: DataFrame) -> DataFrame:
         F.coalesce("lead_status", F.lit("new")).alias("lead_status"),
         "admin_notes",
         F.coalesce("created_at", "first_ts").alias("created_at"))
+    merged = merged.unionByName(p_all.filter(F.col("phone").isNull()))
     no_phone = contacts.filter(F.col("phone").isNull()).select(
         (F.lit(NEW_ID_BASE) + F.col("contact_id")).alias("id"), F.col("parent_name").alias("name"),
         F.lit(None).cast("string").alias("phone"), "email", F.coalesce("marketing", F.lit(False)).alias("marketing_consent"),
@@ -95,8 +99,12 @@ def link_children(children: DataFrame, contacts: DataFrame, upserted: DataFrame)
     """Set parent_id of each contacted, still unlinked child to its (upserted) parent."""
     by_phone = upserted.filter(F.col("phone").isNotNull()).select(F.col("phone").alias("p_phone"), F.col("id").alias("p_id"))
     c = contacts.select(F.col("child_id").alias("c_child"), "phone", "contact_id")
-    link = (c.join(by_phone, c.phone == by_phone.p_phone, "left")
-            .select("c_child", F.coalesce("p_id", F.lit(NEW_ID_BASE) + F.col("contact_id")).alias("new_parent")))
+    # Phone-less contacts link to the parent they inserted; only the others
+    # go through the phone join (no NULL-key hot partition).
+    by_ph = (c.filter(F.col("phone").isNotNull()).join(by_phone, F.col("phone") == by_phone.p_phone, "inner")
+             .select("c_child", F.col("p_id").alias("new_parent")))
+    no_ph = c.filter(F.col("phone").isNull()).select("c_child", (F.lit(NEW_ID_BASE) + F.col("contact_id")).alias("new_parent"))
+    link = by_ph.unionByName(no_ph)
     j = children.join(link, children.id == link.c_child, "left")
     return j.select(*[F.coalesce("parent_id", "new_parent").alias("parent_id") if c == "parent_id" else F.col(c)
                       for c in children.columns])

@@ -13,6 +13,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Documents keep null members, as JSON.stringify does (Spark drops them by default).
+JSON_OPTS = {"ignoreNullFields": "false"}
+
 from leadlens.functions.exprs import (display_phone, format_phone, status_to_enum,
                                       status_to_label)
 
@@ -189,7 +192,7 @@ def lead_detail_json(parents: DataFrame, detail: DataFrame) -> DataFrame:
                            lambda k: F.struct(k["name"].alias("name"), k["grade"].alias("grade"),
                                               k["sessions"].alias("sessions")))
     doc = F.struct(F.struct(*[F.col(c) for c in p.columns]).alias("parent"), children.alias("children"))
-    return j.select("id", F.to_json(doc).alias("doc"))
+    return j.select("id", F.to_json(doc, JSON_OPTS).alias("doc"))
 
 
 def report_with_child(reports: DataFrame, children: DataFrame) -> DataFrame:
@@ -207,7 +210,7 @@ def public_report(rwc: DataFrame) -> DataFrame:
 
 
 def public_report_json(pub: DataFrame) -> DataFrame:
-    return pub.select("share_token", F.to_json(F.struct(*[F.col(c) for c in pub.columns])).alias("doc"))
+    return pub.select("share_token", F.to_json(F.struct(*[F.col(c) for c in pub.columns]), JSON_OPTS).alias("doc"))
 
 
 def report_filter_level_sport(reports: DataFrame, children: DataFrame, parents: DataFrame,

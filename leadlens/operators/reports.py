@@ -12,28 +12,33 @@ from pyspark.sql import functions as F
 
 from leadlens.functions.exprs import MARKER_RE, any_marker, js_trim, norm_level
 
-FENCE_BODY_RE = r"(?is)```json\s*(.*?)```"
-FENCE_FULL_RE = r"(?is)(```json\s*.*?```)"
 BULLET_RE = r"^- \*\*(.+?)\*\* — (.*)$"
 NUMBERED_RE = r"^([0-9]+)\. (.*)$"
 CARD_RE = r"(?m)^>[ \t]?(.*)$"
 LEVEL_RANK = {"shakllanmoqda": 1, "meyorda": 2, "kuchli": 3}
 
 
+# JS \s without the line feed: what may surround a marker on its own line.
+_LINE_WS = "[\\t\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]*"
+# Patterns start with a case-sensitive literal ('\\n', '[', '`') so the regex
+# engine skips ahead cheaply; only the words inside are case-insensitive.
+_MARKER_CORE = "\\[(?i:YAKUN):\\s*(?i:MANTIQ|PSIXOLOGIYA|HARAKAT)\\s*\\]"
+# A line feed followed by a marker-only line (the text gets a leading '\\n').
+_MARKER_LINE_RE = "\\n" + _LINE_WS + _MARKER_CORE + _LINE_WS + "(?=\\n|\\z)"
+FENCE_FULL_RE = "(```(?i:json)(?s:\\s*.*?)```)"
+
+
 def strip_markers(text: Column) -> Column:
     """Drop lines that are only a marker, then inline markers, then trim.
 
-    Line-wise on purpose: a multiline regex would also eat the blank line
-    before a marker line.
+    Same result as split('\\n') / filter / join: with a '\\n' put in front, each
+    marker-only line goes together with the line feed before it, so the blank
+    line before a marker survives. Texts without '[' skip the regexes.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda ln: ~ln.rlike(r"(?i)^\s*" + MARKER_RE + r"\s*$"))
-    return js_trim(F.regexp_replace(F.array_join(kept, "\n"), "(?i)" + MARKER_RE, ""))
-
-
-def _rloc(hay: Column, needle: Column) -> Column:
-    """locate() of the reversed needle in the reversed text: position counted from the end."""
-    return F.call_function("locate", F.reverse(needle), F.reverse(hay))
+    t = F.coalesce(text, F.lit(""))
+    lines_gone = F.substring(F.regexp_replace(F.concat(F.lit("\n"), t), _MARKER_LINE_RE, ""), 2, 1 << 30)
+    cleaned = F.regexp_replace(lines_gone, _MARKER_CORE, "")
+    return js_trim(F.when(t.contains("["), cleaned).otherwise(t))
 
 
 def parse_report(raw: DataFrame, text_col: str = "raw_text") -> DataFrame:
@@ -43,25 +48,25 @@ def parse_report(raw: DataFrame, text_col: str = "raw_text") -> DataFrame:
     bad; bad JSON gives NULL levels and empty sports; an earlier valid fence
     is not used. Non-object levels -> NULL; non-array sports -> [].
     """
-    text = strip_markers(F.col(text_col))
-    d = raw.withColumn("_t", text)
-    d = d.withColumn("_body", F.try_element_at(F.regexp_extract_all("_t", F.lit(FENCE_BODY_RE), 1), F.lit(-1)))
-    d = d.withColumn("_full", F.try_element_at(F.regexp_extract_all("_t", F.lit(FENCE_FULL_RE), 1), F.lit(-1)))
-    pos = F.length("_t") - F.length("_full") + F.lit(2) - _rloc(F.col("_t"), F.col("_full"))
-    cut = js_trim(F.concat(F.substring(F.col("_t"), F.lit(1), pos - 1),
-                           F.substring(F.col("_t"), pos + F.length("_full"), F.lit(1 << 30))))
-    d = d.withColumn("content_md", F.when(F.col("_full").isNull(), F.col("_t")).otherwise(cut))
-    d = d.withColumn("_b", js_trim(F.col("_body")))
+    d = raw.withColumn("_t", strip_markers(F.col(text_col)))
+    t = F.col("_t")
+    fences = F.when(t.contains("```"), F.regexp_extract_all(t, F.lit(FENCE_FULL_RE), 1))
+    d = d.withColumn("_full", F.try_element_at(fences, F.lit(-1)))
+    full = F.col("_full")
+    # Text after the last occurrence of the fence; the head is what precedes it.
+    tail = F.call_function("substring_index", t, full, F.lit(-1))
+    head = F.substring(t, F.lit(1), F.length(t) - F.length(full) - F.length(tail))
+    d = d.withColumn("content_md", F.when(full.isNull(), t).otherwise(js_trim(F.concat(head, tail))))
+    d = d.withColumn("_b", js_trim(F.regexp_extract(full, r"(?s)^```....\s*(.*)```\z", 1)))
     b = F.col("_b")
     # JSON.parse rejects text after the value; the variant parser does not,
     # so an object must also end at the closing brace.
     d = d.withColumn("_v", F.when(b.startswith("{") & b.endswith("}"), F.try_parse_json(b)))
-    lv_type = F.schema_of_variant(F.try_variant_get("_v", "$.levels", "variant"))
-    levels_ok = F.coalesce(lv_type.startswith("OBJECT"), F.lit(False))
-    sp_type = F.schema_of_variant(F.try_variant_get("_v", "$.sports", "variant"))
-    sports_raw = F.try_variant_get("_v", "$.sports", "array<string>")
-    sports = F.when(F.coalesce(sp_type.startswith("ARRAY"), F.lit(False)),
-                    F.filter(F.transform(sports_raw, lambda x: F.coalesce(x, F.lit("null"))), lambda x: x != ""))
+    # Casting to map / array succeeds exactly when the value is an object / array.
+    levels_ok = F.try_variant_get("_v", "$.levels", "map<string,variant>").isNotNull()
+    sp = F.try_variant_get("_v", "$.sports", "array<variant>")
+    sports = F.filter(F.transform(sp, lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("null"))),
+                      lambda x: x != "")
     riasec = F.try_variant_get("_v", "$.riasec", "array<string>")
 
     def lvl(key: str) -> Column:

@@ -19,11 +19,13 @@ from leadlens.sources.tables import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def job(name: str):
+def job(name: str, spread: bool = False):
+    """Register a job. ``spread``: per-row work is heavy (text parsing), so
+    scans with fewer splits than the cluster's parallelism are spread first."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_job_conf(spark)
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables(spark, sf_dir, min_splits=None if spread else 1))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

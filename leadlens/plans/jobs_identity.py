@@ -20,24 +20,24 @@ def _unlinked_contacts(t):
     return I.accepted_contacts(A.contacts(t)).join(kids, "child_id", "left_semi")
 
 
-@job("standardize_contacts")
+@job("standardize_contacts", spread=True)
 def standardize_contacts(t):
     return I.standardize_contacts(A.contacts(t))
 
 
-@job("upsert_parents")
+@job("upsert_parents", spread=True)
 def upsert_parents(t):
     return I.upsert_parents(A.parents(t), _unlinked_contacts(t))
 
 
-@job("link_children")
+@job("link_children", spread=True)
 def link_children(t):
     c = _unlinked_contacts(t)
     up = I.upsert_parents(A.parents(t), c)
     return I.link_children(A.children(t), c, up).select("id", "parent_id")
 
 
-@job("update_contact")
+@job("update_contact", spread=True)
 def update_contact(t):
     return I.update_contact(A.parents(t), I.accepted_contacts(A.contacts(t)), A.children(t))
 
@@ -75,7 +75,7 @@ def webhook_tokens(t):
     return parse_updates(A.delivery_updates(t))
 
 
-@job("mark_delivered")
+@job("mark_delivered", spread=True)
 def mark_delivered(t):
     from leadlens.streaming.delivery import match_updates
     matched, _ = match_updates(webhook_tokens(t), A.reports(t))
@@ -134,7 +134,7 @@ def dq_messages(t):
     return G.dq_messages(A.messages(t), max_chars=1000)
 
 
-@job("dq_contacts")
+@job("dq_contacts", spread=True)
 def dq_contacts(t):
     return G.dq_contacts(A.contacts(t))
 

@@ -14,19 +14,19 @@ def _parsed(t):
     return R.parse_report(A.report_replies(t).select("session_id", "child_id", "partial", "raw_text"))
 
 
-@job("parse_report")
+@job("parse_report", spread=True)
 def parse_report(t):
     return _parsed(t).select("session_id", "content_md", "level_logic", "level_psych", "level_activity",
                              F.array_join("sports", ",").alias("sports"),
                              F.size("sports").cast("long").alias("n_sports"))
 
 
-@job("report_sections")
+@job("report_sections", spread=True)
 def report_sections(t):
     return R.report_sections(_parsed(t))
 
 
-@job("report_bullets")
+@job("report_bullets", spread=True)
 def report_bullets(t):
     return R.report_bullets(R.report_sections(_parsed(t)))
 
@@ -36,7 +36,7 @@ def child_facing_cards(t):
     return R.child_facing_cards(A.messages(t))
 
 
-@job("report_quality_audit")
+@job("report_quality_audit", spread=True)
 def report_quality_audit(t):
     return R.report_quality_audit(_parsed(t))
 

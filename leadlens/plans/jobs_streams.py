@@ -50,14 +50,14 @@ def ingest_sessions(t):
                              G.dq_session_requests)
 
 
-@job("ingest_delivery_updates")
+@job("ingest_delivery_updates", spread=True)
 def ingest_delivery_updates(t):
     src = _split(A.delivery_updates(t), "update_json")
     return S.ingest(t.spark, "ingest_delivery_updates", src,
                     lambda s: D.parse_updates(s).select("update_id", "chat_id", "token", "ts"), "_split")
 
 
-@job("webhook_match")
+@job("webhook_match", spread=True)
 def webhook_match(t):
     """Stream-static left join of /start tokens with reports; unknown -> found=false."""
     reports = A.reports(t).select("share_token", "session_id")
@@ -76,7 +76,7 @@ def stream_first_report(t):
     return S.first_report_stream(t.spark, src, "_split", R.first_report_wins)
 
 
-@job("stream_delivery")
+@job("stream_delivery", spread=True)
 def stream_delivery(t):
     rep = A.reports(t)
     first = S.delivery_stream(t.spark, _split(A.delivery_updates(t), "update_json"), rep,

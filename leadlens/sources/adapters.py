@@ -318,16 +318,15 @@ def delivery_updates(t: Tables) -> DataFrame:
             .when(k == 2, F.lit("salom"))
             .otherwise(F.concat(F.lit("/start "), F.md5(F.concat(F.lit("gone-"), sid)))))
     at = add_units("HOUR", F.lit(2), fin)
-    upd = F.to_json(F.struct(F.col("l_orderkey").alias("update_id"),
-                             F.struct(F.struct(F.col("l_partkey").alias("id")).alias("chat"),
-                                      text.alias("text"),
-                                      F.unix_timestamp(at.cast("timestamp")).alias("date")).alias("message")))
-    first = l.filter(F.col("l_returnflag") != "R").select(upd.alias("update_json"))
+
+    def upd(when: Column) -> Column:
+        # The text holds no quote or backslash, so plain formatting is valid JSON.
+        return F.format_string('{"update_id": %d, "message": {"chat": {"id": %d}, "text": "%s", "date": %d}}',
+                               F.col("l_orderkey"), F.col("l_partkey"), text, F.unix_timestamp(when.cast("timestamp")))
+
+    first = l.filter(F.col("l_returnflag") != "R").select(upd(at).alias("update_json"))
     again = l.filter((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1)).select(
-        F.to_json(F.struct(F.col("l_orderkey").alias("update_id"),
-                           F.struct(F.struct(F.col("l_partkey").alias("id")).alias("chat"), text.alias("text"),
-                                    F.unix_timestamp(add_units("DAY", F.lit(1), at).cast("timestamp")).alias("date"))
-                           .alias("message"))).alias("update_json"))
+        upd(add_units("DAY", F.lit(1), at)).alias("update_json"))
     return first.unionByName(again)
 
 

@@ -47,15 +47,30 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, u
                            numPartitions=partitions, properties=props)
 
 
+def spread(df: DataFrame, min_splits: int) -> DataFrame:
+    """Give row-wise work at least ``min_splits`` tasks.
+
+    A scan has one task per file split; a table stored as one file with one
+    row group is a single task, and every expression before the first shuffle
+    would run on one core. Only then is a round-robin repartition added
+    (column pruning and filters still reach the scan below it). Tables laid
+    out in many files, as at scale, are left alone — no extra shuffle.
+    """
+    if min_splits > 1 and df.rdd.getNumPartitions() < min_splits:
+        return df.repartition(min_splits)
+    return df
+
+
 class Tables:
     """Lazy accessor: ``t.lineitem`` reads once per job; unused tables are never scanned."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, min_splits: int | None = None):
         self.spark, self.sf_dir, self._cache = spark, sf_dir, {}
+        self.min_splits = min_splits if min_splits is not None else spark.sparkContext.defaultParallelism
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = read_table(self.spark, self.sf_dir, name)
+            self._cache[name] = spread(read_table(self.spark, self.sf_dir, name), self.min_splits)
         return self._cache[name]
