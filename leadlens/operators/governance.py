@@ -60,18 +60,24 @@ def _audit(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFra
     return out
 
 
-def retention_purge(parents, children, sessions, messages, reports, as_of: Column, months: int = 24):
+def retention_purge(parents, children, sessions, messages, reports, as_of: Column, months: int = 24,
+                    write: bool = False):
     """Monthly purge: expired children (cascade), then every parent left without
-    children. Returns (new tables, per-table audit)."""
+    children. Returns (new tables, per-table audit). With ``write`` the new
+    tables are written as one snapshot version first and the audit counts the
+    written files (lineage cut; a retry re-reads instead of recomputing)."""
     gone = children_expired(sessions, as_of, months)
     after = cascade_children(children, sessions, messages, reports, gone)
     after["parents"] = parents.join(orphan_parents(parents, after["children"]).select("id"), "id", "left_anti")
+    if write:
+        from leadlens.sources.snapshots import write_tables
+        after = write_tables(after, "retention_purge")
     before = {"parents": parents, "children": children, "sessions": sessions, "messages": messages,
               "reports": reports}
     return after, _audit(before, after)
 
 
-def erase_parents(parents, children, sessions, messages, reports, requests: DataFrame):
+def erase_parents(parents, children, sessions, messages, reports, requests: DataFrame, write: bool = False):
     """Right to erasure: cascade parents -> children -> sessions -> messages, reports.
 
     Returns (new tables, audit, not_found) where not_found lists requested ids
@@ -83,6 +89,9 @@ def erase_parents(parents, children, sessions, messages, reports, requests: Data
                      .join(req.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id"))
     after = cascade_children(children, sessions, messages, reports, gone_children)
     after["parents"] = parents.join(req, "id", "left_anti")
+    if write:
+        from leadlens.sources.snapshots import write_tables
+        after = write_tables(after, "erase_parents")
     before = {"parents": parents, "children": children, "sessions": sessions, "messages": messages,
               "reports": reports}
     return after, _audit(before, after), not_found
