@@ -1,14 +1,15 @@
 """Conversation processing over the message log.
 
-Every window here is partitioned by session. A transcript is bounded by the
-product (60 LLM turns, 2,000 chars per message, 20 messages/min admitted;
-``dq_messages`` flags violations), so a session partition is small even when
-the log is huge; there is never an unpartitioned window.
+Ordered per-session logic (positions, role islands, running counts) goes
+through ``leadlens.plans.sequence``: rows are range-partitioned on
+(session, created_at, id), so even a session holding a third of the log is
+spread over many tasks, and cross-partition carries are a broadcast table of
+at most one row per partition. There is never an unpartitioned window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Documents keep null members, as JSON.stringify does (Spark drops them by default).
@@ -16,10 +17,9 @@ JSON_OPTS = {"ignoreNullFields": "false"}
 
 from leadlens.functions.exprs import (MAX_TURNS, MIN_ANSWERS_FOR_REPORT, TRACKS, grade_band,
                                       has_marker)
+from leadlens.plans.sequence import lay_out, sequence
 
-
-def _w(session: str = "session_id") -> Window:
-    return Window.partitionBy(session).orderBy("created_at", "id")
+ORDER = ["created_at", "id"]
 
 
 def chat_role(role: Column) -> Column:
@@ -29,8 +29,9 @@ def chat_role(role: Column) -> Column:
 
 def transcript_order(messages: DataFrame) -> DataFrame:
     """Position of each message in its session: created_at, then id."""
-    return messages.select("session_id", "id", "role", "meta", "created_at",
-                           F.row_number().over(_w()).cast("long").alias("pos"))
+    m = lay_out(messages.select("session_id", "id", "role", "meta", "created_at"), "session_id", ORDER)
+    return sequence(m, "session_id", ORDER).select("session_id", "id", "role", "meta", "created_at",
+                                                   F.col("_rn").cast("long").alias("pos"))
 
 
 def visible_transcript(messages: DataFrame) -> DataFrame:
@@ -47,9 +48,11 @@ def merge_turns(messages: DataFrame) -> DataFrame:
     """
     m = messages.select("session_id", "id", "created_at", chat_role(F.col("role")).alias("role"),
                         F.coalesce(F.col("content"), F.lit("")).alias("content"))
-    w = _w()
-    m = m.withColumn("start", (F.lag("role").over(w).isNull() | (F.lag("role").over(w) != F.col("role"))).cast("int"))
-    m = m.withColumn("island", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    laid = lay_out(m, "session_id", ORDER)
+    m = sequence(laid, "session_id", ORDER, prev_cols=["role"]).drop("_rn")
+    m = m.withColumn("start", (F.col("_prev_role").isNull() | (F.col("_prev_role") != F.col("role"))).cast("long"))
+    m = sequence(m.drop("_prev_role"), "session_id", ORDER, sums={"start": F.col("start")})
+    m = m.withColumn("island", F.col("_before_start") + F.col("start"))
     merged = (m.groupBy("session_id", "island")
               .agg(F.first("role").alias("role"),
                    F.array_sort(F.collect_list(F.struct("created_at", "id", "content"))).alias("parts")))
@@ -62,8 +65,9 @@ def openai_turns(messages: DataFrame, system_prompt: str | None) -> DataFrame:
     """Chat-completions shape: no merging, empty content dropped, system row first."""
     m = messages.select("session_id", "id", "created_at", chat_role(F.col("role")).alias("role"),
                         F.coalesce(F.col("content"), F.lit("")).alias("content"))
-    body = (m.filter(F.col("content") != "")
-            .select("session_id", "role", "content", F.row_number().over(_w()).cast("long").alias("pos")))
+    laid = lay_out(m.filter(F.col("content") != ""), "session_id", ORDER)
+    body = sequence(laid, "session_id", ORDER).select("session_id", "role", "content",
+                                                      F.col("_rn").cast("long").alias("pos"))
     if not system_prompt:
         return body
     sys_rows = (messages.select("session_id").distinct()
@@ -95,10 +99,11 @@ def dangling_user_turn(messages: DataFrame) -> DataFrame:
 def turn_cap(messages: DataFrame, cap: int = MAX_TURNS) -> DataFrame:
     """LLM turns taken before each message; a user message at or over the cap
     is stored but gets no LLM turn."""
-    w = _w().rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum((F.col("role") == "assistant").cast("long")).over(w), F.lit(0)).cast("long")
-    return messages.select("session_id", "id", "role", before.alias("turns_before"),
-                           ((F.col("role") != "assistant") & (before >= cap)).alias("over_cap"))
+    laid = lay_out(messages.select("session_id", "id", "created_at", "role"), "session_id", ORDER)
+    s = sequence(laid, "session_id", ORDER, sums={"llm": (F.col("role") == "assistant").cast("long")})
+    before = F.col("_before_llm").cast("long")
+    return s.select("session_id", "id", "role", before.alias("turns_before"),
+                    ((F.col("role") != "assistant") & (before >= cap)).alias("over_cap"))
 
 
 def engagement_gate(messages: DataFrame, sessions: DataFrame | None = None,

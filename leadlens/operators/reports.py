@@ -7,7 +7,7 @@ with ``spark.sql.variant.allowDuplicateKeys``, keeps the last duplicate key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions.exprs import MARKER_RE, any_marker, js_trim, norm_level
@@ -177,12 +177,14 @@ def _rank(c: Column) -> Column:
 
 def progress_timeline(reports: DataFrame) -> DataFrame:
     """Per child, reports in time order with the previous logic level and the rank change."""
-    w = Window.partitionBy("child_id").orderBy("created_at", "session_id")
-    prev = F.lag("level_logic").over(w)
-    return reports.select("child_id", "session_id", "created_at",
-                          F.row_number().over(w).cast("long").alias("seq"),
-                          "level_logic", prev.alias("prev_level_logic"),
-                          (_rank(F.col("level_logic")) - _rank(prev)).alias("level_delta"))
+    from leadlens.plans.sequence import lay_out, sequence
+    order = ["created_at", "session_id"]
+    laid = lay_out(reports.select("child_id", "session_id", "created_at", "level_logic"), "child_id", order)
+    s = sequence(laid, "child_id", order, prev_cols=["level_logic"])
+    prev = F.col("_prev_level_logic")
+    return s.select("child_id", "session_id", "created_at", F.col("_rn").cast("long").alias("seq"),
+                    "level_logic", prev.alias("prev_level_logic"),
+                    (_rank(F.col("level_logic")) - _rank(prev)).alias("level_delta"))
 
 
 def reassessment_due(parents: DataFrame, children: DataFrame, sessions: DataFrame, as_of: Column,
