@@ -54,13 +54,33 @@ def _partition_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # into the next one, so every other log is dropped.
         last_key = b["key"].iloc[-1]
         logs = {last_key: logs[last_key]}
-        yield pd.DataFrame({"key": b["key"], "id": b["id"], "ts_us": b["ts_us"], "admitted": dec})
+        yield pd.DataFrame({"key": b["key"], "id": b["id"], "ts_us": b["ts_us"], "admitted": dec,
+                            "orig_key": b["orig_key"]})
+
+
+def idle_segments(h: DataFrame) -> DataFrame:
+    """Cut each key's hits where the gap to the previous hit is at least the
+    window: every earlier entry has expired there, so segments are independent
+    and can be decided in parallel (exactly). Uses the skew-proof sequence
+    helper, so a hot key is split without ever sitting in one task."""
+    from leadlens.plans.sequence import lay_out, sequence
+    order = ["ts_us", "id"]
+    s = sequence(lay_out(h, "key", order), "key", order, prev_cols=["ts_us"])
+    s = s.withColumn("_new", (F.col("_prev_ts_us").isNull()
+                              | (F.col("ts_us") - F.col("_prev_ts_us") >= F.col("window_us"))).cast("long"))
+    s = sequence(s.drop("_rn", "_prev_ts_us"), "key", order, sums={"new": F.col("_new")})
+    return s.select(F.concat(F.col("key"), F.lit("#"), (F.col("_before_new") + F.col("_new")).cast("string")).alias("segment"),
+                    "key", "id", "ts_us", "window_us", "max_hits")
 
 
 def admission_limit(hits: DataFrame, window_seconds: int | None = None, max_hits: int | None = None,
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, split_idle: bool = True) -> DataFrame:
     """hits(key string, id long, ts timestamp[, window_us long, max_hits int]) ->
-    (key, id, ts, admitted). A constant window/max may be given instead of columns."""
+    (key, id, ts, admitted). A constant window/max may be given instead of columns.
+
+    With ``split_idle`` each key is first cut at idle gaps (>= window), so a
+    busy key with quiet periods is decided by many tasks; within a segment the
+    decision is a sequential, O(max)-memory scan."""
     h = hits
     if window_seconds is not None:
         h = h.withColumn("window_us", F.lit(int(window_seconds) * 1_000_000).cast("long"))
@@ -68,10 +88,17 @@ def admission_limit(hits: DataFrame, window_seconds: int | None = None, max_hits
         h = h.withColumn("max_hits", F.lit(int(max_hits)).cast("int"))
     h = h.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"),
                  F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "window_us", "max_hits")
-    n = partitions or h.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = h.repartition(int(n), "key").sortWithinPartitions("key", "ts_us", "id")
-    decided = ordered.mapInPandas(_partition_fn, T.StructType([T.StructField(a, b) for a, b in OUT_FIELDS]))
-    return decided.select("key", "id", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "admitted")
+    n = int(partitions or h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if split_idle:
+        g = idle_segments(h)
+        ordered = g.repartition(n, "segment").sortWithinPartitions("segment", "ts_us", "id") \
+            .select(F.col("segment").alias("key"), F.col("key").alias("orig_key"), "id", "ts_us", "window_us", "max_hits")
+    else:
+        ordered = h.repartition(n, "key").sortWithinPartitions("key", "ts_us", "id").withColumn("orig_key", F.col("key"))
+    schema = T.StructType([T.StructField(a, b) for a, b in OUT_FIELDS] + [T.StructField("orig_key", T.StringType())])
+    decided = ordered.mapInPandas(_partition_fn, schema)
+    return decided.select(F.col("orig_key").alias("key"), "id",
+                          F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "admitted")
 
 
 # ---------------------------------------------------------------------------

@@ -72,3 +72,19 @@ def test_stream_equals_batch_with_restart(spark):
     got = {r[0]: r[1] for r in rows(spark.read.parquet(f"{d}/out"), "id", "admitted")}
     exp = {r[0]: r[1] for r in rows(L.admission_limit(hits(spark, pairs), 60, 3), "id", "admitted")}
     assert got == exp
+
+
+def test_idle_segments_split_hot_key_exactly(spark):
+    import random
+    rnd = random.Random(11)
+    # One hot key with bursts separated by idle gaps longer than the window.
+    pairs = [("hot", b * 1000 + rnd.randint(0, 50)) for b in range(12) for _ in range(30)] + \
+            [("cold", rnd.randint(0, 12000)) for _ in range(40)]
+    h = hits(spark, pairs)
+    hh = h.select("key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                  F.lit(60 * 1_000_000).cast("long").alias("window_us"), F.lit(3).alias("max_hits"))
+    segs = L.idle_segments(hh).filter(F.col("key") == "hot").select("segment").distinct().count()
+    assert segs == 12
+    a = decisions(L.admission_limit(h, 60, 3, split_idle=True))
+    b = decisions(L.admission_limit(h, 60, 3, split_idle=False))
+    assert a == b == brute(pairs, 60, 3)
