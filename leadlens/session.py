@@ -53,10 +53,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     is unset (local runs, tests) a scratch folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect session: no SparkContext
+        pass
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="leadlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - not settable at runtime here; the context still gets it
+            pass
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d.rstrip("/")

@@ -47,6 +47,13 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, u
                            numPartitions=partitions, properties=props)
 
 
+def _parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext on this session
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame, min_splits: int) -> DataFrame:
     """Give row-wise work at least ``min_splits`` tasks.
 
@@ -56,9 +63,13 @@ def spread(df: DataFrame, min_splits: int) -> DataFrame:
     (column pruning and filters still reach the scan below it). Tables laid
     out in many files, as at scale, are left alone — no extra shuffle.
     """
-    if min_splits > 1 and df.rdd.getNumPartitions() < min_splits:
-        return df.repartition(min_splits)
-    return df
+    if min_splits <= 1:
+        return df
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave the scan as is
+        return df
+    return df.repartition(min_splits) if splits < min_splits else df
 
 
 class Tables:
@@ -66,7 +77,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, min_splits: int | None = None):
         self.spark, self.sf_dir, self._cache = spark, sf_dir, {}
-        self.min_splits = min_splits if min_splits is not None else spark.sparkContext.defaultParallelism
+        self.min_splits = min_splits if min_splits is not None else _parallelism(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
