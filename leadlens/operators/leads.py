@@ -134,10 +134,12 @@ def csv_lines(rollup: DataFrame) -> DataFrame:
 
 
 def write_leads_csv(lines: DataFrame, path: str) -> None:
-    """BOM + header + lines in lead-list order, '\\n'-joined, one file.
+    """BOM + header + lines in lead-list order, one file, '\\n' between lines.
 
-    The single output file is the product's format; everything before the
-    final write runs distributed.
+    Spark's text writer ends every line with the separator (an empty one is
+    rejected), so the file ends with one '\\n' where the product's response
+    has none; all else is byte-identical. Everything before the final
+    one-file write runs distributed.
     """
     spark = lines.sparkSession
     header = BOM + ",".join('"' + h.replace('"', '""') + '"' for h in CSV_HEADER)

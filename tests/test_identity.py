@@ -65,3 +65,50 @@ def test_model_audit(spark):
     assert rows(I.model_audit(s, "openrouter").orderBy("id"), "id", "effective_model") == \
         [("1", I.OPENROUTER_DEFAULT_MODEL), ("3", I.OPENROUTER_DEFAULT_MODEL), ("4", I.OPENROUTER_DEFAULT_MODEL)]
     assert rows(I.model_audit(s, "anthropic").orderBy("id"), "id") == [("2",), ("3",), ("4",)]
+
+
+def test_write_leads_csv_file(spark):
+    import glob
+    import tempfile
+    lines = spark.createDataFrame([(2, datetime(2024, 1, 2), '"b"'), (1, datetime(2024, 1, 2), '"a"'),
+                                   (3, datetime(2024, 1, 5), '"c"')], "id long, created_at timestamp_ntz, csv_line string")
+    d = tempfile.mkdtemp(prefix="csv-test-")
+    LD.write_leads_csv(lines, d + "/out")
+    parts = glob.glob(d + "/out/part-*")
+    assert len(parts) == 1
+    text = open(parts[0], encoding="utf-8").read()
+    assert text.startswith("﻿\"Ota-ona\",\"Telefon\"")
+    assert text.split("\n")[1:] == ['"c"', '"a"', '"b"', ""]  # the text writer ends the last line too
+
+
+def test_minimized_view_allow_list(spark):
+    from leadlens.operators.conversations import minimized_llm_view
+    kids = spark.createDataFrame([(1, 5, "Ali", 2, 7, "goal", "notes", D)],
+                                 "id long, parent_id long, nickname string, grade int, age int, goal string, notes string, created_at timestamp_ntz")
+    v = minimized_llm_view(kids)
+    assert set(v.columns) == {"child_id", "nickname", "grade", "age", "band", "intro"}
+    intro = v.collect()[0]["intro"]
+    assert "Ali" in intro and "2-sinf (A guruh" in intro and "Yoshi: 7" in intro
+    assert "goal" not in intro and "notes" not in intro
+
+
+def test_update_contact_phone_clash_is_reported(spark):
+    parents = spark.createDataFrame([(1, "A", None, None, False, "v0", D, "new", None, D),
+                                     (2, "B", "+998901111111", None, False, "v0", D, "new", None, D)], PARENTS)
+    kids = spark.createDataFrame([(100, 1)], "id long, parent_id long")
+    c = spark.createDataFrame([(1, 100, "901111111", "A2", None, False, "v1", datetime(2024, 3, 1))], CONTACTS)
+    up = I.update_contact(parents, I.accepted_contacts(c), kids)
+    clash = rows(I.phone_conflicts(up), "phone", "parents")
+    assert clash == [("+998901111111", 2)]
+
+
+def test_lead_filters(spark):
+    from leadlens.sources.adapters import ts_lit
+    parents = spark.createDataFrame([(1, "A", None, None, False, "v0", D, "new", None, datetime(2001, 11, 1)),
+                                     (2, "B", None, None, False, "v0", D, "enrolled", None, datetime(2001, 1, 1))], PARENTS)
+    kids = spark.createDataFrame([(10, 1, 2), (11, 1, 3), (20, 2, 3)], "id long, parent_id long, grade int")
+    asof = ts_lit("2001-11-05 00:00:00")
+    ids = lambda **kw: sorted(r[0] for r in rows(LD.filter_parents(parents, kids, asof, **kw), "id"))
+    assert ids(status="Yozildi") == [2] and ids(status="nonsense") == [1, 2] and ids(status="all") == [1, 2]
+    assert ids(grade="2") == [1] and ids(grade="3abc") == [1, 2] and ids(grade="all") == [1, 2]
+    assert ids(since_days="4") == [1] and ids(since_days="3") == []
