@@ -15,14 +15,20 @@ bounded log per key across micro-batches.
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The per-partition / per-group functions below run in Python workers. Ship
+# them by value so workers need only pandas, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUT_FIELDS = [("key", T.StringType()), ("id", T.LongType()), ("ts_us", T.LongType()),
               ("admitted", T.BooleanType())]
 
@@ -109,7 +115,13 @@ STREAM_OUT = "key string, id long, ts_us long, admitted boolean"
 
 
 def _stream_fn(window_us: int, max_hits: int):
+    window_ms = window_us // 1000
+
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            # The watermark passed the newest entry + window: all entries expired.
+            state.remove()
+            return
         log = deque(state.get[0]) if state.exists else deque()
         parts = [p for p in pdfs]
         rows = pd.concat(parts).sort_values(["ts_us", "id"]) if parts else pd.DataFrame()
@@ -121,22 +133,34 @@ def _stream_fn(window_us: int, max_hits: int):
             if ok:
                 log.append(int(t))
             out.append((key[0], int(i), int(t), ok))
-        state.update((list(log),))
+        expires_ms = log[-1] // 1000 + window_ms if log else None
+        if expires_ms is None or expires_ms <= state.getCurrentWatermarkMs():
+            state.remove()
+        else:
+            state.update((list(log),))
+            state.setTimeoutTimestamp(expires_ms)
         yield pd.DataFrame(out, columns=["key", "id", "ts_us", "admitted"])
     return fn
 
 
-def admission_limit_stream(hits: DataFrame, window_seconds: int, max_hits: int) -> DataFrame:
+def admission_limit_stream(hits: DataFrame, window_seconds: int, max_hits: int,
+                           lateness_seconds: int | None = None) -> DataFrame:
     """Streaming hits -> decisions; state per key is the live log (<= max entries).
 
     Rows are applied in (ts, id) order within a micro-batch and in arrival
-    order across micro-batches, as the in-process limiter does."""
+    order across micro-batches, as the in-process limiter does. Idle keys are
+    swept with an event-time timeout: once the watermark (max event time -
+    lateness) passes the newest entry + window, the key's state is dropped,
+    so the number of keys held is bounded by recent activity."""
     from pyspark.sql.streaming.state import GroupStateTimeout
-    h = hits.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"),
-                    F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    late = int(lateness_seconds if lateness_seconds is not None else window_seconds)
+    h = (hits.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"),
+                     F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                     F.col("ts").cast("timestamp").alias("event_time"))
+         .withWatermark("event_time", f"{late} seconds"))
     return h.groupBy("key").applyInPandasWithState(
         _stream_fn(int(window_seconds) * 1_000_000, int(max_hits)), STREAM_OUT, STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 # Route policies (window seconds, max hits) and key prefixes.
