@@ -19,9 +19,10 @@ def parse_updates(updates: DataFrame, col: str = "update_json") -> DataFrame:
     """JSON update text -> (update_id, chat_id, text, token, ts); token NULL
     when the text is not '/start <token>'."""
     u = updates.select(F.from_json(F.col(col), UPDATE_SCHEMA).alias("u"))
-    text = js_trim(F.col("u.message.text"))
-    tok = F.regexp_extract(text, START_RE, 1)
-    return u.filter(F.col("u.message.text").isNotNull()).select(
+    # A missing text gives a NULL token (the update is ignored downstream); no
+    # separate filter, so the parse is not repeated in a pushed-down predicate.
+    tok = F.regexp_extract(js_trim(F.col("u.message.text")), START_RE, 1)
+    return u.select(
         F.col("u.update_id").alias("update_id"), F.col("u.message.chat.id").alias("chat_id"),
         F.col("u.message.text").alias("text"),
         F.when(tok == "", F.lit(None).cast("string")).otherwise(tok).alias("token"),
