@@ -200,3 +200,18 @@ def reassessment_due(parents: DataFrame, children: DataFrame, sessions: DataFram
     return (p.join(per_parent, p.id == per_parent.parent_id, "inner")
             .filter(F.col("last_finished_at") <= cutoff)
             .select(F.col("id").alias("parent_id"), "name", "last_finished_at"))
+
+
+def greeting_audit(messages: DataFrame) -> DataFrame:
+    """The conversation half of the live-smoke contract, per session: the
+    first assistant reply (the greeting) is longer than 50 chars, holds a
+    child-facing '>' card and reports no track as done yet. ``min_by`` over
+    (created_at, id): an aggregate, no window."""
+    a = messages.filter(F.col("role") == "assistant")
+    g = a.groupBy("session_id").agg(F.min_by("content", F.struct("created_at", "id")).alias("greeting"))
+    chars = F.length(F.coalesce("greeting", F.lit(""))).cast("long")
+    card = F.coalesce(F.col("greeting").rlike(r"(?m)^>"), F.lit(False))
+    early = any_marker(F.col("greeting"))
+    return g.select("session_id", chars.alias("greeting_chars"), (chars > 50).alias("greeting_ok"),
+                    card.alias("has_card"), (~early).alias("no_early_marker"),
+                    ((chars > 50) & card & ~early).alias("ok"))

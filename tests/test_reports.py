@@ -72,3 +72,14 @@ def test_first_report_wins(spark):
                               "session_id string, share_token string, created_at timestamp_ntz")
     got = dict(rows(R.first_report_wins(a), "session_id", "share_token"))
     assert got == {"s1": "c", "s2": "z"}
+
+
+def test_greeting_audit(spark):
+    from datetime import datetime
+    m = spark.createDataFrame([
+        (1, 1, "assistant", "> Salom!\n" + "x" * 60, datetime(2024, 1, 1)),
+        (1, 2, "assistant", "[YAKUN: MANTIQ]", datetime(2024, 1, 2)),
+        (2, 3, "assistant", "qisqa [YAKUN: HARAKAT]", datetime(2024, 1, 1)),
+    ], "session_id long, id long, role string, content string, created_at timestamp_ntz")
+    got = {r[0]: r[1:] for r in rows(R.greeting_audit(m), "session_id", "greeting_ok", "has_card", "no_early_marker", "ok")}
+    assert got == {1: (True, True, True, True), 2: (False, False, False, False)}
