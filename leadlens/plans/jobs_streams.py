@@ -86,16 +86,18 @@ def stream_delivery(t):
 
 @job("stream_session_state")
 def stream_session_state(t):
-    """Running counters per session from the turn log (complete-mode aggregation)."""
+    """Running counters per session from the turn log (update-mode aggregation)."""
     def build(s):
         return s.groupBy("session_id").agg(
             F.count_if("inc_turn").alias("turns"), F.sum("input_tokens").alias("input_tokens"),
             F.sum("output_tokens").alias("output_tokens"), F.bool_or("m_mantiq").alias("done_mantiq"),
             F.bool_or("m_psixologiya").alias("done_psixologiya"), F.bool_or("m_harakat").alias("done_harakat"))
-    return S.complete_to_table(t.spark, "stream_session_state", _split(A.turn_log(t), "session_id"), "_split", build)
+    return S.update_to_table(t.spark, "stream_session_state", _split(A.turn_log(t), "session_id"), "_split", build,
+                             ["session_id"])
 
 
 @job("stream_funnel")
 def stream_funnel(t):
     src = A.funnel_events(t).withColumn("_split", F.dayofmonth("ts") % 3)
-    return S.complete_to_table(t.spark, "stream_funnel", src, "_split", S.stream_funnel_counts)
+    return S.update_to_table(t.spark, "stream_funnel", src, "_split", S.stream_funnel_counts,
+                             ["window_start", "window_end", "metric"])

@@ -131,19 +131,29 @@ def delivery_stream(spark: SparkSession, updates: DataFrame, reports: DataFrame,
     return spark.read.parquet(sink).groupBy("token").agg(F.min("ts").alias("ts"))
 
 
-def complete_to_table(spark: SparkSession, name: str, source: DataFrame, split_col: str, build) -> DataFrame:
-    """Streaming aggregation in complete mode; each micro-batch replaces the
-    result folder with the current full table."""
+def update_to_table(spark: SparkSession, name: str, source: DataFrame, split_col: str, build,
+                    keys: list[str]) -> DataFrame:
+    """Streaming aggregation in update mode: each micro-batch writes only the
+    groups it changed (their full current values) into its own batch folder,
+    so writes are O(batch), not O(state); replays overwrite their folder.
+    Reading takes, per group key, the row of the latest batch."""
     d = run_dir(spark, name)
     stage(source, f"{d}/landing", split_col)
     schema = spark.read.parquet(f"{d}/landing").schema
     out = f"{d}/result"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(batch_path(out, batch_id))
 
-    run_foreach_batch(build(read_landing(spark, f"{d}/landing", schema)), write, f"{d}/checkpoint", mode="complete")
-    return spark.read.parquet(out)
+    run_foreach_batch(build(read_landing(spark, f"{d}/landing", schema)), write, f"{d}/checkpoint", mode="update")
+    return latest_per_key(spark.read.parquet(out), keys)
+
+
+def latest_per_key(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """Collapse per-batch versions to the newest one per key (an aggregate, no window)."""
+    vals = [c for c in versions.columns if c not in keys and c != "batch_id"]
+    latest = versions.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("_v"))
+    return latest.select(*keys, *[F.col("_v." + c).alias(c) for c in vals])
 
 
 def stream_funnel_counts(events: DataFrame, days: int = 7) -> DataFrame:
