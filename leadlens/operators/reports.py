@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.functions.exprs import MARKER_RE, any_marker, js_trim, norm_level
+from leadlens.functions.exprs import any_marker, js_trim, norm_level
 
 BULLET_RE = r"^- \*\*(.+?)\*\* — (.*)$"
 NUMBERED_RE = r"^([0-9]+)\. (.*)$"
