@@ -29,7 +29,8 @@ LEVELS = ["shakllanmoqda", "meyorda", "kuchli"]
 # Token prices, USD per 1M tokens (input, output).
 PRICE_IN_PER_MTOK = 3.0
 PRICE_OUT_PER_MTOK = 15.0
-# Caps.
+# Caps, and the reply stored instead of an LLM turn once the cap is reached.
+CAP_REPLY = "Savollar chegarasiga yetdik. Iltimos, mashg‘ulotni yakunlab, hisobotni oling."
 MAX_TURNS = 60
 MAX_MESSAGE_CHARS = 2000
 MIN_ANSWERS_FOR_REPORT = 1

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # Documents keep null members, as JSON.stringify does (Spark drops them by default).
 JSON_OPTS = {"ignoreNullFields": "false"}
 
-from leadlens.functions.exprs import (MAX_TURNS, MIN_ANSWERS_FOR_REPORT, TRACKS, grade_band,
+from leadlens.functions.exprs import (CAP_REPLY, MAX_TURNS, MIN_ANSWERS_FOR_REPORT, TRACKS, grade_band,
                                       has_marker)
 from leadlens.plans.sequence import lay_out, sequence
 
@@ -96,11 +96,16 @@ def dangling_user_turn(messages: DataFrame) -> DataFrame:
                      (~(is_user & F.col("last_meta"))).alias("needs_report_request"))
 
 
+def llm_turn(role, content):
+    """An assistant message that is a real model reply (not the cap notice)."""
+    return (role == "assistant") & (F.coalesce(content, F.lit("")) != F.lit(CAP_REPLY))
+
+
 def turn_cap(messages: DataFrame, cap: int = MAX_TURNS) -> DataFrame:
     """LLM turns taken before each message; a user message at or over the cap
-    is stored but gets no LLM turn."""
-    laid = lay_out(messages.select("session_id", "id", "created_at", "role"), "session_id", ORDER)
-    s = sequence(laid, "session_id", ORDER, sums={"llm": (F.col("role") == "assistant").cast("long")})
+    is stored but gets no LLM turn (the cap notice is not a turn)."""
+    laid = lay_out(messages.select("session_id", "id", "created_at", "role", "content"), "session_id", ORDER)
+    s = sequence(laid, "session_id", ORDER, sums={"llm": llm_turn(F.col("role"), F.col("content")).cast("long")})
     before = F.col("_before_llm").cast("long")
     return s.select("session_id", "id", "role", before.alias("turns_before"),
                     ((F.col("role") != "assistant") & (before >= cap)).alias("over_cap"))
@@ -141,10 +146,10 @@ def session_progress(sessions: DataFrame) -> DataFrame:
 
 
 def session_counters(messages: DataFrame) -> DataFrame:
-    """Counters folded from the log: LLM turns (assistant replies), real
-    answers, meta turns, characters exchanged, first/last activity."""
+    """Counters folded from the log: LLM turns (assistant replies, not the cap
+    notice), real answers, meta turns, characters exchanged, first/last activity."""
     return messages.groupBy("session_id").agg(
-        F.count_if(F.col("role") == "assistant").alias("turn_count"),
+        F.count_if(llm_turn(F.col("role"), F.col("content"))).alias("turn_count"),
         F.count_if((F.col("role") == "user") & ~F.col("meta")).alias("answers"),
         F.count_if(F.col("meta")).alias("meta_turns"),
         F.sum(F.length(F.coalesce("content", F.lit("")))).cast("long").alias("chars"),

@@ -3,6 +3,7 @@
 from oracle.adapters import NL, with_views
 
 M = ["messages"]
+CAP = "'Savollar chegarasiga yetdik. Iltimos, mashg‘ulotni yakunlab, hisobotni oling.'"
 ROLE = "CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END"
 W = "PARTITION BY session_id ORDER BY created_at, id"
 
@@ -52,7 +53,7 @@ FROM (SELECT session_id, arg_max(id, (created_at, id)) AS last_id, arg_max(role,
              arg_max(meta, (created_at, id)) AS last_meta FROM messages GROUP BY session_id) x"""),
     "turn_cap": with_views(M, f"""
 SELECT session_id, id, role, tb AS turns_before, role <> 'assistant' AND tb >= 3 AS over_cap
-FROM (SELECT *, CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END)
+FROM (SELECT *, CAST(coalesce(sum(CASE WHEN role = 'assistant' AND coalesce(content, '') <> {CAP} THEN 1 ELSE 0 END)
                  OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tb
       FROM messages) x"""),
     "engagement_gate": with_views(M, """
@@ -71,8 +72,8 @@ FROM messages WHERE role = 'assistant' GROUP BY session_id"""),
     "session_progress": with_views(["sessions"], """
 SELECT id, done_mantiq, done_psixologiya, done_harakat, done_mantiq AND done_psixologiya AND done_harakat AS done,
        NOT (done_mantiq AND done_psixologiya AND done_harakat) AS partial FROM sessions"""),
-    "session_counters": with_views(M, """
-SELECT session_id, CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS turn_count,
+    "session_counters": with_views(M, f"""
+SELECT session_id, CAST(count(*) FILTER (WHERE role = 'assistant' AND coalesce(content, '') <> {CAP}) AS BIGINT) AS turn_count,
        CAST(count(*) FILTER (WHERE role = 'user' AND NOT meta) AS BIGINT) AS answers,
        CAST(count(*) FILTER (WHERE meta) AS BIGINT) AS meta_turns,
        CAST(sum(length(coalesce(content, ''))) AS BIGINT) AS chars,

@@ -43,3 +43,11 @@ def test_turn_cap_and_last_turn(spark):
     assert cap == [(0, False), (0, False), (1, False), (1, False), (2, True)]
     d = rows(C.dangling_user_turn(m), "last_role", "pending", "needs_report_request")
     assert d == [("user", True, False)]
+
+
+def test_cap_notice_is_not_a_turn(spark):
+    from leadlens.functions.exprs import CAP_REPLY
+    m = log(spark, [(1, "user", "a", False), (1, "assistant", "b", False), (1, "user", "c", False),
+                    (1, "assistant", CAP_REPLY, False), (1, "user", "d", False)])
+    assert rows(C.session_counters(m), "turn_count") == [(1,)]
+    assert [r[0] for r in rows(C.turn_cap(m, cap=5).orderBy("id"), "turns_before")] == [0, 0, 1, 1, 1]
