@@ -134,13 +134,21 @@ def dq_session_requests(requests: DataFrame) -> DataFrame:
                            F.when(reason.isNull(), opt("notes", 500)).alias("notes"))
 
 
-def dq_messages(messages: DataFrame, max_chars: int = MAX_MESSAGE_CHARS) -> DataFrame:
-    """User message content, trimmed, must be 1..max_chars characters."""
+def dq_messages(messages: DataFrame, max_chars: int = MAX_MESSAGE_CHARS,
+                sessions: DataFrame | None = None) -> DataFrame:
+    """User messages: the session must not be finished yet (when ``sessions``
+    is given: sent after finished_at -> session_finished), then content,
+    trimmed, must be 1..max_chars characters."""
+    m = messages.filter(F.col("role") == "user")
+    rules = []
+    if sessions is not None:
+        fin = sessions.select(F.col("id").alias("_sid"), F.col("finished_at").alias("_fin"))
+        m = m.join(fin, m.session_id == fin._sid, "left")
+        rules.append((F.coalesce(F.col("created_at") > F.col("_fin"), F.lit(False)), "session_finished"))
     s = js_trim(F.coalesce(F.col("content"), F.lit("")))
-    reason = _first_failing([(s == "", "required"), (F.length(s) > max_chars, "too_long")])
-    return messages.filter(F.col("role") == "user").select(
-        "session_id", "id", reason.isNull().alias("valid"), reason.alias("reason"),
-        F.length(s).cast("long").alias("chars"))
+    reason = _first_failing(rules + [(s == "", "required"), (F.length(s) > max_chars, "too_long")])
+    return m.select("session_id", "id", reason.isNull().alias("valid"), reason.alias("reason"),
+                    F.length(s).cast("long").alias("chars"))
 
 
 def dq_contacts(contacts: DataFrame) -> DataFrame:

@@ -59,3 +59,14 @@ def test_dq_session_requests(spark):
     assert got[1][0] == "consent_required" and got[2][0] == "required" and got[3][0] == "too_long"
     assert got[4][0] == "bad_grade" and got[5][0] == "bad_age"
     assert got[6] == (None, "a", 2, "g", None)
+
+
+def test_dq_messages_finished_session(spark):
+    m = spark.createDataFrame([
+        ("s1", 1, "user", "salom", datetime(2024, 1, 1)), ("s1", 2, "user", "kech", datetime(2024, 1, 3)),
+        ("s2", 3, "user", "   ", datetime(2024, 1, 1)), ("s2", 4, "user", "x" * 11, datetime(2024, 1, 1)),
+        ("s2", 5, "assistant", "", datetime(2024, 1, 1))],
+        "session_id string, id long, role string, content string, created_at timestamp_ntz")
+    sess = spark.createDataFrame([("s1", datetime(2024, 1, 2)), ("s2", None)], "id string, finished_at timestamp_ntz")
+    got = dict(rows(G.dq_messages(m, max_chars=10, sessions=sess), "id", "reason"))
+    assert got == {1: None, 2: "session_finished", 3: "required", 4: "too_long"}
