@@ -23,16 +23,19 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/streams/{name}/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, path: str, split_col: str | None = None) -> str:
-    """Write ``df`` as landing files; ``split_col`` spreads rows over several files."""
+def stage(df: DataFrame, path: str, split_col: str | None = None, fmt: str = "parquet") -> str:
+    """Write ``df`` as landing files (Parquet or JSON lines); ``split_col``
+    spreads rows over several files."""
     w = df.repartition(F.col(split_col)) if split_col else df
-    (w.drop(split_col) if split_col else w).write.mode("overwrite").parquet(path)
+    (w.drop(split_col) if split_col else w).write.mode("overwrite").format(fmt).save(path)
     return path
 
 
-def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int = 2) -> DataFrame:
+def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int = 2,
+                 fmt: str = "parquet") -> DataFrame:
+    """A file stream over the landing folder with a fixed schema (no inference)."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(path))
+            .format(fmt).load(path))
 
 
 def run_to_sink(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
@@ -56,12 +59,14 @@ def batch_path(root: str, batch_id: int) -> str:
 # ---------------------------------------------------------------------------
 # Jobs
 # ---------------------------------------------------------------------------
-def ingest(spark: SparkSession, name: str, source: DataFrame, transform, split_col: str) -> DataFrame:
-    """Stage -> readStream -> transform -> parquet sink; returns the sink as a table."""
+def ingest(spark: SparkSession, name: str, source: DataFrame, transform, split_col: str,
+           fmt: str = "parquet") -> DataFrame:
+    """Stage -> readStream (Parquet or JSON lines) -> transform -> parquet sink;
+    returns the sink as a table. The stream's schema is the source's, fixed."""
     d = run_dir(spark, name)
-    stage(source, f"{d}/landing", split_col)
-    schema = spark.read.parquet(f"{d}/landing").schema
-    run_to_sink(transform(read_landing(spark, f"{d}/landing", schema)), f"{d}/sink", f"{d}/checkpoint")
+    schema = source.drop(split_col).schema
+    stage(source, f"{d}/landing", split_col, fmt)
+    run_to_sink(transform(read_landing(spark, f"{d}/landing", schema, fmt=fmt)), f"{d}/sink", f"{d}/checkpoint")
     return spark.read.parquet(f"{d}/sink")
 
 

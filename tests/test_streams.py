@@ -30,3 +30,14 @@ def test_first_report_stream_equals_batch(spark):
     got = S.first_report_stream(spark, att.withColumn("_split", F.lit(0)), "_split", first_report_wins)
     exp = first_report_wins(att)
     assert sorted(rows(got, "session_id", "share_token")) == sorted(rows(exp, "session_id", "share_token"))
+
+
+def test_ingest_from_json_landing(spark):
+    from types import SimpleNamespace
+
+    from leadlens.sources import adapters as A
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").withColumn("_split", F.col("conv_id") % 3)
+    tr = lambda s: A.messages(SimpleNamespace(conversations=s))
+    got = S.ingest(spark, "json_ingest_test", conv, tr, "_split", fmt="json")
+    exp = A.messages(SimpleNamespace(conversations=conv.drop("_split")))
+    assert sorted(rows(got, "id", "content", "created_at")) == sorted(rows(exp, "id", "content", "created_at"))
