@@ -238,3 +238,9 @@ def lead_status_dim(parents: DataFrame) -> DataFrame:
     return (parents.groupBy("lead_status").agg(F.count(F.lit(1)).alias("leads"))
             .select(F.col("lead_status").alias("value"), status_to_label(F.col("lead_status")).alias("label"),
                     status_order(F.col("lead_status")).alias("ord"), "leads"))
+
+
+def write_documents(docs: DataFrame, path: str, doc_col: str = "doc") -> None:
+    """JSON-lines sink for the document jobs (public report, lead detail,
+    resume): one document per line, written by every task in parallel."""
+    docs.select(doc_col).write.mode("overwrite").option("lineSep", "\n").text(path)

@@ -112,3 +112,14 @@ def test_lead_filters(spark):
     assert ids(status="Yozildi") == [2] and ids(status="nonsense") == [1, 2] and ids(status="all") == [1, 2]
     assert ids(grade="2") == [1] and ids(grade="3abc") == [1, 2] and ids(grade="all") == [1, 2]
     assert ids(since_days="4") == [1] and ids(since_days="3") == []
+
+
+def test_write_documents_json_lines(spark):
+    import glob
+    import json
+    import tempfile
+    docs = spark.createDataFrame([("a", '{"x": 1}'), ("b", '{"x": null}')], "k string, doc string")
+    d = tempfile.mkdtemp(prefix="docs-test-")
+    LD.write_documents(docs, d + "/out")
+    lines = [ln for p in glob.glob(d + "/out/part-*") for ln in open(p, encoding="utf-8").read().splitlines()]
+    assert sorted(json.loads(ln)["x"] or 0 for ln in lines) == [0, 1]
