@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines, line_count
+from .mixing import mix
 from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +45,103 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+DOC_WORDS_SQL = f"regexp_extract_all({LOWER_SQL}, '" + r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+" + "')"
+
+
+@query("op1_decontamination", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {DOC_WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {DOC_WORDS_SQL} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(w), 10) AS n,
+             array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS pattern
+      FROM b, LATERAL unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+x AS (SELECT rid, s.n, i, array_to_string(w[i:i + s.n - 1], ' ') AS pattern
+      FROM d, (SELECT DISTINCT n FROM p) AS s, LATERAL unnest(range(1, len(w) - s.n + 2)) AS t(i)),
+h AS (SELECT rid, i, n, item_id FROM x JOIN p USING (n, pattern)),
+hits AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM h) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN found USING (rid)""")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op9_line_dedup", """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT rid, doc_id, text, i, array_to_string(l[i:i + 2], chr(10)) AS k
+      FROM d, LATERAL unnest(range(1, len(l) - 1)) AS t(i)),
+later AS (SELECT rid, i FROM w WHERE translate(k, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> ''
+          QUALIFY rank() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, sha256(text), i) > 1),
+covered AS (SELECT DISTINCT rid, unnest(range(i, i + 3)) AS pos FROM later),
+lines AS (SELECT rid, i AS pos, l[i] AS line FROM d, LATERAL unnest(range(1, len(l) + 1)) AS t(i)),
+kept AS (SELECT rid, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n
+         FROM lines ANTI JOIN covered USING (rid, pos) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM d LEFT JOIN kept USING (rid)""")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", line_count("text").alias("n_lines")))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
+#: Target weights of the registered mix: three domains, by the number in a source's name, and four languages.
+DOMAIN = F.concat(F.lit("domain"), F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)"),
+                                              F.lit(0)) % 3)
+DOMAIN_WEIGHT = F.when(F.col("domain") == "domain0", 2).otherwise(1)
+LANGUAGE_WEIGHT = F.when(F.col("language") == "en", 4).otherwise(2)
+SOURCE_WEIGHT = F.lit(1)
+
+
+def registered_mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As many tokens as the documents have, at most three epochs of any source."""
+    return mix(docs, (DOMAIN_WEIGHT, LANGUAGE_WEIGHT, SOURCE_WEIGHT), DOMAIN, F.col("lang"), F.col("source"))
+
+
+def _fill_sql(name: str, parent: str | None, on: list[str], child: str, weight: str) -> str:
+    """One level of budgets: ``name``(on..., child, budget)."""
+    keys = ", ".join([*on, child])
+    part = f"PARTITION BY {', '.join(on)}" if on else ""
+    total = "(SELECT sum(supply) FROM leaves)" if parent is None else f"{parent}.budget"
+    join = f"JOIN {parent} USING ({', '.join(on)})" if parent else ""
+    return f"""
+{name}_in AS (SELECT {keys}, any_value({weight})::HUGEINT AS weight, sum(supply * 3)::HUGEINT AS capacity
+              FROM leaves GROUP BY {keys}),
+{name}_a AS (SELECT c.*, CAST({total} AS HUGEINT) AS total,
+    coalesce(sum(c.capacity) OVER ({part} ORDER BY c.capacity::DOUBLE / c.weight::DOUBLE, {child}
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+    sum(c.weight) OVER ({part} ORDER BY c.capacity::DOUBLE / c.weight::DOUBLE, {child}
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS weights FROM {name}_in AS c {join}),
+{name}_b AS (SELECT *, capacity * weights <= weight * (total - before) AS filled FROM {name}_a),
+{name}_c AS (SELECT *, coalesce(sum(capacity) FILTER (WHERE filled) OVER ({part}), 0)::HUGEINT AS taken,
+    coalesce(sum(weight) FILTER (WHERE NOT filled) OVER ({part}), 0)::HUGEINT AS open FROM {name}_b),
+{name} AS (SELECT {keys}, CASE WHEN filled THEN capacity ELSE weight * (total - taken) // open END AS budget
+           FROM {name}_c)"""
+
+
+@query("op10_mixing", r"""
+WITH d AS (SELECT doc_id, lang, source,
+    'domain' || (coalesce(TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INTEGER), 0) % 3) AS domain,
+    coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens,
+    md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
+leaves AS (SELECT domain, language, origin, sum(n_tokens)::HUGEINT AS supply FROM d GROUP BY ALL HAVING supply > 0),"""
+       + _fill_sql("dom", None, [], "domain", "CASE WHEN domain = 'domain0' THEN 2 ELSE 1 END") + ","
+       + _fill_sql("lan", "dom", ["domain"], "language", "CASE WHEN language = 'en' THEN 4 ELSE 2 END") + ","
+       + _fill_sql("src", "lan", ["domain", "language"], "origin", "1") + r""",
+plan AS (SELECT *, budget // supply AS full_epochs, budget % supply AS rest
+         FROM src JOIN leaves USING (domain, language, origin)),
+ordered AS (SELECT d.*, full_epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, language, origin
+    ORDER BY md5(CAST(full_epochs AS VARCHAR) || ':' || key) ROWS UNBOUNDED PRECEDING) <= rest AS more
+    FROM d JOIN plan USING (domain, language, origin))
+SELECT doc_id, lang, source, domain, n_tokens, CAST(unnest(range(full_epochs::BIGINT + more::BIGINT)) AS INTEGER) AS epoch
+FROM ordered""")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, _ = registered_mix(table(spark, sf_dir, "documents"))
+    return chosen.select("doc_id", "lang", "source", "domain", "n_tokens", "epoch")
