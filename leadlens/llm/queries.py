@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines, line_count
 from .mixing import mix
 from .simhash import simhash_groups
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,17 +92,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
-#: Target weights of the registered mix: three domains, by the number in a source's name, and four languages.
-DOMAIN = F.concat(F.lit("domain"), F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)"),
-                                              F.lit(0)) % 3)
-DOMAIN_WEIGHT = F.when(F.col("domain") == "domain0", 2).otherwise(1)
-LANGUAGE_WEIGHT = F.when(F.col("language") == "en", 4).otherwise(2)
-SOURCE_WEIGHT = F.lit(1)
-
-
 def registered_mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As many tokens as the documents have, at most three epochs of any source."""
-    return mix(docs, (DOMAIN_WEIGHT, LANGUAGE_WEIGHT, SOURCE_WEIGHT), DOMAIN, F.col("lang"), F.col("source"))
+    """As many tokens as the documents have, at most three epochs of any source.
+
+    Three domains, by the number in a source's name; weights 2, 1, 1. English weighs 4, other languages 2, sources 1.
+    """
+    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)"), F.lit(0))
+    weights = (F.when(F.col("domain") == "domain0", 2).otherwise(1),
+               F.when(F.col("language") == "en", 4).otherwise(2), F.lit(1))
+    return mix(docs, weights, F.concat(F.lit("domain"), number % 3), F.col("lang"), F.col("source"))
 
 
 def _fill_sql(name: str, parent: str | None, on: list[str], child: str, weight: str) -> str:
@@ -145,3 +144,8 @@ FROM ordered""")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen, _ = registered_mix(table(spark, sf_dir, "documents"))
     return chosen.select("doc_id", "lang", "source", "domain", "n_tokens", "epoch")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
