@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .langid import identify
 from .line_dedup import dedup_lines, line_count
 from .mixing import mix
 from .simhash import simhash_groups
+from .token_counts import histogram, limit_table, read_encoder, token_lengths
 from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +151,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit table over all documents: one row per encoded length."""
+    return limit_table(histogram(token_lengths(table(spark, sf_dir, "documents"), read_encoder())))

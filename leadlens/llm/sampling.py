@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 def crc_bucket(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as the text ''."""
@@ -19,14 +21,12 @@ def training_rows(labelled: DataFrame, label: str, per_label: int, max_chars: in
     max_chars characters. Ids are chosen first; texts of the chosen rows alone are read after that.
     """
     fit = labelled.where(F.length(text_col).between(1, max_chars))
-    # Each task keeps its own first rows of a label, so the final choice sees few.
-    ids = fit.select(F.col(label).alias("label"), F.col(id_col).alias("id"),
-                     F.md5(F.col(id_col).cast("string")).alias("turn"))
-    best = ids.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ids = written(fit.select(F.col(label).alias("label"), F.col(id_col).alias("id"),
+                             F.md5(F.col(id_col).cast("string")).alias("turn")), "labelled-ids")
     chosen = []
-    for value in sorted(r.label for r in best.collect()):
-        rows = ids.where(F.col("label") == F.lit(value)).orderBy("turn", "id").limit(per_label)
-        chosen += [r.id for r in rows.collect()]
+    for r in ids.select("label").distinct().orderBy("label").collect():
+        rows = ids.where(F.col("label") == F.lit(r.label)).orderBy("turn", "id").limit(per_label)
+        chosen += [x.id for x in rows.collect()]
     if not chosen:
         return []
     spark = labelled.sparkSession
