@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -13,6 +13,8 @@ from .exact_dedup import exact_dedup
 from .langid import identify
 from .line_dedup import dedup_lines, line_count
 from .mixing import mix
+from .secret_scan import (BASE_KINDS, KINDS, LIVE_DISTINCT, LIVE_LENGTH, MAX_OWNERS, MAX_REPOS, PLACEHOLDER,
+                          secret_scan, span_list)
 from .simhash import simhash_groups
 from .token_counts import histogram, limit_table, read_encoder, token_lengths
 from .toxicity import toxicity
@@ -162,3 +164,55 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limit table over all documents: one row per encoded length."""
     return limit_table(histogram(token_lengths(table(spark, sf_dir, "documents"), read_encoder())))
+
+
+def _kind_sql(number: int) -> str:
+    kind, pattern, group, least = KINDS[number]
+    pattern = pattern.replace("'", "''")
+    return f"""
+{kind}_a AS (SELECT rid, repo, owner, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS f,
+             regexp_extract_all(t, '{pattern}', {group}) AS v FROM d WHERE regexp_matches(t, '{pattern}')),
+{kind} AS (SELECT rid, repo, owner, {number} AS kind, e - length(f[i]) AS s, e, v[i] AS value
+           FROM (SELECT *, CAST(sum(length(gaps[i]) + length(f[i])) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS e
+                 FROM {kind}_a, LATERAL unnest(range(1, len(f) + 1)) AS t(i)) WHERE length(v[i]) >= {least})"""
+
+
+_SPAN_SQL = "['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind"
+
+
+@query("op2_secret_scan", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner,
+           coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
+{", ".join(_kind_sql(n) for n in range(len(KINDS)))},
+c AS ({" UNION ALL ".join(f"SELECT * FROM {kind}" for kind, *_ in KINDS)}),
+o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM c GROUP BY value),
+j AS (SELECT rid, kind, s, e, CASE WHEN owners > {MAX_OWNERS} OR repos > {MAX_REPOS} THEN 'example'
+             WHEN length(value) >= {LIVE_LENGTH} AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
+                  AND NOT regexp_matches(value, '{PLACEHOLDER}')
+                  AND len(list_distinct(string_split(value, ''))) >= {LIVE_DISTINCT} THEN 'live' ELSE 'other' END AS verdict
+      FROM c JOIN o USING (value)),
+k AS (SELECT * FROM j WHERE kind < {BASE_KINDS} OR (verdict = 'live' AND NOT EXISTS (
+        SELECT 1 FROM j AS b WHERE b.rid = j.rid AND b.kind < {BASE_KINDS} AND b.s < j.e AND j.s < b.e))),
+r AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+             count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE verdict = 'live') AS n_live,
+             count(*) FILTER (WHERE verdict = 'example') AS n_example,
+             string_agg({_SPAN_SQL}) FILTER (WHERE kind < {BASE_KINDS}) AS base, string_agg({_SPAN_SQL}) AS spans
+      FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN r USING (rid)""")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is the owner; the source's part in one language is the repository."""
+    repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    found = secret_scan(table(spark, sf_dir, "documents"), repo, F.col("source"))
+
+    def count(field: str, value: object) -> Column:
+        return F.size(F.filter("found", lambda s: s[field] == value)).cast("long")
+
+    base = F.filter("found", lambda s: s["kind"] < BASE_KINDS)
+    return found.select(
+        "doc_id", *(count("kind", k).alias(f"n_{KINDS[k][0]}") for k in range(BASE_KINDS)),
+        F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"),
+        count("verdict", "live").alias("n_live"),
+        count("verdict", "example").alias("n_example"))
