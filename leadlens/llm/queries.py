@@ -18,6 +18,7 @@ from .secret_scan import (BASE_KINDS, KINDS, LIVE_DISTINCT, LIVE_LENGTH, MAX_OWN
 from .simhash import simhash_groups
 from .token_counts import histogram, limit_table, read_encoder, token_lengths
 from .toxicity import toxicity
+from .url_templates import RULES, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -216,3 +217,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"),
         count("verdict", "live").alias("n_live"),
         count("verdict", "example").alias("n_example"))
+
+
+@query("op5_url_filter")
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled by their rule, else by the quality label of the same number."""
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
