@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from leadlens.session import checkpoint_root
 
@@ -40,6 +41,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_field(schema: StructType, name: str, kind: DataType) -> StructType:
+    """A new schema with one more field (``StructType.add`` would change the given one)."""
+    return StructType([*schema.fields, StructField(name, kind)])
+
+
 def own_columns(df: DataFrame, *names: str) -> list[str]:
     """Working column names that clash with none of ``df``'s (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -13,8 +13,8 @@ each label, texts of up to ``MAX_CHARS`` characters, at most ``BAG`` evenly spac
 Scoring is a map over Arrow batches without a shuffle; texts are cut into blocks of bounded size, so memory does not
 grow with the length of a text.
 
-Edge cases: null, empty and word-less texts score as one empty window; documents without a label or with a null
-label are not learned from; if no label of one kind exists, all texts score that share of labels (0 without any);
+Edge cases: null, empty and word-less texts have no window and score 0; documents without a label or with a null
+label are not learned from; if no label of one kind exists, texts with words score that share of labels (0 without any);
 repeated rows score alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import LOWER_BYTES, own_columns
+from .common import LOWER_BYTES, own_columns, with_field
 from .sampling import crc_bucket, training_rows
 
 WINDOW, STRIDE = 32, 24
@@ -67,7 +68,7 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def window_starts(n: int) -> np.ndarray:
-    """First words of the overlapping windows over n words; at least one window."""
+    """First words of the overlapping windows over n words."""
     return np.arange(0, max(n - WINDOW + STRIDE, 1), STRIDE)
 
 
@@ -265,10 +266,8 @@ def _calibrate(model: dict, held: list, share: float) -> np.ndarray:
 def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
     """Scores in [0, 1]. Texts are gathered into blocks of about BLOCK words; longer ones go block by block."""
     if "constant" in model:
-        return np.full(len(texts), float(model["constant"]))
+        return np.array([float(model["constant"]) if len(tokens(t)[0]) else 0.0 for t in texts])
     worst = np.full(len(texts), -np.inf)
-    empty = forward(model, tuple(np.zeros((1, 3 * HIDDEN), np.float32) for _ in "fb"),
-                    np.full((1, WINDOW), -1))[0]
     pending: list[tuple] = []
     owners: list[int] = []
     size = 0
@@ -287,10 +286,7 @@ def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
 
     for i, text in enumerate(texts):
         words, grams, first = tokens(text)
-        if not len(words):
-            worst[i] = empty
-            continue
-        starts = window_starts(len(words))
+        starts = window_starts(len(words)) if len(words) else words
         for k in range(0, len(starts), BLOCK // STRIDE):
             part = starts[k:k + BLOCK // STRIDE]
             a, b = part[0], min(part[-1] + WINDOW, len(words))
@@ -303,7 +299,7 @@ def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
                 flush()
     flush()
     slope, offset = model["calibration"]
-    return _sigmoid(slope * worst + offset)
+    return np.where(np.isinf(worst), 0.0, _sigmoid(slope * worst + offset))
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -332,7 +328,7 @@ def _scores(docs: DataFrame, model: dict, keep: bool, text_col: str, threshold:
             else:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], names=[*b.schema.names, score])
 
-    return docs.mapInArrow(run, docs.schema if keep else docs.select("*").schema.add(score, "double"))
+    return docs.mapInArrow(run, docs.schema if keep else with_field(docs.schema, score, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
