@@ -16,10 +16,6 @@ from leadlens.streaming import limiter as L
 from leadlens.streaming import streams as S
 
 
-def _split(df, col, n=3):
-    return df.withColumn("_split", F.abs(F.hash(F.col(col).cast("string"))) % n)
-
-
 @job("admission_limit")
 def admission_limit(t):
     """Events per user, 1-day window, at most 3 admitted."""
@@ -29,75 +25,77 @@ def admission_limit(t):
 
 @job("limit_policies")
 def limit_policies(t):
-    """Each event type is a route with its own policy; the caller is the user."""
-    et = F.col("event_type")
+    """Each event type is a route with its own policy; the caller is a session or an address of the user.
+
+    A tenth of the views are webhook calls, another tenth a route without a policy."""
+    et, tenth = F.col("event_type"), F.col("user_id") % 10
     route = (F.when(et == "signup", "new_session").when(et == "click", "message").when(et == "purchase", "report")
-             .when(et == "error", "admin_login").otherwise("read"))
-    req = t.events.select(route.alias("route"), F.col("user_id").alias("caller"), F.col("event_id").alias("id"), "ts")
+             .when(et == "error", "admin_login").when(tenth == 0, "webhook").when(tenth == 1, "health")
+             .otherwise("read"))
+    caller = F.concat(F.when(et.isin("click", "purchase"), "s").otherwise("ip"), F.col("user_id").cast("string"))
+    req = t.events.select(route.alias("route"), caller.alias("caller"), F.col("event_id").alias("id"), "ts")
     return L.limit_policies(req)
 
 
+@job("stream_admission_limit")
+def stream_admission_limit(t):
+    """The admission limiter as a stream; hits arrive in time order, in several micro-batches."""
+    hits = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts")
+    d = S.run_dir(t.spark, "stream_admission_limit")
+    S.stage(hits, f"{d}/landing", order=F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(S.SLICES - 1)))
+    decided = L.admission_limit_stream(S.read_landing(t.spark, f"{d}/landing", hits.schema), 24 * 3600, 3)
+    S.run_to_sink(decided, f"{d}/sink", f"{d}/checkpoint")
+    return t.spark.read.parquet(f"{d}/sink").select(
+        "key", "id", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "admitted")
+
+
 @job("ingest_messages")
 def ingest_messages(t):
-    src = _split(t.conversations, "conv_id")
-    return S.ingest(t.spark, "ingest_messages", src,
-                    lambda s: A.messages(SimpleNamespace(conversations=s)), "_split")
+    return S.ingest(t.spark, "ingest_messages", t.conversations,
+                    lambda s: A.messages(SimpleNamespace(conversations=s)))
 
 
 @job("ingest_sessions")
 def ingest_sessions(t):
-    return S.ingest_sessions(t.spark, _split(A.session_requests(t), "request_id"), "_split",
-                             G.dq_session_requests)
+    return S.ingest_sessions(t.spark, A.session_requests(t), G.dq_session_requests)
 
 
 @job("ingest_delivery_updates", spread=True)
 def ingest_delivery_updates(t):
-    src = _split(A.delivery_updates(t), "update_json")
-    return S.ingest(t.spark, "ingest_delivery_updates", src,
-                    lambda s: D.parse_updates(s).select("update_id", "chat_id", "token", "ts"), "_split")
+    return S.ingest(t.spark, "ingest_delivery_updates", A.delivery_updates(t),
+                    lambda s: D.parse_updates(s).select("update_id", "chat_id", "token", "ts"))
 
 
 @job("webhook_match", spread=True)
 def webhook_match(t):
     """Stream-static left join of /start tokens with reports; unknown -> found=false."""
     reports = A.reports(t).select("share_token", "session_id")
-    src = _split(A.delivery_updates(t), "update_json")
 
     def transform(s):
         p = D.parse_updates(s).filter(F.col("token").isNotNull())
         j = p.join(reports, p.token == reports.share_token, "left")
         return j.select("update_id", "token", F.col("share_token").isNotNull().alias("found"), "session_id", "ts")
-    return S.ingest(t.spark, "webhook_match", src, transform, "_split")
+    return S.ingest(t.spark, "webhook_match", A.delivery_updates(t), transform)
 
 
 @job("stream_first_report")
 def stream_first_report(t):
-    src = A.report_attempts(t).withColumn("_split", F.year("created_at"))
-    return S.first_report_stream(t.spark, src, "_split", R.first_report_wins)
+    return S.first_report_stream(t.spark, A.report_attempts(t), R.first_report_wins)
 
 
 @job("stream_delivery", spread=True)
 def stream_delivery(t):
     rep = A.reports(t)
-    first = S.delivery_stream(t.spark, _split(A.delivery_updates(t), "update_json"), rep,
-                              D.parse_updates, D.match_updates, "_split")
+    first = S.delivery_stream(t.spark, A.delivery_updates(t), rep, D.parse_updates, D.match_updates)
     return I.mark_delivered(rep, first.select("token", "ts"))
 
 
 @job("stream_session_state")
 def stream_session_state(t):
-    """Running counters per session from the turn log (update-mode aggregation)."""
-    def build(s):
-        return s.groupBy("session_id").agg(
-            F.count_if("inc_turn").alias("turns"), F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"), F.bool_or("m_mantiq").alias("done_mantiq"),
-            F.bool_or("m_psixologiya").alias("done_psixologiya"), F.bool_or("m_harakat").alias("done_harakat"))
-    return S.update_to_table(t.spark, "stream_session_state", _split(A.turn_log(t), "session_id"), "_split", build,
-                             ["session_id"])
+    """Running counters per session from the turn log."""
+    return S.merge_session_state(S.partials_to_table(t.spark, "stream_session_state", A.turn_log(t), S.session_state))
 
 
 @job("stream_funnel")
 def stream_funnel(t):
-    src = A.funnel_events(t).withColumn("_split", F.dayofmonth("ts") % 3)
-    return S.update_to_table(t.spark, "stream_funnel", src, "_split", S.stream_funnel_counts,
-                             ["window_start", "window_end", "metric"])
+    return S.merge_funnel_counts(S.partials_to_table(t.spark, "stream_funnel", A.funnel_events(t), S.funnel_counts))

@@ -61,7 +61,7 @@ def _partition_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key = b["key"].iloc[-1]
         logs = {last_key: logs[last_key]}
         yield pd.DataFrame({"key": b["key"], "id": b["id"], "ts_us": b["ts_us"], "admitted": dec,
-                            "orig_key": b["orig_key"]})
+                            "orig_key": b["orig_key"], "route": b["route"]})
 
 
 def idle_segments(h: DataFrame) -> DataFrame:
@@ -76,13 +76,13 @@ def idle_segments(h: DataFrame) -> DataFrame:
                               | (F.col("ts_us") - F.col("_prev_ts_us") >= F.col("window_us"))).cast("long"))
     s = sequence(s.drop("_rn", "_prev_ts_us"), "key", order, sums={"new": F.col("_new")})
     return s.select(F.concat(F.col("key"), F.lit("#"), (F.col("_before_new") + F.col("_new")).cast("string")).alias("segment"),
-                    "key", "id", "ts_us", "window_us", "max_hits")
+                    "key", "id", "ts_us", "window_us", "max_hits", *[c for c in h.columns if c == "route"])
 
 
 def admission_limit(hits: DataFrame, window_seconds: int | None = None, max_hits: int | None = None,
                     partitions: int | None = None, split_idle: bool = True) -> DataFrame:
-    """hits(key string, id long, ts timestamp[, window_us long, max_hits int]) ->
-    (key, id, ts, admitted). A constant window/max may be given instead of columns.
+    """hits(key string, id long, ts timestamp[, window_us long, max_hits int][, route]) ->
+    ([route,] key, id, ts, admitted). A constant window/max may be given instead of columns.
 
     With ``split_idle`` each key is first cut at idle gaps (>= window), so a
     busy key with quiet periods is decided by many tasks; within a segment the
@@ -93,17 +93,19 @@ def admission_limit(hits: DataFrame, window_seconds: int | None = None, max_hits
     if max_hits is not None:
         h = h.withColumn("max_hits", F.lit(int(max_hits)).cast("int"))
     h = h.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"),
-                 F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "window_us", "max_hits")
+                 F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "window_us", "max_hits",
+                 (F.col("route") if "route" in hits.columns else F.lit(None).cast("string")).alias("route"))
     n = int(partitions or h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if split_idle:
         g = idle_segments(h)
         ordered = g.repartition(n, "segment").sortWithinPartitions("segment", "ts_us", "id") \
-            .select(F.col("segment").alias("key"), F.col("key").alias("orig_key"), "id", "ts_us", "window_us", "max_hits")
+            .select(F.col("segment").alias("key"), F.col("key").alias("orig_key"), "id", "ts_us", "window_us", "max_hits", "route")
     else:
         ordered = h.repartition(n, "key").sortWithinPartitions("key", "ts_us", "id").withColumn("orig_key", F.col("key"))
-    schema = T.StructType([T.StructField(a, b) for a, b in OUT_FIELDS] + [T.StructField("orig_key", T.StringType())])
+    schema = T.StructType([T.StructField(a, b) for a, b in OUT_FIELDS] + [
+        T.StructField("orig_key", T.StringType()), T.StructField("route", T.StringType())])
     decided = ordered.mapInPandas(_partition_fn, schema)
-    return decided.select(F.col("orig_key").alias("key"), "id",
+    return decided.select(*(["route"] if "route" in hits.columns else []), F.col("orig_key").alias("key"), "id",
                           F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "admitted")
 
 
@@ -115,16 +117,12 @@ STREAM_OUT = "key string, id long, ts_us long, admitted boolean"
 
 
 def _stream_fn(window_us: int, max_hits: int):
-    window_ms = window_us // 1000
-
     def fn(key, pdfs, state):
         if state.hasTimedOut:
-            # The watermark passed the newest entry + window: all entries expired.
             state.remove()
             return
         log = deque(state.get[0]) if state.exists else deque()
-        parts = [p for p in pdfs]
-        rows = pd.concat(parts).sort_values(["ts_us", "id"]) if parts else pd.DataFrame()
+        rows = pd.concat(list(pdfs)).sort_values(["ts_us", "id"])
         out = []
         for i, t in zip(rows["id"].to_numpy(), rows["ts_us"].to_numpy()):
             while log and log[0] <= t - window_us:
@@ -133,58 +131,55 @@ def _stream_fn(window_us: int, max_hits: int):
             if ok:
                 log.append(int(t))
             out.append((key[0], int(i), int(t), ok))
-        expires_ms = log[-1] // 1000 + window_ms if log else None
-        if expires_ms is None or expires_ms <= state.getCurrentWatermarkMs():
-            state.remove()
-        else:
-            state.update((list(log),))
-            state.setTimeoutTimestamp(expires_ms)
+        state.update((list(log),))
+        state.setTimeoutTimestamp(int(rows["arrived_ms"].iloc[-1]) + max(1, window_us // 1000))
         yield pd.DataFrame(out, columns=["key", "id", "ts_us", "admitted"])
     return fn
 
 
-def admission_limit_stream(hits: DataFrame, window_seconds: int, max_hits: int,
-                           lateness_seconds: int | None = None) -> DataFrame:
+def admission_limit_stream(hits: DataFrame, window_seconds: int, max_hits: int) -> DataFrame:
     """Streaming hits -> decisions; state per key is the live log (<= max entries).
 
-    Rows are applied in (ts, id) order within a micro-batch and in arrival
-    order across micro-batches, as the in-process limiter does. Idle keys are
-    swept with an event-time timeout: once the watermark (max event time -
-    lateness) passes the newest entry + window, the key's state is dropped,
-    so the number of keys held is bounded by recent activity."""
+    Every hit gets a decision: rows are applied in (ts, id) order within a
+    micro-batch and in arrival order across micro-batches, as the in-process
+    limiter does. The watermark runs on the time of arrival, so no hit is ever
+    late; a key without a hit for a whole window of that clock is swept, as all
+    its entries have expired by then."""
     from pyspark.sql.streaming.state import GroupStateTimeout
-    late = int(lateness_seconds if lateness_seconds is not None else window_seconds)
-    h = (hits.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"),
-                     F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-                     F.col("ts").cast("timestamp").alias("event_time"))
-         .withWatermark("event_time", f"{late} seconds"))
+    h = hits.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"),
+                    F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                    F.current_timestamp().alias("arrived")).withWatermark("arrived", "0 seconds")
+    h = h.withColumn("arrived_ms", F.unix_millis("arrived"))
     return h.groupBy("key").applyInPandasWithState(
         _stream_fn(int(window_seconds) * 1_000_000, int(max_hits)), STREAM_OUT, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
-# Route policies (window seconds, max hits) and key prefixes.
+# Route policies (key prefix, window in seconds, most hits). Message and report calls are counted per
+# session, the others per address.
 POLICIES = [
     ("new_session", "newsess:", 24 * 60 * 60, 5),
     ("message", "msg:", 60, 20),
     ("report", "report:", 30, 2),
-    ("admin_login", "login:", 60, 5),
-    ("read", "read:", 60, 120),
+    ("read", "report:", 60, 120),
+    ("admin_login", "adminlogin:", 60, 5),
+    ("webhook", "tgwebhook:", 60, 120),
 ]
 
 
 def policy_table(spark) -> DataFrame:
-    """The five route policies: a fixed 5-row dimension (safe to broadcast)."""
+    """The route policies: a fixed six-row dimension (safe to broadcast)."""
     return spark.createDataFrame([(r, p, w * 1_000_000, m) for r, p, w, m in POLICIES],
                                  "route string, prefix string, window_us long, max_hits int")
 
 
 def limit_policies(requests: DataFrame) -> DataFrame:
-    """requests(route, caller, id, ts) -> per-route limiter decisions, keyed prefix || caller."""
+    """requests(route, caller, id, ts) -> per-route decisions, keyed prefix || caller.
+
+    A route without a policy, or a request without a caller, has no limit: it is admitted, with a NULL key."""
     pol = F.broadcast(policy_table(requests.sparkSession))
-    h = requests.join(pol, "route", "inner").select(
+    h = requests.join(pol, "route", "left").select(
         "route", F.concat(F.col("prefix"), F.col("caller").cast("string")).alias("key"), "id", "ts",
         "window_us", "max_hits")
-    d = admission_limit(h.drop("route"))
-    d = d.withColumn("prefix", F.regexp_extract("key", "^([a-z_]+:)", 1))
-    return d.join(pol.select("prefix", "route"), "prefix").select("route", "key", "id", "ts", "admitted")
+    free = h.where(F.col("key").isNull()).select("route", "key", "id", "ts", F.lit(True).alias("admitted"))
+    return admission_limit(h.where(F.col("key").isNotNull())).unionByName(free)

@@ -1,18 +1,23 @@
 """Structured Streaming jobs over a landing folder.
 
 Inputs arrive as files in a landing folder (here Spark stages them from the
-driver tables, split into several files so a run takes several
-micro-batches); each job reads it with ``readStream`` and a fixed schema,
-runs with ``availableNow`` and a checkpoint under the cluster's
+driver tables in several slices, so every run takes several micro-batches at
+any scale); each job reads it with ``readStream`` and a fixed schema, runs
+with ``availableNow`` and a checkpoint under the cluster's
 ``spark.checkpoint.dir``, and writes an idempotent sink. Re-running a job on
 the same checkpoint processes only new files.
+
+No job uses a watermark: results that span micro-batches are kept as one
+partial aggregate per batch folder and merged on read, so late rows count
+whenever they arrive, no state grows, and a replayed batch overwrites its
+own folder.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.session import checkpoint_root
@@ -23,19 +28,34 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/streams/{name}/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, path: str, split_col: str | None = None, fmt: str = "parquet") -> str:
-    """Write ``df`` as landing files (Parquet or JSON lines); ``split_col``
-    spreads rows over several files."""
-    w = df.repartition(F.col(split_col)) if split_col else df
-    (w.drop(split_col) if split_col else w).write.mode("overwrite").format(fmt).save(path)
+#: Slices of a staged landing folder, and so the least number of micro-batches of a run.
+SLICES = 4
+
+
+def stage(df: DataFrame, path: str, fmt: str = "parquet", order: Column | None = None) -> str:
+    """Write ``df`` as SLICES landing folders, one after the other (Parquet or JSON lines).
+
+    Slices are shares by a hash of the whole row, so the rows of one key and of
+    any period arrive over several micro-batches, out of time order. With
+    ``order`` (a column of 0..SLICES-1) they arrive in that order instead. Each
+    slice has as many files as ``df`` has partitions.
+    """
+    share = order if order is not None else F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SLICES))
+    for k in range(SLICES):
+        df.where(share == k).write.mode("overwrite").format(fmt).save(f"{path}/f{k}")
     return path
 
 
-def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int = 2,
+def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None,
                  fmt: str = "parquet") -> DataFrame:
-    """A file stream over the landing folder with a fixed schema (no inference)."""
+    """A file stream over the landing folder with a fixed schema (no inference).
+
+    By default a micro-batch takes one slice's worth of files."""
+    if files_per_trigger is None:
+        files = len(spark.read.schema(schema).format(fmt).load(f"{path}/*").inputFiles())
+        files_per_trigger = max(1, files // SLICES)
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .format(fmt).load(path))
+            .format(fmt).load(f"{path}/*"))
 
 
 def run_to_sink(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
@@ -59,24 +79,22 @@ def batch_path(root: str, batch_id: int) -> str:
 # ---------------------------------------------------------------------------
 # Jobs
 # ---------------------------------------------------------------------------
-def ingest(spark: SparkSession, name: str, source: DataFrame, transform, split_col: str,
-           fmt: str = "parquet") -> DataFrame:
+def ingest(spark: SparkSession, name: str, source: DataFrame, transform, fmt: str = "parquet") -> DataFrame:
     """Stage -> readStream (Parquet or JSON lines) -> transform -> parquet sink;
     returns the sink as a table. The stream's schema is the source's, fixed."""
     d = run_dir(spark, name)
-    schema = source.drop(split_col).schema
-    stage(source, f"{d}/landing", split_col, fmt)
-    run_to_sink(transform(read_landing(spark, f"{d}/landing", schema, fmt=fmt)), f"{d}/sink", f"{d}/checkpoint")
+    stage(source, f"{d}/landing", fmt)
+    run_to_sink(transform(read_landing(spark, f"{d}/landing", source.schema, fmt=fmt)), f"{d}/sink", f"{d}/checkpoint")
     return spark.read.parquet(f"{d}/sink")
 
 
-def ingest_sessions(spark: SparkSession, requests: DataFrame, split_col: str, validate) -> DataFrame:
+def ingest_sessions(spark: SparkSession, requests: DataFrame, validate) -> DataFrame:
     """Each micro-batch: validate, then append the children and their sessions
     from the same batch DataFrame, into per-batch folders (a replayed batch
     overwrites its own output, so the two appends stay atomic together)."""
     d = run_dir(spark, "ingest_sessions")
-    stage(requests, f"{d}/landing", split_col)
-    schema = spark.read.parquet(f"{d}/landing").schema
+    stage(requests, f"{d}/landing")
+    schema = requests.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
         ok = validate(batch).filter("valid")
@@ -93,80 +111,72 @@ def ingest_sessions(spark: SparkSession, requests: DataFrame, split_col: str, va
     return kids.join(sess, kids.id == sess.child_id, "inner").drop("child_id")
 
 
-def first_report_stream(spark: SparkSession, attempts: DataFrame, split_col: str, first_wins) -> DataFrame:
+def first_report_stream(spark: SparkSession, attempts: DataFrame, first_wins) -> DataFrame:
     """Exact first-insert-wins across micro-batches without re-reading the sink.
 
-    Each batch writes, per session, its own first attempt and attempt count
-    into its batch folder (a replay overwrites it). The table is the merge of
-    the versions: the winner of the earliest batch holding the session stands
-    (arrival order, as the unique index does), attempts add up."""
-    d = run_dir(spark, "stream_first_report")
-    stage(attempts, f"{d}/landing", split_col)
-    schema = spark.read.parquet(f"{d}/landing").schema
-    sink = f"{d}/reports"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        first_wins(batch).write.mode("overwrite").parquet(batch_path(sink, batch_id))
-
-    run_foreach_batch(read_landing(spark, f"{d}/landing", schema, files_per_trigger=1), write, f"{d}/checkpoint")
-    v = spark.read.parquet(sink)
-    order = F.struct("batch_id", "created_at", "share_token")
-    merged = v.groupBy("session_id").agg(F.min_by(F.struct("share_token", "created_at"), order).alias("w"),
-                                         F.sum("attempts").alias("attempts"))
+    Each batch writes, per session, its own first attempt and attempt count;
+    the table is the merge of the versions: the earliest attempt (created_at,
+    then token) stands whatever batch brought it, attempts add up."""
+    v = partials_to_table(spark, "stream_first_report", attempts, first_wins)
+    order = F.struct("created_at", "share_token")
+    merged = v.groupBy("session_id").agg(F.min(order).alias("w"), F.sum("attempts").alias("attempts"))
     return merged.select("session_id", F.col("w.share_token").alias("share_token"),
                          F.col("w.created_at").alias("created_at"), F.col("attempts").cast("long").alias("attempts"))
 
 
-def delivery_stream(spark: SparkSession, updates: DataFrame, reports: DataFrame, parse, match,
-                    split_col: str) -> DataFrame:
+def delivery_stream(spark: SparkSession, updates: DataFrame, reports: DataFrame, parse, match) -> DataFrame:
     """Webhook updates stream joined to the static reports table; the first
     delivery time per token is kept (later /start repeats change nothing).
 
     Each micro-batch writes its per-token minimum; the table is the minimum
     over batches, so the result does not depend on file arrival order."""
-    d = run_dir(spark, "stream_delivery")
-    stage(updates, f"{d}/landing", split_col)
-    schema = spark.read.parquet(f"{d}/landing").schema
-    sink = f"{d}/deliveries"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def first(batch: DataFrame) -> DataFrame:
         matched, _ = match(parse(batch), reports)
-        first = matched.groupBy("token").agg(F.min("ts").alias("ts"))
-        first.write.mode("overwrite").parquet(batch_path(sink, batch_id))
+        return matched.groupBy("token").agg(F.min("ts").alias("ts"))
 
-    run_foreach_batch(read_landing(spark, f"{d}/landing", schema, files_per_trigger=1), write, f"{d}/checkpoint")
-    return spark.read.parquet(sink).groupBy("token").agg(F.min("ts").alias("ts"))
+    return partials_to_table(spark, "stream_delivery", updates, first).groupBy("token").agg(F.min("ts").alias("ts"))
 
 
-def update_to_table(spark: SparkSession, name: str, source: DataFrame, split_col: str, build,
-                    keys: list[str]) -> DataFrame:
-    """Streaming aggregation in update mode: each micro-batch writes only the
-    groups it changed (their full current values) into its own batch folder,
-    so writes are O(batch), not O(state); replays overwrite their folder.
-    Reading takes, per group key, the row of the latest batch."""
-    d = run_dir(spark, name)
-    stage(source, f"{d}/landing", split_col)
-    schema = spark.read.parquet(f"{d}/landing").schema
+def partials_to_table(spark: SparkSession, name: str, source: DataFrame, build,
+                      run: str | None = None) -> DataFrame:
+    """Each micro-batch writes ``build(batch)`` into its own batch folder;
+    returns all of them for the caller to merge by key.
+
+    Writes are O(batch) and a replay overwrites its folder, so every row counts
+    exactly once however late it arrives. ``run`` resumes an earlier run folder."""
+    d = run or run_dir(spark, name)
+    if run is None:
+        stage(source, f"{d}/landing")
     out = f"{d}/result"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_path(out, batch_id))
+        build(batch).write.mode("overwrite").parquet(batch_path(out, batch_id))
 
-    run_foreach_batch(build(read_landing(spark, f"{d}/landing", schema)), write, f"{d}/checkpoint", mode="update")
-    return latest_per_key(spark.read.parquet(out), keys)
+    run_foreach_batch(read_landing(spark, f"{d}/landing", source.schema), write, f"{d}/checkpoint")
+    return spark.read.parquet(out).drop("batch_id")
 
 
-def latest_per_key(versions: DataFrame, keys: list[str]) -> DataFrame:
-    """Collapse per-batch versions to the newest one per key (an aggregate, no window)."""
-    vals = [c for c in versions.columns if c not in keys and c != "batch_id"]
-    latest = versions.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("_v"))
-    return latest.select(*keys, *[F.col("_v." + c).alias(c) for c in vals])
+def session_state(turns: DataFrame) -> DataFrame:
+    """Counters and flags per session of one micro-batch."""
+    return turns.groupBy("session_id").agg(
+        F.count_if("inc_turn").alias("turns"), F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"), F.bool_or("m_mantiq").alias("done_mantiq"),
+        F.bool_or("m_psixologiya").alias("done_psixologiya"), F.bool_or("m_harakat").alias("done_harakat"))
 
 
-def stream_funnel_counts(events: DataFrame, days: int = 7) -> DataFrame:
-    """Epoch-aligned tumbling windows per metric (not the now-anchored weekly funnel)."""
-    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
-            .groupBy(F.window("ts", f"{days} days"), "metric")
-            .agg(F.count(F.lit(1)).alias("n"))
+def merge_session_state(parts: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("turns", "input_tokens", "output_tokens")]
+    flags = [F.bool_or(c).alias(c) for c in ("done_mantiq", "done_psixologiya", "done_harakat")]
+    return parts.groupBy("session_id").agg(*sums, *flags)
+
+
+def funnel_counts(events: DataFrame, days: int = 7) -> DataFrame:
+    """Epoch-aligned tumbling windows per metric (not the now-anchored weekly funnel) of one micro-batch."""
+    return (events.withColumn("ts", F.col("ts").cast("timestamp"))
+            .groupBy(F.window("ts", f"{days} days"), "metric").agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window.end").cast("timestamp_ntz").alias("window_end"), "metric", "n"))
+
+
+def merge_funnel_counts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("window_start", "window_end", "metric").agg(F.sum("n").alias("n"))

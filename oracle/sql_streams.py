@@ -23,18 +23,28 @@ r AS (
   FROM r JOIN h ON h.key = r.key AND h.rn = r.rn + 1)"""
 
 
+REQUESTS = """SELECT *, CASE WHEN event_type = 'signup' THEN 'new_session' WHEN event_type = 'click' THEN 'message'
+    WHEN event_type = 'purchase' THEN 'report' WHEN event_type = 'error' THEN 'admin_login'
+    WHEN user_id % 10 = 0 THEN 'webhook' WHEN user_id % 10 = 1 THEN 'health' ELSE 'read' END AS route,
+    CASE WHEN event_type IN ('click', 'purchase') THEN 's' ELSE 'ip' END || CAST(user_id AS VARCHAR) AS caller FROM events"""
+
 SQL = {
     "admission_limit": limiter(
         "SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, ts, 86400000000 AS w, 3 AS m FROM events") + """
 SELECT key, id, ts, admitted FROM r""",
-    "limit_policies": limiter("""
-SELECT route, prefix || CAST(user_id AS VARCHAR) AS key, event_id AS id, ts, w, m FROM (
-  SELECT *, CASE event_type WHEN 'signup' THEN 'new_session' WHEN 'click' THEN 'message' WHEN 'purchase' THEN 'report'
-                 WHEN 'error' THEN 'admin_login' ELSE 'read' END AS route FROM events) e
+    "stream_admission_limit": limiter(
+        "SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, ts, 86400000000 AS w, 3 AS m FROM events") + """
+SELECT key, id, ts, admitted FROM r""",
+    # Limits of the product's routes: new sessions 5 a day, messages 20 a minute, reports 2 in half a minute, public
+    # reads and webhook calls 120 a minute, admin logins 5 a minute; any other route is free.
+    "limit_policies": limiter(f"""
+SELECT route, prefix || caller AS key, event_id AS id, ts, w, m FROM ({REQUESTS}) e
 JOIN (VALUES ('new_session', 'newsess:', 86400000000, 5), ('message', 'msg:', 60000000, 20),
-             ('report', 'report:', 30000000, 2), ('admin_login', 'login:', 60000000, 5),
-             ('read', 'read:', 60000000, 120)) p(r, prefix, w, m) ON p.r = e.route""", "route") + """
-SELECT route, key, id, ts, admitted FROM r""",
+             ('report', 'report:', 30000000, 2), ('read', 'report:', 60000000, 120),
+             ('admin_login', 'adminlogin:', 60000000, 5), ('webhook', 'tgwebhook:', 60000000, 120))
+     p(r, prefix, w, m) ON p.r = e.route""", "route") + f"""
+SELECT route, key, id, ts, admitted FROM r
+UNION ALL SELECT route, NULL, event_id, ts, true FROM ({REQUESTS}) e WHERE route = 'health'""",
     "ingest_messages": with_views(["messages"], "SELECT * FROM messages"),
     "ingest_sessions": f"""
 WITH {REQS.strip()},

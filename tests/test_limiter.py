@@ -88,3 +88,27 @@ def test_idle_segments_split_hot_key_exactly(spark):
     a = decisions(L.admission_limit(h, 60, 3, split_idle=True))
     b = decisions(L.admission_limit(h, 60, 3, split_idle=False))
     assert a == b == brute(pairs, 60, 3)
+
+
+def test_stream_decides_every_hit_however_late(spark):
+    d = S.run_dir(spark, "late_test")
+    late = hits(spark, [("a", 500_000), ("b", 500_001), ("a", 1), ("a", 2), ("c", 3), ("b", 4), ("c", 400_000), ("a", 500_002)])
+    for p in range(4):
+        late.filter(F.col("id") % 4 == p).write.parquet(f"{d}/landing/f{p}")
+    stream = (spark.readStream.schema("key string, id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1)
+              .parquet(f"{d}/landing/*"))
+    S.run_to_sink(L.admission_limit_stream(stream, 60, 3), f"{d}/out", f"{d}/ck")
+    assert sorted(r[0] for r in rows(spark.read.parquet(f"{d}/out"), "id")) == list(range(8))
+
+
+def test_policies_admit_unknown_routes_and_keep_the_route(spark):
+    req = spark.createDataFrame(
+        [(r, c, i, T0 + timedelta(seconds=s)) for i, (r, c, s) in enumerate(
+            [("report", "s1", 1), ("report", "s1", 2), ("report", "s1", 3), ("read", "ip1", 3), ("health", "ip1", 3),
+             ("health", "ip1", 4), ("read", None, 5), ("webhook", "ip1", 6)] + [("admin_login", "ip1", 10)] * 6)],
+        "route string, caller string, id long, ts timestamp_ntz")
+    got = {r.id: r for r in L.limit_policies(req).collect()}
+    assert len(got) == 14
+    assert [got[i].admitted for i in range(14)] == [True, True, False, True, True, True, True, True] + [True] * 5 + [False]
+    assert [got[i].key for i in (0, 3, 4, 6, 7, 8)] == ["report:s1", "report:ip1", None, None, "tgwebhook:ip1", "adminlogin:ip1"]
+    assert got[0].route == "report" and got[3].route == "read"

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -27,17 +28,59 @@ def test_first_report_stream_equals_batch(spark):
     t0 = datetime(2024, 1, 1)
     att = spark.createDataFrame(
         [(f"s{i % 7}", f"t{i}", t0 + timedelta(seconds=(i * 37) % 50)) for i in range(60)], SCHEMA)
-    got = S.first_report_stream(spark, att.withColumn("_split", F.lit(0)), "_split", first_report_wins)
+    got = S.first_report_stream(spark, att, first_report_wins)
     exp = first_report_wins(att)
-    assert sorted(rows(got, "session_id", "share_token")) == sorted(rows(exp, "session_id", "share_token"))
+    assert sorted(rows(got, "session_id", "share_token", "attempts")) == sorted(
+        rows(exp, "session_id", "share_token", "attempts"))
+
+
+def batches(folder):
+    return len([f for f in os.listdir(f"{folder}/checkpoint/commits") if not f.startswith(".")])
+
+
+def test_staging_gives_several_batches_with_a_keys_rows_apart(spark):
+    d = S.run_dir(spark, "staging_test")
+    src = spark.range(200).select(F.lit("one").alias("session_id"), "id")
+    S.stage(src, f"{d}/landing")
+    parts = [spark.read.parquet(f"{d}/landing/f{k}") for k in range(S.SLICES)]
+    assert S.SLICES >= 4 and all(p.count() for p in parts) and sum(p.count() for p in parts) == 200
+    spans = [p.agg(F.min("id"), F.max("id")).first() for p in parts]
+    assert all(a[0] < b[1] and b[0] < a[1] for a in spans for b in spans)  # periods overlap: out of order
+    S.run_to_sink(S.read_landing(spark, f"{d}/landing", src.schema), f"{d}/sink", f"{d}/checkpoint")
+    assert batches(d) >= 4 and spark.read.parquet(f"{d}/sink").count() == 200
+
+
+def test_partials_count_late_rows_once_over_batches_and_restart(spark):
+    events = spark.range(300).select(
+        (F.lit(datetime(2024, 1, 1)) + F.make_dt_interval(F.col("id").cast("int") % 90)).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") % 2 == 0, "started").otherwise("finished").alias("metric"))
+    d = S.run_dir(spark, "funnel_test")
+    S.stage(events, f"{d}/landing")
+    S.partials_to_table(spark, "funnel_test", events, S.funnel_counts, run=d)
+    got = S.merge_funnel_counts(S.partials_to_table(spark, "funnel_test", events, S.funnel_counts, run=d))  # nothing new
+    want = S.merge_funnel_counts(S.funnel_counts(events))
+    assert batches(d) >= 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    late = spark.createDataFrame([(datetime(2024, 1, 2), "started")], events.schema)
+    late.write.parquet(f"{d}/landing/late")
+    again = S.merge_funnel_counts(S.partials_to_table(spark, "funnel_test", events, S.funnel_counts, run=d))
+    assert sum(r.n for r in again.collect()) == 301
+
+
+def test_session_state_merges_a_session_over_batches(spark):
+    turns = spark.range(80).select((F.col("id") % 3).alias("session_id"), (F.col("id") % 4 == 0).alias("inc_turn"),
+                                   F.col("id").alias("input_tokens"), F.lit(2).alias("output_tokens"),
+                                   (F.col("id") == 30).alias("m_mantiq"), F.lit(False).alias("m_psixologiya"),
+                                   (F.col("id") > 70).alias("m_harakat"))
+    got = S.merge_session_state(S.partials_to_table(spark, "state_test", turns, S.session_state))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.session_state(turns).collect()))
 
 
 def test_ingest_from_json_landing(spark):
     from types import SimpleNamespace
 
     from leadlens.sources import adapters as A
-    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").withColumn("_split", F.col("conv_id") % 3)
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     tr = lambda s: A.messages(SimpleNamespace(conversations=s))
-    got = S.ingest(spark, "json_ingest_test", conv, tr, "_split", fmt="json")
-    exp = A.messages(SimpleNamespace(conversations=conv.drop("_split")))
+    got = S.ingest(spark, "json_ingest_test", conv, tr, fmt="json")
+    exp = A.messages(SimpleNamespace(conversations=conv))
     assert sorted(rows(got, "id", "content", "created_at")) == sorted(rows(exp, "id", "content", "created_at"))
