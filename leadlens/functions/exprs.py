@@ -21,9 +21,8 @@ LEAD_STATUS_LABELS = {
     "enrolled": "Yozildi",
     "closed": "Yopildi",
 }
-# Completion-marker tracks and the marker pattern (case-insensitive).
+# Completion-marker tracks.
 TRACKS = ["MANTIQ", "PSIXOLOGIYA", "HARAKAT"]
-MARKER_RE = r"\[YAKUN:\s*(MANTIQ|PSIXOLOGIYA|HARAKAT)\s*\]"
 # Report levels.
 LEVELS = ["shakllanmoqda", "meyorda", "kuchli"]
 # Token prices, USD per 1M tokens (input, output).
@@ -43,6 +42,16 @@ JS_WHITESPACE = ("\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u200
                  "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 
+# JS \s as a Java character class (Java's own \s is ASCII only).
+JS_SPACE = ("[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}"
+            "\\x{3000}\\x{FEFF}]*")
+
+
+def marker_pattern(*tracks: str) -> str:
+    """A completion marker of one of the tracks, in any case. The literal '[' in front lets the regex engine skip ahead."""
+    return "\\[(?i:YAKUN):" + JS_SPACE + "(?i:" + "|".join(tracks) + ")" + JS_SPACE + "\\]"
+
+
 def js_trim(c: Column) -> Column:
     """Trim like JS String.trim (Spark's one-argument ``trim`` strips only ' ').
 
@@ -142,11 +151,16 @@ def status_order(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 def has_marker(c: Column, track: str) -> Column:
     """True when the text reports ``track`` complete anywhere (any case, repeated ok)."""
-    return F.coalesce(c.rlike(r"\[(?i:YAKUN):\s*(?i:" + track + r")\s*\]"), F.lit(False))
+    return F.coalesce(c.rlike(marker_pattern(track)), F.lit(False))
 
 
 def any_marker(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"\[(?i:YAKUN):\s*(?i:MANTIQ|PSIXOLOGIYA|HARAKAT)\s*\]"), F.lit(False))
+    return F.coalesce(c.rlike(marker_pattern(*TRACKS)), F.lit(False))
+
+
+def marker_like(c: Column) -> Column:
+    """True when anything that begins like a marker is left, whatever its track."""
+    return F.coalesce(c.rlike(r"\[(?i:YAKUN):"), F.lit(False))
 
 
 def norm_level(c: Column) -> Column:

@@ -160,7 +160,7 @@ def dq_contacts(contacts: DataFrame) -> DataFrame:
     reason = _first_failing([(name == "", "required"), (F.length(name) > 100, "too_long"),
                              ((raw != "") & phone.isNull(), "bad_phone")])
     email = js_trim(F.coalesce(F.col("email"), F.lit("")))
-    mk = F.lower(F.coalesce(F.col("marketing").cast("string"), F.lit("")))
+    mk = F.coalesce(F.col("marketing").cast("string"), F.lit(""))  # 'TRUE' is no consent
     return contacts.select("contact_id", reason.isNull().alias("valid"), reason.alias("reason"),
                            F.when(raw == "", F.lit(None).cast("string")).otherwise(phone).alias("phone"),
                            F.when(email == "", F.lit(None).cast("string")).otherwise(F.substring(email, 1, 120)).alias("email"),

@@ -95,8 +95,27 @@ def upsert_parents(parents: DataFrame, contacts: DataFrame) -> DataFrame:
     return merged.unionByName(no_phone)
 
 
+def split_submissions(contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first, later): the first submission (ts, then id) of each child in the batch links it; later ones of the
+    same child update that family's contact instead of making another."""
+    first = contacts.groupBy("child_id").agg(F.min(_order_key()).alias("_first"))
+    first = first.select(F.col("child_id").alias("_child"), F.col("_first.contact_id").alias("_contact"))
+    tagged = contacts.join(first, contacts.child_id == F.col("_child"), "left")
+    is_first = F.col("child_id").isNull() | (F.col("contact_id") == F.col("_contact"))
+    return (tagged.filter(is_first).select(*contacts.columns), tagged.filter(~is_first).select(*contacts.columns))
+
+
+def submit_contacts(parents: DataFrame, children: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parents, children) after a batch of accepted submissions of still unlinked children."""
+    first, later = split_submissions(contacts)
+    upserted = upsert_parents(parents, first)
+    linked = link_children(children, first, upserted)
+    return update_contact(upserted, later, linked), linked
+
+
 def link_children(children: DataFrame, contacts: DataFrame, upserted: DataFrame) -> DataFrame:
-    """Set parent_id of each contacted, still unlinked child to its (upserted) parent."""
+    """Set parent_id of each contacted, still unlinked child to its (upserted) parent; its first contact decides."""
+    contacts, _ = split_submissions(contacts)
     by_phone = upserted.filter(F.col("phone").isNotNull()).select(F.col("phone").alias("p_phone"), F.col("id").alias("p_id"))
     c = contacts.select(F.col("child_id").alias("c_child"), "phone", "contact_id")
     # Phone-less contacts link to the parent they inserted; only the others

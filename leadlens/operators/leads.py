@@ -25,11 +25,12 @@ def child_label(nickname: Column, grade: Column) -> Column:
 
 
 def per_child_activity(sessions: DataFrame, reports: DataFrame) -> DataFrame:
-    """(child_id, sessions_count, last_report_at) from one union + one aggregation."""
-    s = sessions.select("child_id", F.lit(1).alias("is_session"), F.lit(None).cast("timestamp_ntz").alias("rep_at"))
-    r = reports.select("child_id", F.lit(0).alias("is_session"), F.col("created_at").alias("rep_at"))
+    """(child_id, distinct sessions_count, last_report_at) from one union + one aggregation."""
+    s = sessions.select("child_id", F.col("id").alias("session"), F.lit(None).cast("timestamp_ntz").alias("rep_at"))
+    r = reports.select("child_id", F.lit(None).cast(sessions.schema["id"].dataType).alias("session"),
+                       F.col("created_at").alias("rep_at"))
     return (s.unionByName(r).groupBy("child_id")
-            .agg(F.sum("is_session").cast("long").alias("sessions_count"),
+            .agg(F.count_distinct("session").alias("sessions_count"),
                  F.max("rep_at").alias("last_report_at")))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.functions.exprs import any_marker, js_trim, norm_level
+from leadlens.functions.exprs import JS_SPACE, TRACKS, js_trim, marker_like, marker_pattern, norm_level
 
 BULLET_RE = r"^- \*\*(.+?)\*\* — (.*)$"
 NUMBERED_RE = r"^([0-9]+)\. (.*)$"
@@ -19,13 +19,13 @@ LEVEL_RANK = {"shakllanmoqda": 1, "meyorda": 2, "kuchli": 3}
 
 
 # JS \s without the line feed: what may surround a marker on its own line.
-_LINE_WS = "[\\t\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]*"
+_LINE_WS = JS_SPACE.replace("\\n", "")
 # Patterns start with a case-sensitive literal ('\\n', '[', '`') so the regex
 # engine skips ahead cheaply; only the words inside are case-insensitive.
-_MARKER_CORE = "\\[(?i:YAKUN):\\s*(?i:MANTIQ|PSIXOLOGIYA|HARAKAT)\\s*\\]"
+_MARKER_CORE = marker_pattern(*TRACKS)
 # A line feed followed by a marker-only line (the text gets a leading '\\n').
 _MARKER_LINE_RE = "\\n" + _LINE_WS + _MARKER_CORE + _LINE_WS + "(?=\\n|\\z)"
-FENCE_FULL_RE = "(```(?i:json)(?s:\\s*.*?)```)"
+FENCE_FULL_RE = "(```(?i:json)(?s:.*?)```)"
 
 
 def strip_markers(text: Column) -> Column:
@@ -70,7 +70,9 @@ def parse_report(raw: DataFrame, text_col: str = "raw_text") -> DataFrame:
     riasec = F.try_variant_get("_v", "$.riasec", "array<string>")
 
     def lvl(key: str) -> Column:
-        return F.when(levels_ok, norm_level(F.try_variant_get("_v", f"$.levels.{key}", "string")))
+        at = f"$.levels.{key}"
+        plain = F.try_variant_get("_v", at, "map<string,variant>").isNull()  # an object is no level
+        return F.when(levels_ok & plain, norm_level(F.try_variant_get("_v", at, "string")))
 
     out_cols = [c for c in raw.columns if c != text_col]
     return d.select(*out_cols, "content_md",
@@ -132,7 +134,8 @@ def adult_text(messages: DataFrame) -> DataFrame:
 
 def report_quality_audit(parsed: DataFrame) -> DataFrame:
     """Contract checks on stored reports (the live-smoke warnings, per row)."""
-    p = parsed.withColumn("sections", F.size(_section_chunks(F.col("content_md"))))
+    headings = F.regexp_count("content_md", F.lit(r"(?m)^## "))  # every heading, with a body or without
+    p = parsed.withColumn("sections", F.coalesce(headings, F.lit(0)))
     lv = [F.col("level_logic"), F.col("level_psych"), F.col("level_activity")]
     has_null = lv[0].isNull() | lv[1].isNull() | lv[2].isNull()
     all_kuchli = (lv[0] == "kuchli") & (lv[1] == "kuchli") & (lv[2] == "kuchli")
@@ -140,7 +143,7 @@ def report_quality_audit(parsed: DataFrame) -> DataFrame:
     sec = F.coalesce(F.col("sections"), F.lit(0)).cast("long")
     partial_ok = ~F.col("partial") | has_null
     not_all_kuchli = ~F.coalesce(all_kuchli, F.lit(False))
-    no_marker = ~any_marker(F.col("content_md"))
+    no_marker = ~marker_like(F.col("content_md"))
     return p.select("session_id", F.length("content_md").cast("long").alias("body_chars"), sec.alias("sections"),
                     body_ok.alias("body_ok"), (sec >= 3).alias("sections_ok"), partial_ok.alias("partial_ok"),
                     not_all_kuchli.alias("not_all_kuchli"), no_marker.alias("no_marker_left"),
@@ -211,7 +214,7 @@ def greeting_audit(messages: DataFrame) -> DataFrame:
     g = a.groupBy("session_id").agg(F.min_by("content", F.struct("created_at", "id")).alias("greeting"))
     chars = F.length(F.coalesce("greeting", F.lit(""))).cast("long")
     card = F.coalesce(F.col("greeting").rlike(r"(?m)^>"), F.lit(False))
-    early = any_marker(F.col("greeting"))
+    early = marker_like(F.col("greeting"))
     return g.select("session_id", chars.alias("greeting_chars"), (chars > 50).alias("greeting_ok"),
                     card.alias("has_card"), (~early).alias("no_early_marker"),
                     ((chars > 50) & card & ~early).alias("ok"))

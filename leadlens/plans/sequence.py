@@ -71,7 +71,10 @@ def sequence(laid: DataFrame, key: str, order: list[str], sums: dict[str, Column
     cols += [F.lag(c).over(w).alias("_lp_" + c) for c in prev_cols]
     local = laid.select("*", *cols)
     carries = _carries(laid, key, order, sums, prev_cols)
-    j = local.join(F.broadcast(carries), [PID, key], "left")
+    # NULL is a key like any other: its rows continue from earlier partitions too.
+    carries = carries.withColumnRenamed(PID, "_c_pid").withColumnRenamed(key, "_c_key")
+    same = (F.col(PID) == F.col("_c_pid")) & F.col(key).eqNullSafe(F.col("_c_key"))
+    j = local.join(F.broadcast(carries), same, "left")
     out = [F.col("_lrn") + F.coalesce("_carry_n", F.lit(0))]
     names = ["_rn"]
     for n in sums:

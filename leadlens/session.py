@@ -61,6 +61,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="leadlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

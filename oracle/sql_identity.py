@@ -251,7 +251,7 @@ SELECT session_id, id, reason IS NULL AS valid, reason, chars FROM (
     "dq_contacts": with_views(["contacts"], f"""
 SELECT contact_id, reason IS NULL AS valid, reason, CASE WHEN {BLANK} THEN NULL ELSE {NORM} END AS phone,
        nullif(substr(trim(coalesce(email, '')), 1, 120), '') AS email,
-       lower(coalesce(CAST(marketing AS VARCHAR), '')) IN ('true', '1') AS marketing
+       coalesce(CAST(marketing AS VARCHAR), '') IN ('true', '1') AS marketing
 FROM (SELECT *, CASE WHEN trim(coalesce(parent_name, '')) = '' THEN 'required'
                      WHEN length(trim(coalesce(parent_name, ''))) > 100 THEN 'too_long'
                      WHEN NOT ({BLANK}) AND {NORM} IS NULL THEN 'bad_phone' END AS reason FROM contacts) x"""),

@@ -71,17 +71,15 @@ SELECT session_id, id, CAST(card_no AS BIGINT) AS card_no, card FROM (
   SELECT session_id, id, unnest(regexp_extract_all(content, '(?m)^>[ \\t]?(.*)$', 1)) AS card,
          generate_subscripts(regexp_extract_all(content, '(?m)^>[ \\t]?(.*)$', 1), 1) AS card_no
   FROM messages WHERE role = 'assistant') x"""),
-    "report_quality_audit": with_views(["reports"], """
-SELECT session_id, CAST(length(content_md) AS BIGINT) AS body_chars, CAST(3 AS BIGINT) AS sections,
-       length(content_md) > 400 AS body_ok, true AS sections_ok,
-       NOT partial OR level_logic IS NULL OR level_psych IS NULL OR level_activity IS NULL AS partial_ok,
-       NOT coalesce(level_logic = 'kuchli' AND level_psych = 'kuchli' AND level_activity = 'kuchli', false) AS not_all_kuchli,
-       NOT coalesce(regexp_matches(content_md, '(?i)\\[YAKUN:\\s*(MANTIQ|PSIXOLOGIYA|HARAKAT)\\s*\\]'), false) AS no_marker_left,
-       length(content_md) > 400
-         AND (NOT partial OR level_logic IS NULL OR level_psych IS NULL OR level_activity IS NULL)
-         AND NOT coalesce(level_logic = 'kuchli' AND level_psych = 'kuchli' AND level_activity = 'kuchli', false)
-         AND NOT coalesce(regexp_matches(content_md, '(?i)\\[YAKUN:\\s*(MANTIQ|PSIXOLOGIYA|HARAKAT)\\s*\\]'), false) AS ok
-FROM pr""", extra=[RR, PR]),
+    "report_quality_audit": with_views(["reports"], r"""
+SELECT *, body_ok AND sections_ok AND partial_ok AND not_all_kuchli AND no_marker_left AS ok FROM (
+  SELECT session_id, CAST(length(content_md) AS BIGINT) AS body_chars,
+         CAST(len(regexp_extract_all(content_md, '(?m)^## ')) AS BIGINT) AS sections,
+         length(content_md) > 400 AS body_ok, len(regexp_extract_all(content_md, '(?m)^## ')) >= 3 AS sections_ok,
+         NOT partial OR level_logic IS NULL OR level_psych IS NULL OR level_activity IS NULL AS partial_ok,
+         NOT coalesce(level_logic = 'kuchli' AND level_psych = 'kuchli' AND level_activity = 'kuchli', false) AS not_all_kuchli,
+         NOT coalesce(regexp_matches(content_md, '(?i)\[YAKUN:'), false) AS no_marker_left
+  FROM pr) AS checks""", extra=[RR, PR]),
     "premature_markers": with_views(["messages"], f"""
 SELECT p.session_id, g.real_answers, p.done_mantiq, p.done_psixologiya, p.done_harakat
 FROM (SELECT session_id, bool_or({marker('MANTIQ')}) AS done_mantiq, bool_or({marker('PSIXOLOGIYA')}) AS done_psixologiya,

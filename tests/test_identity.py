@@ -123,3 +123,25 @@ def test_write_documents_json_lines(spark):
     LD.write_documents(docs, d + "/out")
     lines = [ln for p in glob.glob(d + "/out/part-*") for ln in open(p, encoding="utf-8").read().splitlines()]
     assert sorted(json.loads(ln)["x"] or 0 for ln in lines) == [0, 1]
+
+
+def test_resubmission_of_one_child_in_a_batch(spark):
+    """The second submission of a child updates the family that the first one made."""
+    from datetime import datetime
+
+    parents = spark.createDataFrame(
+        [], "id long, name string, phone string, email string, marketing_consent boolean, consent_text_version string, "
+            "consented_at timestamp_ntz, lead_status string, admin_notes string, created_at timestamp_ntz")
+    children = spark.createDataFrame([(1, None), (2, None)], "id long, parent_id long")
+    t = [datetime(2024, 1, d) for d in range(1, 6)]
+    contacts = spark.createDataFrame(
+        [(10, 1, "Ona", "+998901234567", None, False, "v1", t[0]), (11, 1, "Ota", "+998907654321", "a@b.uz", True, "v2", t[1]),
+         (12, 2, "X", None, None, False, "v1", t[2]), (13, 2, "Y", None, None, True, "v1", t[3])],
+        "contact_id long, child_id long, parent_name string, phone string, email string, marketing boolean, "
+        "consent_version string, ts timestamp_ntz")
+    up, kids = I.submit_contacts(parents, children, contacts)
+    up = {r.id: r for r in up.collect()}
+    assert len(up) == 2 and kids.count() == 2
+    first, second = (up[r.parent_id] for r in kids.orderBy("id").collect())
+    assert (first.name, first.phone, first.email, first.marketing_consent) == ("Ota", "+998901234567", "a@b.uz", True)
+    assert (second.name, second.phone, second.marketing_consent) == ("Y", None, True)

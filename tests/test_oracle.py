@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from leadlens.plans.catalog import QUERIES
+from oracle.sql import SQL
 
 SF = "/root/testdata/sf0.01"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -29,12 +31,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(SQL))
 def test_matches_oracle(spark, con, key):
-    df = E.queries()[key](spark, SF)
+    df = QUERIES[key](spark, SF)
     cols = df.columns
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-    cur = con.execute(E.oracle_sql()[key])
+    cur = con.execute(SQL[key])
     ocols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(ocols)
     idx = [ocols.index(c) for c in cols]
@@ -43,7 +45,7 @@ def test_matches_oracle(spark, con, key):
 
 
 def test_every_key_has_oracle_or_test():
-    no_oracle = set(E.queries()) - set(E.oracle_sql())
+    no_oracle = set(QUERIES) - set(SQL)
     assert no_oracle <= {"lead_detail_json", "public_report_json", "resume_json"}
 
 

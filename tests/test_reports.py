@@ -83,3 +83,16 @@ def test_greeting_audit(spark):
     ], "session_id long, id long, role string, content string, created_at timestamp_ntz")
     got = {r[0]: r[1:] for r in rows(R.greeting_audit(m), "session_id", "greeting_ok", "has_card", "no_early_marker", "ok")}
     assert got == {1: (True, True, True, True), 2: (False, False, False, False)}
+
+
+def test_markers_with_unicode_space_object_levels_and_audit(spark):
+    text = "a\n[YAKUN: MANTIQ]\nb [yakun: HARAKAT ] c"
+    fence = '```json\n{"levels": {"mantiq": {"daraja": "Kuchli"}, "harakat": "Kuchli"}}\n```'
+    raw = spark.createDataFrame([("s", text + "\n" + fence, False)], "session_id string, raw_text string, partial boolean")
+    r = R.parse_report(raw).first()
+    assert r.content_md == "a\nb  c" and r.level_logic is None and r.level_activity == "kuchli"
+    parsed = spark.createDataFrame([("s", "## A\nx\n## B\ny\n## C", None, None, None, False), ("t", "[Yakun: SPORT]", None, None, None, False)],
+                                   "session_id string, content_md string, level_logic string, level_psych string, "
+                                   "level_activity string, partial boolean")
+    got = {x.session_id: x for x in R.report_quality_audit(parsed).collect()}
+    assert got["s"].sections == 3 and got["s"].no_marker_left and not got["t"].no_marker_left

@@ -23,3 +23,10 @@ def test_sequence_matches_windows_with_hot_key(spark):
     a = sorted(rows(got, "id", "_rn", "_before_v", "_prev_r"))
     b = sorted(rows(exp, "id", "_rn", "_before_v", "_prev_r"))
     assert a == b
+
+
+def test_null_key_is_one_key(spark):
+    from leadlens.plans.sequence import lay_out, sequence
+    df = spark.range(40).selectExpr("cast(null as string) as k", "id")
+    got = sequence(lay_out(df, "k", ["id"], partitions=5), "k", ["id"], prev_cols=["id"])
+    assert sorted((r.id, r._rn, r._prev_id) for r in got.collect()) == [(i, i + 1, i - 1 if i else None) for i in range(40)]
