@@ -60,6 +60,11 @@ def js_trim(c: Column) -> Column:
     return F.trim(c, F.lit(JS_WHITESPACE))
 
 
+def iso_utc(c: Column) -> Column:
+    """A UTC timestamp as JSON writes a date: 2024-01-31T08:00:00.000Z."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def round_half_up(c: Column, digits: int = 2) -> Column:
     """JS Math.round(x * 10^d) / 10^d on doubles (Spark ``round`` rounds 1.005 up)."""
     scale = float(10 ** digits)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # Documents keep null members, as JSON.stringify does (Spark drops them by default).
 JSON_OPTS = {"ignoreNullFields": "false"}
 
-from leadlens.functions.exprs import (display_phone, format_phone, status_to_enum,
+from leadlens.functions.exprs import (LEAD_STATUS_ORDER, display_phone, format_phone, iso_utc, status_to_enum,
                                       status_to_label)
 
 
@@ -184,17 +184,28 @@ def lead_detail(lead_children_df: DataFrame) -> DataFrame:
 
 
 def lead_detail_json(parents: DataFrame, detail: DataFrame) -> DataFrame:
-    """One JSON document per parent: parent fields + children[].sessions[]."""
+    """One JSON document per parent: parent fields, children[].sessions[], and the status options."""
     kids = detail.groupBy("parent_id").agg(F.array_sort(F.collect_list(
         F.struct(F.col("child_created_at").alias("_o"), F.col("child_id").alias("_id"),
                  F.col("name"), F.col("grade"), F.col("sessions")))).alias("kids"))
     p = parents.select("id", "name", display_phone(F.col("phone")).alias("phone"), "marketing_consent",
-                       "consent_text_version", "consented_at", "lead_status", "admin_notes", "created_at")
+                       "consent_text_version", iso_utc(F.col("consented_at")).alias("consented_at"), "lead_status",
+                       "admin_notes", iso_utc(F.col("created_at")).alias("created_at"))
     j = p.join(kids, p.id == kids.parent_id, "left")
-    children = F.transform(F.coalesce("kids", F.array().cast(kids.schema["kids"].dataType)),
-                           lambda k: F.struct(k["name"].alias("name"), k["grade"].alias("grade"),
-                                              k["sessions"].alias("sessions")))
-    doc = F.struct(F.struct(*[F.col(c) for c in p.columns]).alias("parent"), children.alias("children"))
+
+    def session(x: Column) -> Column:
+        return F.struct(iso_utc(x["date"]).alias("date"), x["partial"].alias("partial"),
+                        x["share_token"].alias("share_token"))
+
+    def child(k: Column) -> Column:
+        return F.struct(k["name"].alias("name"), k["grade"].alias("grade"),
+                        F.transform(k["sessions"], session).alias("sessions"))
+
+    statuses = F.array(*[F.struct(F.lit(v).alias("value"), status_to_label(F.lit(v)).alias("label"))
+                         for v in LEAD_STATUS_ORDER])
+    doc = F.struct(F.struct(*[F.col(c) for c in p.columns]).alias("parent"),
+                   F.transform(F.coalesce("kids", F.array().cast(kids.schema["kids"].dataType)), child).alias("children"),
+                   statuses.alias("statuses"))
     return j.select("id", F.to_json(doc, JSON_OPTS).alias("doc"))
 
 
@@ -203,17 +214,21 @@ def report_with_child(reports: DataFrame, children: DataFrame) -> DataFrame:
     return reports.join(c, reports.child_id == c.c_id, "inner").drop("c_id")
 
 
-def public_report(rwc: DataFrame) -> DataFrame:
-    """Public shape: levels struct, sports array, nickname, grade."""
-    return rwc.select(
-        "share_token", "nickname", "grade", "partial", "created_at",
-        F.struct(F.col("level_logic").alias("mantiq"), F.col("level_psych").alias("psixologiya"),
-                 F.col("level_activity").alias("harakat")).alias("levels"),
+PUBLIC_FIELDS = ["content_md", "nickname", "grade", "partial", "date", "levels", "sports"]
+
+
+def public_report(rwc: DataFrame, contents: DataFrame) -> DataFrame:
+    """What a share link shows: text, child, date, levels and sports. contents: (session_id, content_md)."""
+    text = contents.select(F.col("session_id").alias("t_session"), "content_md")
+    return rwc.join(text, rwc.session_id == text.t_session, "left").select(
+        "share_token", "content_md", "nickname", "grade", "partial", iso_utc(F.col("created_at")).alias("date"),
+        F.struct(F.col("level_logic").alias("logic"), F.col("level_psych").alias("psych"),
+                 F.col("level_activity").alias("activity")).alias("levels"),
         "sports")
 
 
 def public_report_json(pub: DataFrame) -> DataFrame:
-    return pub.select("share_token", F.to_json(F.struct(*[F.col(c) for c in pub.columns]), JSON_OPTS).alias("doc"))
+    return pub.select("share_token", F.to_json(F.struct(*PUBLIC_FIELDS), JSON_OPTS).alias("doc"))
 
 
 def report_filter_level_sport(reports: DataFrame, children: DataFrame, parents: DataFrame,

@@ -83,4 +83,4 @@ def minimized_llm_view(t):
 
 @job("resume_json")
 def resume_json(t):
-    return C.resume_documents(A.sessions(t), A.children(t), A.messages(t), A.reports(t))
+    return C.resume_documents(A.sessions(t), A.children(t), A.session_messages(t), A.reports(t))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadlens.operators import leads as L
+from leadlens.operators import reports as R
 from leadlens.plans.catalog import entity_as_of, job
 from leadlens.sources import adapters as A
 
@@ -101,20 +102,19 @@ def report_with_child(t):
 
 
 def _public(t):
-    return L.public_report(L.report_with_child(A.reports(t), A.children(t)))
+    contents = R.parse_report(A.report_replies(t).select("session_id", "raw_text"))
+    return L.public_report(L.report_with_child(A.reports(t), A.children(t)), contents)
 
 
-@job("public_report")
+@job("public_report", spread=True)
 def public_report(t):
-    p = _public(t)
-    return p.select("share_token", "nickname", "grade", "partial", "created_at",
-                    F.col("levels.mantiq").alias("level_mantiq"),
-                    F.col("levels.psixologiya").alias("level_psixologiya"),
-                    F.col("levels.harakat").alias("level_harakat"),
-                    F.array_join("sports", ",").alias("sports"))
+    return _public(t).select(
+        "share_token", "content_md", "nickname", "grade", "partial", "date", F.col("levels.logic").alias("level_logic"),
+        F.col("levels.psych").alias("level_psych"), F.col("levels.activity").alias("level_activity"),
+        F.array_join("sports", ",").alias("sports"))
 
 
-@job("public_report_json")
+@job("public_report_json", spread=True)
 def public_report_json(t):
     return L.public_report_json(_public(t))
 

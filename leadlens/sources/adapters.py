@@ -192,6 +192,14 @@ def messages(t: Tables) -> DataFrame:
     )
 
 
+def session_messages(t: Tables) -> DataFrame:
+    """Messages with the id of the session they belong to: conversation n is the first session (least id) of child n."""
+    first = sessions(t).groupBy(F.col("child_id").alias("_child")).agg(F.min("id").alias("_session"))
+    m = messages(t)
+    return m.join(first, m.session_id == F.col("_child")).withColumn("session_id", F.col("_session")).drop(
+        "_child", "_session")
+
+
 def contacts(t: Tables) -> DataFrame:
     """Contact-gate submissions: one per order, several per phone."""
     o, c = t.orders, t.customer

@@ -1,6 +1,7 @@
 """Oracle SQL for the lead jobs: each fact is counted where it lives, then families are put together once."""
 
 from oracle.adapters import with_views
+from oracle.sql_reports import PR, RR
 
 V4 = ["parents", "children", "sessions", "reports"]
 AS_OF = "TIMESTAMP '2001-11-05 00:00:00'"
@@ -58,6 +59,15 @@ LEFT JOIN (SELECT sessions.child_id, id AS session_id, status, started_at, share
                   reports.created_at AS report_at
            FROM sessions LEFT JOIN reports ON reports.session_id = sessions.id) AS v ON v.child_id = k.id"""
 
+def iso(col: str) -> str:
+    return f"strftime({col}, '%Y-%m-%dT%H:%M:%S.%gZ')"
+
+
+PUBLIC = f"""
+SELECT r.share_token, t.content_md, c.nickname, c.grade, r.partial, {iso('r.created_at')} AS date, r.level_logic,
+       r.level_psych, r.level_activity, r.sports
+FROM pr AS t JOIN reports AS r USING (session_id) JOIN children AS c ON c.id = r.child_id"""
+
 SQL = {
     "load_entities": with_views(["parents", "children", "sessions", "reports", "messages"], """
 SELECT 'parents' AS entity, CAST(count(*) AS BIGINT) AS rows FROM parents
@@ -96,11 +106,42 @@ GROUP BY parent_id, child_id, nickname, grade"""),
 SELECT r.session_id, r.child_id, r.share_token, c.nickname, c.grade, r.level_logic, r.level_psych,
        r.level_activity, r.partial, r.delivered, r.created_at
 FROM reports r JOIN children c ON c.id = r.child_id"""),
-    "public_report": with_views(["reports", "children"], """
-SELECT r.share_token, c.nickname, c.grade, r.partial, r.created_at, r.level_logic AS level_mantiq,
-       r.level_psych AS level_psixologiya, r.level_activity AS level_harakat,
-       array_to_string(r.sports, ',') AS sports
-FROM reports r JOIN children c ON c.id = r.child_id"""),
+    "public_report": with_views(["reports", "children"], f"""
+SELECT share_token, content_md, nickname, grade, partial, date, level_logic, level_psych, level_activity,
+       array_to_string(sports, ',') AS sports FROM ({PUBLIC}) AS x""", extra=[RR, PR]),
+    "public_report_json": with_views(["reports", "children"], f"""
+SELECT share_token, CAST(to_json(struct_pack(content_md, nickname, grade, partial, date,
+       levels := struct_pack(logic := level_logic, psych := level_psych, activity := level_activity), sports)) AS VARCHAR) AS doc
+FROM ({PUBLIC}) AS x""", extra=[RR, PR]),
+    "lead_detail_json": with_views(V4, f"""
+SELECT p.id, CAST(to_json(struct_pack(
+    parent := struct_pack(id := p.id, name := p.name,
+        phone := CASE WHEN coalesce(phone, '') = '' THEN NULL ELSE {fmt_phone('phone')} END,
+        marketing_consent := marketing_consent, consent_text_version := consent_text_version,
+        consented_at := {iso('consented_at')}, lead_status := lead_status, admin_notes := admin_notes,
+        created_at := {iso('created_at')}),
+    children := coalesce(kids, []),
+    statuses := list_transform(['new', 'contacted', 'interested', 'enrolled', 'closed'],
+                               lambda v: struct_pack(value := v, label := {LABEL.format(c='v')})))) AS VARCHAR) AS doc
+FROM parents AS p LEFT JOIN (
+  SELECT parent_id, list(struct_pack(name := nickname, grade := grade, sessions := runs)
+                         ORDER BY child_created_at, child_id) AS kids
+  FROM (SELECT parent_id, child_id, nickname, grade, child_created_at,
+               coalesce(list(struct_pack(date := {iso('coalesce(report_at, started_at)')}, partial := partial, share_token := share_token)
+                             ORDER BY started_at, share_token) FILTER (WHERE share_token IS NOT NULL), []) AS runs
+        FROM ({LEAD_CHILDREN}) AS lc GROUP BY ALL) AS c GROUP BY parent_id) AS k ON k.parent_id = p.id"""),
+    "resume_json": with_views(["children", "sessions", "reports", "messages"], """
+SELECT s.id AS session_id, CAST(to_json(struct_pack(
+    child := struct_pack(nickname := c.nickname, grade := c.grade, age := c.age, goal := c.goal, notes := c.notes),
+    messages := coalesce(m.said, []), status := s.status,
+    progress := struct_pack(mantiq := done_mantiq, psixologiya := done_psixologiya, harakat := done_harakat),
+    done := done_mantiq AND done_psixologiya AND done_harakat, turn_count := turn_count,
+    report := CASE WHEN r.share_token IS NOT NULL
+                   THEN struct_pack(share_token := r.share_token, partial := r.partial) END)) AS VARCHAR) AS doc
+FROM sessions AS s LEFT JOIN children AS c ON c.id = s.child_id LEFT JOIN reports AS r ON r.session_id = s.id
+LEFT JOIN (SELECT f.sid, list(struct_pack(role := role, content := content, meta := meta) ORDER BY created_at, messages.id) AS said
+           FROM messages JOIN (SELECT child_id, min(id) AS sid FROM sessions GROUP BY child_id) AS f
+                ON f.child_id = messages.session_id GROUP BY f.sid) AS m ON m.sid = s.id"""),
     "report_filter_level_sport": with_views(["parents", "children", "reports"], """
 SELECT p.id, p.name, p.lead_status FROM parents p
 WHERE EXISTS (SELECT 1 FROM children c JOIN reports r ON r.child_id = c.id
