@@ -20,8 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import own_columns, written
+from .common import own_columns, with_field, written
 
 WINDOW = 3
 
@@ -75,7 +76,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, text_col: str = "text", i
     starts, id_, key, removed = own_columns(docs, "starts", "id_key", "text_key", removed_col)
     later = later_occurrences(found).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key),
                                             F.col("starts").alias(starts))
-    joined = docs.join(written(later, "covered"), F.col(id_col).cast("long").eqNullSafe(F.col(id_))
+    # Merged at any size: whether the covered positions would fit a broadcast grows with the corpus.
+    joined = docs.join(written(later, "covered").hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col(id_))
                        & (_key(F.col(text_col)) == F.col(key)), "left").drop(id_, key)
     at, last = docs.columns.index(text_col), len(docs.columns)
 
@@ -94,8 +96,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, text_col: str = "text", i
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())],
                                              names=[*b.schema.names[:last], removed])
 
-    schema = docs.schema.add(removed, "long")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, with_field(docs.schema, removed, LongType()))
 
 
 def line_count(text_col: str) -> Column:

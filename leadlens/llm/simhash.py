@@ -208,7 +208,8 @@ def near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_
     ids = written(ids, "near-copies")
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(
         F.col("doc_id").alias(gone))
-    kept = docs.join(ids, F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    # Merged at any size: whether the ids would fit a broadcast grows with the corpus.
+    kept = docs.join(ids.hint("merge"), F.col(id_col).cast("long") == F.col(gone), "left_anti")
     return _one_per_id(kept, written(twice, "repeated-ids"), gone, rank, text_col, id_col)
 
 
