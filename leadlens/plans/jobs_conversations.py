@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from leadlens.operators import conversations as C
 from leadlens.plans.catalog import job
 from leadlens.sources import adapters as A
@@ -42,13 +44,13 @@ def dangling_user_turn(t):
 
 @job("turn_cap")
 def turn_cap(t):
-    # Fixture transcripts have at most 4 LLM turns; a cap of 3 exercises both branches.
-    return C.turn_cap(A.messages(t), cap=3)
+    # Forty conversations make a session, so that sessions pass the product's cap of 60 turns.
+    return C.turn_cap(A.messages(t).withColumn("session_id", F.floor(F.col("session_id") / 40)))
 
 
 @job("engagement_gate")
 def engagement_gate(t):
-    return C.engagement_gate(A.messages(t))
+    return C.engagement_gate(A.session_messages(t), A.sessions(t))
 
 
 @job("track_markers")

@@ -53,7 +53,12 @@ def apply_turns(t):
 
 @job("finish_sessions")
 def finish_sessions(t):
-    return I.finish_sessions(A.sessions(t), R.first_report_wins(A.report_attempts(t)))
+    # A quarter of the sessions is still open when their reports arrive.
+    is_open = F.col("child_id") % 4 == 0
+    sessions = A.sessions(t).withColumns({
+        "status": F.when(is_open, F.lit("active")).otherwise(F.col("status")),
+        "finished_at": F.when(~is_open, F.col("finished_at"))})
+    return I.finish_sessions(sessions, R.first_report_wins(A.report_attempts(t)))
 
 
 @job("insert_report_if_absent")
@@ -129,7 +134,9 @@ def dq_session_requests(t):
 
 @job("dq_messages")
 def dq_messages(t):
-    return G.dq_messages(A.messages(t), max_chars=1000)
+    # Some messages are blank, others up to four times as long, to fall on both sides of the product's 2,000.
+    content = F.when(F.col("id") % 11 == 0, F.lit(" ")).otherwise(F.expr("repeat(content, cast(1 + id % 4 as int))"))
+    return G.dq_messages(A.messages(t).withColumn("content", content))
 
 
 @job("dq_contacts", spread=True)

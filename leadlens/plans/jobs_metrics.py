@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from leadlens.operators import metrics as M
 from leadlens.plans.catalog import entity_as_of, events_as_of, job
 from leadlens.sources import adapters as A
@@ -56,8 +58,9 @@ def by_prompt_version_model(t):
 
 @job("token_outliers")
 def token_outliers(t):
-    # 1.5 sd: token counts are near-uniform in the fixtures, so 3 sd selects nothing.
-    return M.token_outliers(A.sessions(t), k=1.5)
+    # Token counts are near-uniform in the fixtures; about one session in a hundred used forty times as many.
+    heavy = F.when(F.col("child_id") % 97 == 0, F.col("input_tokens") * 40).otherwise(F.col("input_tokens"))
+    return M.token_outliers(A.sessions(t).withColumn("input_tokens", heavy))
 
 
 @job("level_mix")

@@ -52,14 +52,16 @@ SELECT session_id, last_id, last_role, last_role <> 'assistant' AS pending,
 FROM (SELECT session_id, arg_max(id, (created_at, id)) AS last_id, arg_max(role, (created_at, id)) AS last_role,
              arg_max(meta, (created_at, id)) AS last_meta FROM messages GROUP BY session_id) x"""),
     "turn_cap": with_views(M, f"""
-SELECT session_id, id, role, tb AS turns_before, role <> 'assistant' AND tb >= 3 AS over_cap
+SELECT session_id, id, role, tb AS turns_before, role <> 'assistant' AND tb >= 60 AS over_cap
 FROM (SELECT *, CAST(coalesce(sum(CASE WHEN role = 'assistant' AND coalesce(content, '') <> {CAP} THEN 1 ELSE 0 END)
                  OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tb
-      FROM messages) x"""),
-    "engagement_gate": with_views(M, """
-SELECT session_id, CAST(count(*) FILTER (WHERE role = 'user' AND NOT meta) AS BIGINT) AS real_answers,
-       count(*) FILTER (WHERE role = 'user' AND NOT meta) >= 1 AS gate_ok
-FROM messages GROUP BY session_id"""),
+      FROM (SELECT * REPLACE (session_id // 40 AS session_id) FROM messages) AS long_sessions) x"""),
+    "engagement_gate": with_views([*M, "sessions"], """
+SELECT id AS session_id, CAST(coalesce(answers, 0) AS BIGINT) AS real_answers, coalesce(answers, 0) >= 1 AS gate_ok
+FROM sessions LEFT JOIN (
+  SELECT first_id, count(*) AS answers FROM messages
+  JOIN (SELECT child_id, min(id) AS first_id FROM sessions GROUP BY child_id) AS f ON f.child_id = messages.session_id
+  WHERE role = 'user' AND NOT meta GROUP BY first_id) AS a ON a.first_id = sessions.id"""),
     "track_markers": with_views(M, f"""
 SELECT session_id, id, {marker('MANTIQ')} AS m_mantiq, {marker('PSIXOLOGIYA')} AS m_psixologiya,
        {marker('HARAKAT')} AS m_harakat

@@ -153,7 +153,8 @@ FROM sessions s LEFT JOIN (
     "finish_sessions": with_views(["sessions"], """
 SELECT s.id, CASE WHEN f.session_id IS NOT NULL THEN 'finished' ELSE s.status END AS status,
        CASE WHEN f.session_id IS NOT NULL THEN coalesce(s.finished_at, f.created_at) ELSE s.finished_at END AS finished_at
-FROM sessions s LEFT JOIN (SELECT session_id, min(created_at) AS created_at FROM a GROUP BY session_id) f
+FROM (SELECT id, CASE WHEN child_id % 4 = 0 THEN 'active' ELSE status END AS status,
+             CASE WHEN child_id % 4 <> 0 THEN finished_at END AS finished_at FROM sessions) AS s LEFT JOIN (SELECT session_id, min(created_at) AS created_at FROM a GROUP BY session_id) f
   ON f.session_id = s.id""", extra=[ATTEMPTS]),
     "insert_report_if_absent": f"""
 WITH {ATTEMPTS.strip()},
@@ -246,8 +247,9 @@ FROM y""",
 SELECT session_id, id, reason IS NULL AS valid, reason, chars FROM (
   SELECT session_id, id, CAST(length(trim(coalesce(content, ''))) AS BIGINT) AS chars,
          CASE WHEN trim(coalesce(content, '')) = '' THEN 'required'
-              WHEN length(trim(coalesce(content, ''))) > 1000 THEN 'too_long' END AS reason
-  FROM messages WHERE role = 'user') x"""),
+              WHEN length(trim(coalesce(content, ''))) > 2000 THEN 'too_long' END AS reason
+  FROM (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN ' ' ELSE repeat(content, 1 + id % 4) END AS content)
+        FROM messages WHERE role = 'user') AS said) x"""),
     "dq_contacts": with_views(["contacts"], f"""
 SELECT contact_id, reason IS NULL AS valid, reason, CASE WHEN {BLANK} THEN NULL ELSE {NORM} END AS phone,
        nullif(substr(trim(coalesce(email, '')), 1, 120), '') AS email,

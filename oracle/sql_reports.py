@@ -84,7 +84,7 @@ SELECT *, body_ok AND sections_ok AND partial_ok AND not_all_kuchli AND no_marke
 SELECT p.session_id, g.real_answers, p.done_mantiq, p.done_psixologiya, p.done_harakat
 FROM (SELECT session_id, bool_or({marker('MANTIQ')}) AS done_mantiq, bool_or({marker('PSIXOLOGIYA')}) AS done_psixologiya,
              bool_or({marker('HARAKAT')}) AS done_harakat FROM messages WHERE role = 'assistant' GROUP BY session_id) p
-JOIN (SELECT session_id, CAST(count(*) FILTER (WHERE role = 'user' AND NOT meta) AS BIGINT) AS real_answers
+JOIN (SELECT session_id, CAST(count(*) FILTER (WHERE role = 'user' AND NOT meta AND session_id % 5 <> 0) AS BIGINT) AS real_answers
       FROM messages GROUP BY session_id) g ON g.session_id = p.session_id
 WHERE (p.done_mantiq OR p.done_psixologiya OR p.done_harakat) AND g.real_answers = 0"""),
     "first_report_wins": f"""
