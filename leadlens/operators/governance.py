@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions.exprs import (LEAD_STATUS_ORDER, MAX_MESSAGE_CHARS, js_trim, normalize_phone,
                                       parse_int_prefix)
+from leadlens.sources.snapshots import write_snapshot, write_tables
 
 
 def last_activity(sessions: DataFrame) -> DataFrame:
@@ -67,10 +68,11 @@ def retention_purge(parents, children, sessions, messages, reports, as_of: Colum
     tables are written as one snapshot version first and the audit counts the
     written files (lineage cut; a retry re-reads instead of recomputing)."""
     gone = children_expired(sessions, as_of, months)
+    if write:  # five rewrites use the ids: aggregate the sessions once
+        gone = write_snapshot(gone, "retention_purge_ids")
     after = cascade_children(children, sessions, messages, reports, gone)
     after["parents"] = parents.join(orphan_parents(parents, after["children"]).select("id"), "id", "left_anti")
     if write:
-        from leadlens.sources.snapshots import write_tables
         after = write_tables(after, "retention_purge")
     before = {"parents": parents, "children": children, "sessions": sessions, "messages": messages,
               "reports": reports}
@@ -87,10 +89,11 @@ def erase_parents(parents, children, sessions, messages, reports, requests: Data
     not_found = req.join(parents.select("id"), "id", "left_anti")
     gone_children = (children.filter(F.col("parent_id").isNotNull())
                      .join(req.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id"))
+    if write:
+        gone_children = write_snapshot(gone_children, "erase_parents_ids")
     after = cascade_children(children, sessions, messages, reports, gone_children)
     after["parents"] = parents.join(req, "id", "left_anti")
     if write:
-        from leadlens.sources.snapshots import write_tables
         after = write_tables(after, "erase_parents")
     before = {"parents": parents, "children": children, "sessions": sessions, "messages": messages,
               "reports": reports}

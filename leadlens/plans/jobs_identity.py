@@ -112,14 +112,14 @@ def orphan_parents(t):
 
 @job("retention_purge")
 def retention_purge(t):
-    _, audit = G.retention_purge(A.parents(t), A.children(t), A.sessions(t), A.messages(t), A.reports(t),
+    _, audit = G.retention_purge(A.parents(t), A.children(t), A.sessions(t), A.session_messages(t), A.reports(t),
                                  entity_as_of(), 24, write=True)
     return audit
 
 
 @job("erase_parents")
 def erase_parents(t):
-    _, audit, not_found = G.erase_parents(A.parents(t), A.children(t), A.sessions(t), A.messages(t),
+    _, audit, not_found = G.erase_parents(A.parents(t), A.children(t), A.sessions(t), A.session_messages(t),
                                           A.reports(t), A.erasure_requests(t), write=True)
     nf = not_found.agg(F.count(F.lit(1)).alias("before")).select(
         F.lit("not_found").alias("table"), "before", F.lit(0).cast("long").alias("after"),

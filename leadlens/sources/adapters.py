@@ -193,10 +193,13 @@ def messages(t: Tables) -> DataFrame:
 
 
 def session_messages(t: Tables) -> DataFrame:
-    """Messages with the id of the session they belong to: conversation n is the first session (least id) of child n."""
+    """Messages with the id of the session they belong to: conversation n is the first session (least id) of child n.
+
+    Conversations without such a child keep their own number."""
     first = sessions(t).groupBy(F.col("child_id").alias("_child")).agg(F.min("id").alias("_session"))
     m = messages(t)
-    return m.join(first, m.session_id == F.col("_child")).withColumn("session_id", F.col("_session")).drop(
+    own = F.coalesce("_session", m.session_id.cast("string"))
+    return m.join(first, m.session_id == F.col("_child"), "left").withColumn("session_id", own).drop(
         "_child", "_session")
 
 

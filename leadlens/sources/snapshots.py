@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadlens.session import checkpoint_root
 
@@ -25,6 +26,21 @@ def write_snapshot(df: DataFrame, name: str, version: str | None = None) -> Data
 
 
 def write_tables(tables: dict[str, DataFrame], prefix: str) -> dict[str, DataFrame]:
-    """Write a set of tables under one version id."""
+    """Write a set of tables under one version id and publish it: the manifest is written last, so readers of
+    ``published`` see all tables of a version or none (a failure in between leaves the earlier version)."""
     v = uuid.uuid4().hex
-    return {n: write_snapshot(df, f"{prefix}/{n}", v) for n, df in tables.items()}
+    out = {n: write_snapshot(df, f"{prefix}/{n}", v) for n, df in tables.items()}
+    spark = next(iter(tables.values())).sparkSession
+    names = F.array(*[F.lit(n) for n in tables])
+    spark.range(1).select(F.lit(v).alias("version"), names.alias("tables"),
+                          F.current_timestamp().alias("published_at")).write.mode("append").parquet(
+        f"{checkpoint_root(spark)}/snapshots/{prefix}/manifest")
+    return out
+
+
+def published(spark: SparkSession, prefix: str) -> dict[str, DataFrame]:
+    """The tables of the newest published version."""
+    root = f"{checkpoint_root(spark)}/snapshots/{prefix}"
+    log = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/manifest")
+    newest = log.orderBy(F.desc("published_at")).first()
+    return {n: spark.read.parquet(f"{root}/{n}/v={newest.version}") for n in newest.tables}

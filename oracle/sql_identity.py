@@ -202,7 +202,8 @@ UNION ALL SELECT 'children', (SELECT count(*) FROM children), (SELECT count(*) F
        (SELECT count(*) FROM children) - (SELECT count(*) FROM c2)
 UNION ALL SELECT 'sessions', (SELECT count(*) FROM sessions), (SELECT count(*) FROM s2),
        (SELECT count(*) FROM sessions) - (SELECT count(*) FROM s2)
-UNION ALL SELECT 'messages', (SELECT count(*) FROM messages), (SELECT count(*) FROM messages), 0
+UNION ALL SELECT 'messages', (SELECT count(*) FROM messages), (SELECT count(*) FROM m2),
+       (SELECT count(*) FROM messages) - (SELECT count(*) FROM m2)
 UNION ALL SELECT 'reports', (SELECT count(*) FROM reports), (SELECT count(*) FROM r2),
        (SELECT count(*) FROM reports) - (SELECT count(*) FROM r2)""", extra=[
         f"""gone AS (SELECT child_id AS id FROM sessions GROUP BY child_id
@@ -210,6 +211,9 @@ UNION ALL SELECT 'reports', (SELECT count(*) FROM reports), (SELECT count(*) FRO
         "c2 AS (SELECT * FROM children WHERE id NOT IN (SELECT id FROM gone))",
         "s2 AS (SELECT * FROM sessions WHERE child_id NOT IN (SELECT id FROM gone))",
         "r2 AS (SELECT * FROM reports WHERE child_id NOT IN (SELECT id FROM gone))",
+        # conversation n is the first session of child n, where that child has a session
+        """m2 AS (SELECT * FROM messages WHERE session_id NOT IN (
+               SELECT id FROM gone WHERE id IN (SELECT child_id FROM sessions)))""",
         "p2 AS (SELECT * FROM parents p WHERE EXISTS (SELECT 1 FROM c2 WHERE c2.parent_id = p.id))"]),
     "erase_parents": with_views(V5, """
 SELECT 'parents' AS "table", (SELECT count(*) FROM parents) AS before, (SELECT count(*) FROM p2) AS after,
@@ -218,7 +222,8 @@ UNION ALL SELECT 'children', (SELECT count(*) FROM children), (SELECT count(*) F
        (SELECT count(*) FROM children) - (SELECT count(*) FROM c2)
 UNION ALL SELECT 'sessions', (SELECT count(*) FROM sessions), (SELECT count(*) FROM s2),
        (SELECT count(*) FROM sessions) - (SELECT count(*) FROM s2)
-UNION ALL SELECT 'messages', (SELECT count(*) FROM messages), (SELECT count(*) FROM messages), 0
+UNION ALL SELECT 'messages', (SELECT count(*) FROM messages), (SELECT count(*) FROM m2),
+       (SELECT count(*) FROM messages) - (SELECT count(*) FROM m2)
 UNION ALL SELECT 'reports', (SELECT count(*) FROM reports), (SELECT count(*) FROM r2),
        (SELECT count(*) FROM reports) - (SELECT count(*) FROM r2)
 UNION ALL SELECT 'not_found', (SELECT count(*) FROM req WHERE id NOT IN (SELECT id FROM parents)), 0,
@@ -228,6 +233,9 @@ UNION ALL SELECT 'not_found', (SELECT count(*) FROM req WHERE id NOT IN (SELECT
         "c2 AS (SELECT * FROM children WHERE id NOT IN (SELECT id FROM gone))",
         "s2 AS (SELECT * FROM sessions WHERE child_id NOT IN (SELECT id FROM gone))",
         "r2 AS (SELECT * FROM reports WHERE child_id NOT IN (SELECT id FROM gone))",
+        # conversation n is the first session of child n, where that child has a session
+        """m2 AS (SELECT * FROM messages WHERE session_id NOT IN (
+               SELECT id FROM gone WHERE id IN (SELECT child_id FROM sessions)))""",
         "p2 AS (SELECT * FROM parents WHERE id NOT IN (SELECT id FROM req))"]),
     "dq_session_requests": f"""
 WITH {REQS.strip()},

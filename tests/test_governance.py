@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from leadlens.operators import governance as G
 from leadlens.operators import metrics as M
 from leadlens.sources.adapters import ts_lit
@@ -70,3 +72,21 @@ def test_dq_messages_finished_session(spark):
     sess = spark.createDataFrame([("s1", datetime(2024, 1, 2)), ("s2", None)], "id string, finished_at timestamp_ntz")
     got = dict(rows(G.dq_messages(m, max_chars=10, sessions=sess), "id", "reason"))
     assert got == {1: None, 2: "session_finished", 3: "required", 4: "too_long"}
+
+
+def test_a_failed_write_publishes_nothing(spark):
+    import uuid
+
+    import pytest
+
+    from leadlens.sources import snapshots as SN
+    prefix = f"publish_{uuid.uuid4().hex}"
+    first = {"a": spark.range(3), "b": spark.range(2)}
+    SN.write_tables(first, prefix)
+    broken = spark.range(3).select(F.raise_error(F.lit("crash")).alias("id"))
+    with pytest.raises(Exception, match="crash"):
+        SN.write_tables({"a": spark.range(9), "b": broken}, prefix)
+    now = SN.published(spark, prefix)
+    assert {n: t.count() for n, t in now.items()} == {"a": 3, "b": 2}
+    SN.write_tables({"a": spark.range(5), "b": spark.range(5)}, prefix)
+    assert {n: t.count() for n, t in SN.published(spark, prefix).items()} == {"a": 5, "b": 5}
