@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.functions.exprs import (LEAD_STATUS_ORDER, MAX_MESSAGE_CHARS, js_trim, normalize_phone,
-                                      parse_int_prefix)
+from leadlens.functions.exprs import (LEAD_STATUS_ORDER, LEVELS, MAX_MESSAGE_CHARS, js_trim, normalize_phone, parse_int_prefix)
 from leadlens.sources.snapshots import write_snapshot, write_tables
 
 
@@ -179,27 +178,40 @@ def _dupes(df: DataFrame, col: str, table: str) -> DataFrame:
     return _violations(d, table, f"unique_{col}", F.col(col))
 
 
+#: Constraints of the product's tables, as data: columns that identify a row or may not repeat, columns that must be
+#: there, allowed values, allowed ranges, references. Fixed values.
+UNIQUE = {"parents": ["id", "phone"], "children": ["id"], "sessions": ["id", "session_token"], "messages": ["id"],
+          "reports": ["session_id", "share_token"]}
+REQUIRED = {"parents": ["name", "lead_status"], "children": ["nickname", "grade"],
+            "sessions": ["child_id", "session_token", "status"], "messages": ["session_id", "role", "content"],
+            "reports": ["session_id", "child_id", "share_token"]}
+DOMAINS = {("parents", "lead_status"): LEAD_STATUS_ORDER, ("sessions", "status"): ["active", "paused", "finished", "abandoned"],
+           ("messages", "role"): ["user", "assistant"], ("reports", "level_logic"): LEVELS,
+           ("reports", "level_psych"): LEVELS, ("reports", "level_activity"): LEVELS}
+RANGES = {("children", "grade"): (1, 4), ("children", "age"): (3, 18)}
+REFERENCES = [("children", "parent_id", "parents"), ("sessions", "child_id", "children"),
+              ("messages", "session_id", "sessions"), ("reports", "session_id", "sessions"),
+              ("reports", "child_id", "children")]
+
+
 def dq_entities(parents, children, sessions, messages, reports) -> DataFrame:
-    """One row per violated constraint: uniqueness, domains, ranges, orphan FKs."""
-    v = [
-        _dupes(parents, "phone", "parents"),
-        _dupes(sessions, "id", "sessions"),
-        _dupes(sessions, "session_token", "sessions"),
-        _dupes(reports, "session_id", "reports"),
-        _dupes(reports, "share_token", "reports"),
-        _violations(parents.filter(~F.col("lead_status").isin(*LEAD_STATUS_ORDER)), "parents", "lead_status_domain", F.col("id")),
-        _violations(children.filter(~F.col("grade").between(1, 4)), "children", "grade_range", F.col("id")),
-        _violations(children.filter(F.col("age").isNotNull() & ~F.col("age").between(3, 18)), "children", "age_range", F.col("id")),
-        _violations(messages.filter(~F.col("role").isin("user", "assistant")), "messages", "role_domain", F.col("id")),
-        _violations(children.filter(F.col("parent_id").isNotNull())
-                    .join(parents.select(F.col("id").alias("pid")), F.col("parent_id") == F.col("pid"), "left_anti"),
-                    "children", "fk_parent", F.col("id")),
-        _violations(sessions.join(children.select(F.col("id").alias("cid")), F.col("child_id") == F.col("cid"), "left_anti"),
-                    "sessions", "fk_child", F.col("id")),
-        _violations(reports.join(sessions.select(F.col("id").alias("sid")), F.col("session_id") == F.col("sid"), "left_anti"),
-                    "reports", "fk_session", F.col("session_id")),
-    ]
-    out = v[0]
-    for x in v[1:]:
-        out = out.unionByName(x)
+    """One row per violated constraint (table, rule, key): repeated or missing values, values outside their domain or
+    range, references to rows that do not exist. NULL is reported as missing where it may not be, and nowhere else."""
+    tables = {"parents": parents, "children": children, "sessions": sessions, "messages": messages, "reports": reports}
+    key = {name: F.col("session_id" if name == "reports" else "id") for name in tables}
+    found = [_dupes(tables[t], c, t) for t, columns in UNIQUE.items() for c in columns]
+    found += [_violations(tables[t].filter(F.col(c).isNull()), t, f"required_{c}", key[t])
+              for t, columns in REQUIRED.items() for c in columns]
+    found += [_violations(tables[t].filter(~F.col(c).isin(*allowed)), t, f"{c}_domain", key[t])
+              for (t, c), allowed in DOMAINS.items()]
+    found += [_violations(tables[t].filter(~F.col(c).between(*bounds)), t, f"{c}_range", key[t])
+              for (t, c), bounds in RANGES.items()]
+    for t, c, target in REFERENCES:
+        ids = tables[target].select(F.col("id").cast("string").alias("target_id"))
+        rows = tables[t].filter(F.col(c).isNotNull())
+        found.append(_violations(rows.join(ids, F.col(c).cast("string") == F.col("target_id"), "left_anti"),
+                                 t, f"fk_{c}", key[t]))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out

@@ -144,6 +144,35 @@ def dq_contacts(t):
     return G.dq_contacts(A.contacts(t))
 
 
+def _broken_entities(t):
+    """The tables with a violation of every rule: a few rows of each thousand children get a wrong value."""
+    child, of = F.col("id") % 1000, F.col("child_id") % 1000
+
+    def put(c, where, value):
+        return F.when(where, value).otherwise(F.col(c))
+
+    null = F.lit(None)
+    parents = A.parents(t).withColumns({
+        "lead_status": F.when(F.col("id") % 500 == 3, "lost").when(F.col("id") % 500 != 4, F.col("lead_status")),
+        "phone": put("phone", F.col("id") % 500 == 5, F.lit("+998900000000")), "name": put("name", F.col("id") % 500 == 6, null)})
+    children = A.children(t).withColumns({
+        "grade": put("grade", child == 7, F.lit(9)), "age": put("age", child == 11, F.lit(40)),
+        "nickname": put("nickname", child == 13, null), "parent_id": put("parent_id", child == 17, F.lit(-1))})
+    sessions = A.sessions(t).withColumns({
+        "status": F.when(of == 19, "lost").when(of != 20, F.col("status")),
+        "session_token": F.when(of == 29, "same").when(of != 30, F.col("session_token")),
+        "child_id": F.when(of == 23, F.lit(-5)).when(of != 24, F.col("child_id"))})
+    reports = A.reports(t).withColumns({
+        "level_logic": put("level_logic", of == 31, F.lit("zor")), "level_psych": put("level_psych", of == 32, F.lit("zor")),
+        "level_activity": put("level_activity", of == 33, F.lit("zor")),
+        "session_id": F.when(of == 37, F.concat(F.lit("x"), "session_id")).when(of != 38, F.col("session_id")),
+        "share_token": F.when(of == 41, "dup").when(of != 42, F.col("share_token")),
+        "child_id": F.when(of == 43, F.lit(-1)).when(of != 44, F.col("child_id"))})
+    messages = A.session_messages(t).withColumns({
+        "content": put("content", F.col("ord") == 1, null), "id": put("id", F.col("ord") == 2, F.lit(2))})
+    return parents, children, sessions, messages, reports
+
+
 @job("dq_entities")
 def dq_entities(t):
-    return G.dq_entities(A.parents(t), A.children(t), A.sessions(t), A.messages(t), A.reports(t))
+    return G.dq_entities(*_broken_entities(t))

@@ -97,6 +97,63 @@ req AS (SELECT DISTINCT id FROM (
 
 V5 = ["parents", "children", "sessions", "reports", "messages"]
 
+BROKEN = """
+p AS (SELECT * REPLACE (CASE id % 500 WHEN 3 THEN 'lost' WHEN 4 THEN NULL ELSE lead_status END AS lead_status,
+        CASE WHEN id % 500 = 5 THEN '+998900000000' ELSE phone END AS phone,
+        CASE WHEN id % 500 = 6 THEN NULL ELSE name END AS name) FROM parents),
+c AS (SELECT * REPLACE (CASE WHEN id % 1000 = 7 THEN 9 ELSE grade END AS grade, CASE WHEN id % 1000 = 11 THEN 40 ELSE age END AS age,
+        CASE WHEN id % 1000 = 13 THEN NULL ELSE nickname END AS nickname,
+        CASE WHEN id % 1000 = 17 THEN -1 ELSE parent_id END AS parent_id) FROM children),
+s AS (SELECT * REPLACE (CASE child_id % 1000 WHEN 19 THEN 'lost' WHEN 20 THEN NULL ELSE status END AS status,
+        CASE child_id % 1000 WHEN 29 THEN 'same' WHEN 30 THEN NULL ELSE session_token END AS session_token,
+        CASE child_id % 1000 WHEN 23 THEN -5 WHEN 24 THEN NULL ELSE child_id END AS child_id) FROM sessions),
+r AS (SELECT * REPLACE (CASE WHEN child_id % 1000 = 31 THEN 'zor' ELSE level_logic END AS level_logic,
+        CASE WHEN child_id % 1000 = 32 THEN 'zor' ELSE level_psych END AS level_psych,
+        CASE WHEN child_id % 1000 = 33 THEN 'zor' ELSE level_activity END AS level_activity,
+        CASE child_id % 1000 WHEN 37 THEN 'x' || session_id WHEN 38 THEN NULL ELSE session_id END AS session_id,
+        CASE child_id % 1000 WHEN 41 THEN 'dup' WHEN 42 THEN NULL ELSE share_token END AS share_token,
+        CASE child_id % 1000 WHEN 43 THEN -1 WHEN 44 THEN NULL ELSE child_id END AS child_id) FROM reports),
+f AS (SELECT child_id, min(id) AS sid FROM sessions GROUP BY child_id),
+m AS (SELECT CASE WHEN ord = 2 THEN 2 ELSE id END AS id, coalesce(sid, CAST(session_id AS VARCHAR)) AS session_id, role,
+             CASE WHEN ord = 1 THEN NULL ELSE content END AS content
+      FROM messages LEFT JOIN f ON f.child_id = messages.session_id)"""
+
+
+def _repeated(table: str, name: str, col: str) -> str:
+    return (f"SELECT '{name}' AS \"table\", 'unique_{col}' AS rule, CAST({col} AS VARCHAR) AS key FROM {table} "
+            f"WHERE {col} IS NOT NULL GROUP BY {col} HAVING count(*) > 1")
+
+
+def _wrong(table: str, name: str, rule: str, where: str) -> str:
+    key = "session_id" if table == "r" else "id"
+    return f"SELECT '{name}', '{rule}', CAST({key} AS VARCHAR) FROM {table} WHERE {where}"
+
+
+def _dangling(table: str, name: str, col: str, target: str) -> str:
+    return _wrong(table, name, f"fk_{col}", f"CAST({col} AS VARCHAR) NOT IN (SELECT CAST(id AS VARCHAR) FROM {target})")
+
+
+#: What the product's schema forbids, constraint by constraint.
+BROKEN_RULES = "\nUNION ALL ".join([
+    _repeated("p", "parents", "id"), _repeated("p", "parents", "phone"), _repeated("c", "children", "id"),
+    _repeated("s", "sessions", "id"), _repeated("s", "sessions", "session_token"), _repeated("m", "messages", "id"),
+    _repeated("r", "reports", "session_id"), _repeated("r", "reports", "share_token"),
+    *(_wrong(t, n, f"required_{col}", f"{col} IS NULL") for t, n, col in [
+        ("p", "parents", "name"), ("p", "parents", "lead_status"), ("c", "children", "nickname"), ("c", "children", "grade"),
+        ("s", "sessions", "child_id"), ("s", "sessions", "session_token"), ("s", "sessions", "status"),
+        ("m", "messages", "session_id"), ("m", "messages", "role"), ("m", "messages", "content"),
+        ("r", "reports", "session_id"), ("r", "reports", "child_id"), ("r", "reports", "share_token")]),
+    _wrong("p", "parents", "lead_status_domain", "lead_status NOT IN ('new', 'contacted', 'interested', 'enrolled', 'closed')"),
+    _wrong("s", "sessions", "status_domain", "status NOT IN ('active', 'paused', 'finished', 'abandoned')"),
+    _wrong("m", "messages", "role_domain", "role NOT IN ('user', 'assistant')"),
+    *(_wrong("r", "reports", f"{col}_domain", f"{col} NOT IN ('shakllanmoqda', 'meyorda', 'kuchli')")
+      for col in ("level_logic", "level_psych", "level_activity")),
+    _wrong("c", "children", "grade_range", "NOT (grade BETWEEN 1 AND 4)"),
+    _wrong("c", "children", "age_range", "NOT (age BETWEEN 3 AND 18)"),
+    _dangling("c", "children", "parent_id", "p"), _dangling("s", "sessions", "child_id", "c"),
+    _dangling("m", "messages", "session_id", "s"), _dangling("r", "reports", "session_id", "s"),
+    _dangling("r", "reports", "child_id", "c")])
+
 SQL = {
     "standardize_contacts": with_views(["contacts"], f"""
 SELECT contact_id, phone_raw, phone, phone IS NOT NULL AS phone_valid,
@@ -265,19 +322,5 @@ SELECT contact_id, reason IS NULL AS valid, reason, CASE WHEN {BLANK} THEN NULL
 FROM (SELECT *, CASE WHEN trim(coalesce(parent_name, '')) = '' THEN 'required'
                      WHEN length(trim(coalesce(parent_name, ''))) > 100 THEN 'too_long'
                      WHEN NOT ({BLANK}) AND {NORM} IS NULL THEN 'bad_phone' END AS reason FROM contacts) x"""),
-    "dq_entities": with_views(V5, """
-SELECT 'parents' AS "table", 'unique_phone' AS rule, phone AS key FROM parents WHERE phone IS NOT NULL GROUP BY phone HAVING count(*) > 1
-UNION ALL SELECT 'sessions', 'unique_id', id FROM sessions GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'sessions', 'unique_session_token', session_token FROM sessions GROUP BY session_token HAVING count(*) > 1
-UNION ALL SELECT 'reports', 'unique_session_id', session_id FROM reports GROUP BY session_id HAVING count(*) > 1
-UNION ALL SELECT 'reports', 'unique_share_token', share_token FROM reports GROUP BY share_token HAVING count(*) > 1
-UNION ALL SELECT 'parents', 'lead_status_domain', CAST(id AS VARCHAR) FROM parents
-  WHERE lead_status NOT IN ('new', 'contacted', 'interested', 'enrolled', 'closed')
-UNION ALL SELECT 'children', 'grade_range', CAST(id AS VARCHAR) FROM children WHERE NOT (grade BETWEEN 1 AND 4)
-UNION ALL SELECT 'children', 'age_range', CAST(id AS VARCHAR) FROM children WHERE age IS NOT NULL AND NOT (age BETWEEN 3 AND 18)
-UNION ALL SELECT 'messages', 'role_domain', CAST(id AS VARCHAR) FROM messages WHERE role NOT IN ('user', 'assistant')
-UNION ALL SELECT 'children', 'fk_parent', CAST(id AS VARCHAR) FROM children c
-  WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM parents p WHERE p.id = c.parent_id)
-UNION ALL SELECT 'sessions', 'fk_child', id FROM sessions s WHERE NOT EXISTS (SELECT 1 FROM children c WHERE c.id = s.child_id)
-UNION ALL SELECT 'reports', 'fk_session', session_id FROM reports r WHERE NOT EXISTS (SELECT 1 FROM sessions s WHERE s.id = r.session_id)"""),
+    "dq_entities": with_views(V5, BROKEN_RULES, extra=[BROKEN]),
 }
