@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from leadlens.session import checkpoint_root
 LOWER_BYTES = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
+#: Documents in an Arrow batch.
+BATCH_ROWS = 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +46,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` over batches of at most BATCH_ROWS rows: texts may be long, and the JVM's buffers and the
+    worker's copies are as large as a batch. Spark takes the batch size from the session when the job runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def with_field(schema: StructType, name: str, kind: DataType) -> StructType:
     """A new schema with one more field (``StructType.add`` would change the given one)."""
     return StructType([*schema.fields, StructField(name, kind)])

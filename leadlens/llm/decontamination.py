@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_batches, written
 
 WINDOW = 10
 #: Characters of benchmark text for which one automaton is built and broadcast.
@@ -129,8 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         return step
 
     for held in shards[:-1]:
-        rows = written(rows.mapInArrow(run(held, False), between), "contamination")
-    return rows.mapInArrow(run(shards[-1], True), out)
+        rows = written(map_batches(rows, run(held, False), between), "contamination")
+    return map_batches(rows, run(shards[-1], True), out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS,
@@ -152,5 +152,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         return step
 
     for held in automata(benchmark, window, shard_chars):
-        docs = docs.mapInArrow(run(held), docs.schema)
+        docs = map_batches(docs, run(held), docs.schema)
     return docs

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES
+from .common import LOWER_BYTES, map_batches
 from .sampling import crc_bucket, training_rows
 
 ROWS, EMBED = 1 << 16, 16
@@ -164,6 +164,6 @@ def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id
                 names=["doc_id", "lang_pred", "score", "accepted"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, lang_pred string, score double, accepted boolean")
+    out = map_batches(rows.select("doc_id", "text"), run,
+                      f"doc_id {id_type}, lang_pred string, score double, accepted boolean")
     return out.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")

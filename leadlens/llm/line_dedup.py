@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import own_columns, with_field, written
+from .common import map_batches, own_columns, with_field, written
 
 WINDOW = 3
 
@@ -96,7 +96,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, text_col: str = "text", i
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())],
                                              names=[*b.schema.names[:last], removed])
 
-    return joined.mapInArrow(run, with_field(docs.schema, removed, LongType()))
+    return map_batches(joined, run, with_field(docs.schema, removed, LongType()))
 
 
 def line_count(text_col: str) -> Column:

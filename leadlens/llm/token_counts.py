@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import with_field
+from .common import map_batches, with_field
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before the merges of the rank file; fixed value that belongs to the vocabulary.
@@ -64,7 +64,7 @@ def token_lengths(docs: DataFrame, encoder: Encoder, text_col: str = "text", kee
             n = [len(held.value.encode(t.as_py())) for t in b.column(last)]
             yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
-    return rows.mapInArrow(run, with_field(docs.select(*keep).schema, "n_tokens", LongType()))
+    return map_batches(rows, run, with_field(docs.select(*keep).schema, "n_tokens", LongType()))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

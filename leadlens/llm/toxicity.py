@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import LOWER_BYTES, own_columns, with_field
+from .common import LOWER_BYTES, map_batches, own_columns, with_field
 from .sampling import crc_bucket, training_rows
 
 WINDOW, STRIDE = 32, 24
@@ -39,7 +39,7 @@ PER_LABEL, MAX_CHARS, BAG = 2500, 8000, 24
 EPOCHS, BATCH, RATE, SEED = 10, 64, 0.01, 7
 THRESHOLD = 0.3
 #: Words scored at a time.
-BLOCK = 1 << 16
+BLOCK = 1 << 15
 
 _LETTER = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -328,7 +328,7 @@ def _scores(docs: DataFrame, model: dict, keep: bool, text_col: str, threshold:
             else:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], names=[*b.schema.names, score])
 
-    return docs.mapInArrow(run, docs.schema if keep else with_field(docs.schema, score, DoubleType()))
+    return map_batches(docs, run, docs.schema if keep else with_field(docs.schema, score, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
