@@ -3,9 +3,10 @@
 Explicit rules decide first: the longest rule whose host is the url's host or a parent domain of it and whose path
 starts the url's path. All other urls get the verdict of their template.
 
-Tree: a path's segments are the levels. Digit runs and hex strings become wildcards by their shape, and so do segments
-of a node with many children that occur less often than twice the mean child. Then sibling branches whose labelled
-shares do not differ (chi-square against the rest of the node) are merged into one branch. Both make '*'. A template's
+Tree: a path's segments are the levels. Digit runs and hex strings become wildcards by their shape. Sibling branches
+whose labelled shares do not differ (chi-square against the rest of the node) are merged into one branch, '*'; so is an
+empty segment, but only at a node with many children where it occurs less often than twice the mean child. A branch
+that differs keeps its name, however wide its node and however rare the branch. A template's
 purity is the share of good pages among its labelled ones, smoothed towards its host's, itself smoothed towards the
 whole table's; templates below ``min_purity`` are blocked. A page is labelled by its rule, else by ``labels``.
 
@@ -85,7 +86,7 @@ def generalise(shaped: DataFrame, depth: int = DEPTH) -> DataFrame:
         differs = F.when(spread > 0, (good + bad + good_rest + bad_rest)
                          * F.pow(bad * good_rest - bad_rest * good, 2) / spread > DIFFERENT).otherwise(False)
         alone = F.col("children") == 1
-        merged = F.col("rare") | (~alone & ~differs & (F.col("token") != ""))
+        merged = ~differs & (F.col("rare") | (~alone & (F.col("token") != "")))
         names = judged.select(F.col("host").alias("host_"), F.col("template").alias("template_"),
                               F.col("token").alias("token_"),
                               F.when(merged, F.lit("*")).otherwise(F.col("token")).alias("name"))

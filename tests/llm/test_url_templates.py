@@ -87,6 +87,16 @@ def test_variable_segments_become_wildcards(spark):
     assert got[100].endswith("/admin/home")
 
 
+def test_bad_branch_of_a_wide_node_is_rejected(spark):
+    sections = ["news", "blog", "shop", "help", "docs", "team", "jobs", "press", "spam", "forum"]
+    pages = [(i, f"http://wide.net/{sections[i % 10]}/post-{i}.html", None) for i in range(600)]
+    labels = [(i, int(i % 10 != 8), 0) for i in range(600) if i // 10 % 2]
+    got = {r.page_id: r for r in run(spark, pages, labels).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {i for i in range(600) if i % 10 == 8}
+    assert {got[i].template for i in range(8, 600, 10)} == {"/spam/post-{n}.html"}
+    assert {r.template for i, r in got.items() if i % 10 != 8} == {"/*/post-{n}.html"}
+
+
 def test_shapes(spark):
     paths = ["", "/", "/a/12/x9.html", "/file/0a1b2c3d4e5f/", "/deadbeef", "/12345678", "/1/2/3/4/5/6/7/8/9/"]
     rows = spark.createDataFrame([(p,) for p in paths], "path string").select(U.shapes(F.col("path")).alias("s")).collect()
