@@ -42,9 +42,8 @@ def stream_admission_limit(t):
     """The admission limiter as a stream; hits arrive in time order, in several micro-batches."""
     hits = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts")
     d = S.run_dir(t.spark, "stream_admission_limit")
-    S.stage(hits, f"{d}/landing", order=F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(S.SLICES - 1)))
-    decided = L.admission_limit_stream(S.read_landing(t.spark, f"{d}/landing", hits.schema), 24 * 3600, 3)
-    S.run_to_sink(decided, f"{d}/sink", f"{d}/checkpoint")
+    S.run_in_order(hits, S.time_slice(hits, "ts"), f"{d}/landing", lambda stream: S.run_to_sink(
+        L.admission_limit_stream(stream, 24 * 3600, 3), f"{d}/sink", f"{d}/checkpoint"))
     return t.spark.read.parquet(f"{d}/sink").select(
         "key", "id", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "admitted")
 

@@ -10,15 +10,21 @@ external sort; ``mapInPandas`` then streams each partition once, keeping at
 most ``max`` timestamps per key. Memory is O(max) whatever the size of a key
 (a key holding a third of all rows is a long but memory-safe scan); no group
 is ever materialized. Stream: ``applyInPandasWithState`` keeps the same
-bounded log per key across micro-batches.
+bounded log per key across micro-batches; a key's hits of one micro-batch are
+sorted in runs of bounded size, which wait in a temporary file of the worker
+and are merged, so no group is held whole there either.
 """
 
 from __future__ import annotations
 
+import heapq
 import sys
+import tempfile
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -116,24 +122,67 @@ STATE_SCHEMA = "log array<long>"
 STREAM_OUT = "key string, id long, ts_us long, admitted boolean"
 
 
+#: Hits that a sorted run holds in memory, and those that are read from a run, or decided, at once.
+RUN_HITS, BLOCK_HITS = 500_000, 10_000
+
+
+def _run_of(pieces: list[np.ndarray]) -> np.ndarray:
+    hits = np.concatenate(pieces)
+    return hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+
+
+def _blocks(spill, at: int, n: int) -> Iterator[list[int]]:
+    """The hits of a run in the file, read block by block."""
+    for done in range(0, n, BLOCK_HITS):
+        spill.seek((at + done) * 16)
+        size = min(BLOCK_HITS, n - done) * 16
+        yield from np.frombuffer(spill.read(size), np.int64).reshape(-1, 2).tolist()
+
+
+def _in_order(pieces: Iterator[np.ndarray]) -> Iterator[list[int]]:
+    """[ts_us, id] of every hit in that order: an external merge sort with at most RUN_HITS hits of input in memory."""
+    with tempfile.SpooledTemporaryFile(max_size=1) as spill:  # a file only once a run is written
+        runs, held, size, written = [], [], 0, 0
+        for piece in pieces:
+            held.append(piece)
+            size += len(piece)
+            if size >= RUN_HITS:
+                spill.write(_run_of(held).tobytes())
+                runs.append((written, size))
+                held, size, written = [], 0, written + size
+        last = _run_of(held) if held else np.empty((0, 2), np.int64)
+        tail = (hit for at in range(0, len(last), BLOCK_HITS) for hit in last[at:at + BLOCK_HITS].tolist())
+        yield from heapq.merge(*(_blocks(spill, at, n) for at, n in runs), tail)
+
+
 def _stream_fn(window_us: int, max_hits: int):
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
         log = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(pdfs)).sort_values(["ts_us", "id"])
-        out = []
-        for i, t in zip(rows["id"].to_numpy(), rows["ts_us"].to_numpy()):
-            while log and log[0] <= t - window_us:
-                log.popleft()
-            ok = len(log) < max_hits
-            if ok:
-                log.append(int(t))
-            out.append((key[0], int(i), int(t), ok))
+        arrived_ms = 0
+
+        def pieces() -> Iterator[np.ndarray]:
+            nonlocal arrived_ms
+            for rows in pdfs:
+                if len(rows):
+                    arrived_ms = max(arrived_ms, int(rows["arrived_ms"].max()))
+                    yield np.column_stack([rows[c].to_numpy().astype(np.int64, casting="safe") for c in ("ts_us", "id")])
+
+        hits = _in_order(pieces())
+        while chunk := list(islice(hits, BLOCK_HITS)):
+            out = []
+            for t, i in chunk:
+                while log and log[0] <= t - window_us:
+                    log.popleft()
+                ok = len(log) < max_hits
+                if ok:
+                    log.append(t)
+                out.append((key[0], i, t, ok))
+            yield pd.DataFrame(out, columns=["key", "id", "ts_us", "admitted"])
         state.update((list(log),))
-        state.setTimeoutTimestamp(int(rows["arrived_ms"].iloc[-1]) + max(1, window_us // 1000))
-        yield pd.DataFrame(out, columns=["key", "id", "ts_us", "admitted"])
+        state.setTimeoutTimestamp(arrived_ms + max(1, window_us // 1000))
     return fn
 
 

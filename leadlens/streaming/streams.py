@@ -46,6 +46,26 @@ def stage(df: DataFrame, path: str, fmt: str = "parquet", order: Column | None =
     return path
 
 
+def time_slice(df: DataFrame, ts: str) -> Column:
+    """Slice (0..SLICES-1) of a row by equal ranges of ``ts`` over the table's whole span; rows without a time are last."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    if low is None:
+        return F.lit(SLICES - 1)
+    return F.least(F.floor((us - F.lit(low)) / F.lit((high - low) // SLICES + 1)), F.lit(SLICES - 1))
+
+
+def run_in_order(df: DataFrame, order: Column, path: str, start) -> None:
+    """Land slice after slice of ``order`` (0..SLICES-1) and run the stream on each from its checkpoint.
+
+    Every micro-batch is one whole slice, however many files it has, so no row
+    of an earlier slice comes after one of a later slice. ``start(stream)`` runs
+    it to the end."""
+    for k in range(SLICES):
+        df.where(order == k).write.parquet(f"{path}/f{k}")
+        start(df.sparkSession.readStream.schema(df.schema).parquet(f"{path}/*"))
+
+
 def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None,
                  fmt: str = "parquet") -> DataFrame:
     """A file stream over the landing folder with a fixed schema (no inference).

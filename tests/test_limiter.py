@@ -1,7 +1,11 @@
+import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from leadlens.plans import jobs_streams
 from leadlens.streaming import limiter as L
 from leadlens.streaming import streams as S
 from tests.conftest import rows
@@ -112,3 +116,52 @@ def test_policies_admit_unknown_routes_and_keep_the_route(spark):
     assert [got[i].admitted for i in range(14)] == [True, True, False, True, True, True, True, True] + [True] * 5 + [False]
     assert [got[i].key for i in (0, 3, 4, 6, 7, 8)] == ["report:s1", "report:ip1", None, None, "tgwebhook:ip1", "adminlogin:ip1"]
     assert got[0].route == "report" and got[3].route == "read"
+
+
+class State:
+    """What the streaming function uses of a key's state."""
+    exists = hasTimedOut = False
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+
+def test_stream_decides_a_hot_key_in_sorted_chunks(monkeypatch):
+    monkeypatch.setattr(L, "RUN_HITS", 50)
+    monkeypatch.setattr(L, "BLOCK_HITS", 20)
+    rnd = random.Random(5)
+    pairs = [("hot", rnd.randint(0, 900)) for _ in range(640)]
+    order = sorted(range(640), key=lambda i: (pairs[i][1] >= 450, rnd.random()))  # two micro-batches in time order
+    late = sum(s >= 450 for _, s in pairs)
+    state, got = State(), {}
+    for batch in (order[:640 - late], order[640 - late:]):
+        pieces = [pd.DataFrame({"ts_us": [pairs[i][1] * 1_000_000 for i in batch[a:a + 7]], "id": batch[a:a + 7],
+                                "arrived_ms": 1000}) for a in range(0, len(batch), 7)]
+        out = list(L._stream_fn(60_000_000, 3)(("hot",), iter(pieces), state))
+        assert max(map(len, out)) <= 20 and len(state.get[0]) <= 3 and state.timeout == 61_000
+        got |= {i: ok for o in out for i, ok in zip(o["id"], o["admitted"], strict=True)}
+    assert [got[i] for i in range(640)] == brute(pairs, 60, 3)
+
+
+def test_stream_job_over_two_months_equals_batch(spark):
+    rnd = random.Random(3)
+    rows_ = [(i % 3, i, T0 + timedelta(seconds=rnd.randint(0, 60 * 86400))) for i in range(600)] + [(7, 600, T0), (7, 601, T0)]
+    events = spark.createDataFrame(rows_, "user_id long, event_id long, ts timestamp_ntz").repartition(3)
+    got = {r.id: r.admitted for r in jobs_streams.stream_admission_limit(SimpleNamespace(spark=spark, events=events)).collect()}
+    h = events.selectExpr("cast(user_id as string) as key", "event_id as id", "ts")
+    assert got == {r.id: r.admitted for r in L.admission_limit(h, 86400, 3).collect()} and len(got) == 602
+
+
+def test_stream_job_takes_whole_slices_of_unequal_files(spark):
+    rnd = random.Random(9)
+    early = spark.createDataFrame([(1, i, T0 + timedelta(seconds=rnd.randint(0, 8 * 86400))) for i in range(40)],
+                                  "user_id long, event_id long, ts timestamp_ntz").coalesce(1)
+    late = spark.createDataFrame([(1, 40 + i, T0 + timedelta(days=20, seconds=rnd.randint(0, 86400 * 9))) for i in range(200)],
+                                 early.schema).repartition(5)
+    events = early.union(late)
+    got = {r.id: r.admitted for r in jobs_streams.stream_admission_limit(SimpleNamespace(spark=spark, events=events)).collect()}
+    h = events.selectExpr("cast(user_id as string) as key", "event_id as id", "ts")
+    assert got == {r.id: r.admitted for r in L.admission_limit(h, 86400, 3).collect()} and len(got) == 240
