@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, map_batches, own_columns, written
@@ -57,16 +57,18 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, text_col: str = "text",
-                 id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+                 id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+    """(doc_id, fp) and, of documents with a ``row_col``, rid: fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            own = [b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "fp", "rid"][:len(own)])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       *([F.col(row_col).alias("rid")] if row_col else []))
+    return map_batches(rows, run, "doc_id long, fp long" + (", rid long" if row_col else ""))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -181,43 +183,39 @@ def links(fps: DataFrame, plan: list[tuple[list[int], int]], max_bits: int = MAX
     return sent.join(held, (F.col("part_") == F.col("part")) & (F.col("key_") == F.col("key")) & near).select("a", "b")
 
 
+def fingerprint_groups(rows: DataFrame, least: Column, max_bits: int, parts: int) -> DataFrame:
+    """(fp, least): the least value of the aggregate ``least`` among all rows that links reach, the own ones included."""
+    fps = written(rows.groupBy("fp").agg(least.alias("own_least")), "distinct-fingerprints")
+    linked = components(links(fps, plan_search(fps, parts, max_bits), max_bits))
+    linked = fps.join(linked.withColumnRenamed("node", "fp"), "fp")
+    roots = linked.groupBy("root").agg(F.min("own_least").alias("root_least"))
+    linked = written(linked.join(roots, "root").select("fp", "root_least"), "linked-fingerprints")
+    return written(fps.join(linked, "fp", "left").select(
+        F.col("fp"), F.coalesce("root_least", "own_least").alias("least")), "fingerprint-components")
+
+
 def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, parts: int = PARTS,
                    text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, fp, component_id (least doc_id that links reach, its own included)."""
     rows = written(fingerprints(docs, words, text_col, id_col), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    linked = components(links(fps, plan_search(fps, parts, max_bits), max_bits))
-    linked = fps.join(linked.withColumnRenamed("node", "fp"), "fp")
-    roots = linked.groupBy("root").agg(F.min("least_id").alias("root_id"))
-    linked = written(linked.join(roots, "root").select("fp", "root_id"), "linked-fingerprints")
-    ids = written(fps.join(linked, "fp", "left").select(
-        F.col("fp"), F.coalesce("root_id", "least_id").alias("component_id")), "fingerprint-components")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = fingerprint_groups(rows, F.min("doc_id"), max_bits, parts)
+    return rows.join(ids, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, text_col: str = "text",
                id_col: str = "doc_id") -> DataFrame:
     """The documents without near copies: of each group the row with the least doc_id stays, with its columns.
 
-    Of rows that repeat that id one stays, the one with the smallest text hash; rows without an id stay, as no id
-    says which of them would go.
+    Rows are told apart by a number of their own: of a group's rows that share the least id one stays, and rows of
+    different groups stay even where they share an id. Rows without an id stay, as no id says which of them would go.
     """
-    found = simhash_groups(docs, words, max_bits, text_col=text_col, id_col=id_col)
-    gone, rank = own_columns(docs, "gone_id", "rank_in_id")
-    ids = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct()
-    ids = written(ids, "near-copies")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(
-        F.col("doc_id").alias(gone))
-    # Merged at any size: whether the ids would fit a broadcast grows with the corpus.
-    kept = docs.join(ids.hint("merge"), F.col(id_col).cast("long") == F.col(gone), "left_anti")
-    return _one_per_id(kept, written(twice, "repeated-ids"), gone, rank, text_col, id_col)
-
-
-def _one_per_id(docs: DataFrame, twice: DataFrame, key: str, rank: str, text_col: str, id_col: str) -> DataFrame:
-    """Of rows whose id is in ``twice`` one stays; the others don't shuffle again when no id repeats."""
-    if twice.isEmpty():
-        return docs
-    same = F.col(id_col).cast("long") == F.col(key)
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    again = docs.join(twice, same, "left_semi").withColumn(rank, F.row_number().over(order))
-    return docs.join(twice, same, "left_anti").unionByName(again.where(F.col(rank) == 1).drop(rank))
+    rid, gone = own_columns(docs, "rid", "gone_rid")
+    # Written, as a row must have the same number in both passes.
+    numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered-documents")
+    rows = written(fingerprints(numbered, words, text_col, id_col, rid), "fingerprints")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "rid")))
+    first = fingerprint_groups(rows, least, max_bits, PARTS).select("fp", F.col("least.rid").alias("first_rid"))
+    copies = rows.where("doc_id is not null").join(first, "fp").where("rid <> first_rid")
+    copies = written(copies.select(F.col("rid").alias(gone)), "near-copies")
+    # Merged at any size: whether the numbers would fit a broadcast grows with the corpus.
+    return numbered.join(copies.hint("merge"), F.col(rid) == F.col(gone), "left_anti").drop(rid)

@@ -122,6 +122,13 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id for r in out.collect()), key=repr) == [1, 3, 4, None, None]
 
 
+def test_near_dedup_decides_by_row_where_an_id_has_several_texts(spark):
+    a, b, c, other = (" ".join(words(200, k)) for k in (1, 2, 3, 4))
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, other), (8, c), (9, a), (9, a)]
+    out = S.near_dedup(docs(spark, *rows).repartition(3))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(3, b), (5, a), (7, c), (7, other)])
+
+
 def test_empty_table(spark):
     assert S.simhash_groups(docs(spark)).count() == 0
     assert S.near_dedup(docs(spark)).count() == 0
