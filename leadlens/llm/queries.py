@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversation_repair import repair
 from .decontamination import contamination
+from .embedding_dedup import MIN_COSINE, near_vectors
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .line_dedup import dedup_lines, line_count
@@ -19,6 +21,7 @@ from .simhash import simhash_groups
 from .token_counts import histogram, limit_table, read_encoder, token_lengths
 from .toxicity import toxicity
 from .url_templates import RULES, judge_urls
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -223,3 +226,31 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by their rule, else by the quality label of the same number."""
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(table(spark, sf_dir, "embeddings"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part")
+    return out.select("vec_id", "n", "deviation", "identity_error", parts).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("part.whitened").alias("whitened"),
+        F.col("part.explained").alias("explained"), "identity_error")
+
+
+@query("op12_embedding_dedup", f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT *, len(e) AS d, sqrt(list_dot_product(e, e)) AS size FROM v WHERE label IS NOT NULL AND len(e) > 0
+       AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM ok AS a JOIN ok AS b USING (label, d)
+    WHERE a.rid <> b.rid AND list_dot_product(a.e, b.e) / (a.size * b.size) >= {MIN_COSINE}),
+reach AS (SELECT rid AS a, rid AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT reach.a AS rid, min(o.vec_id) AS component_id FROM reach JOIN v AS o ON o.rid = reach.b GROUP BY reach.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (rid) LEFT JOIN (SELECT a AS rid, count(*) AS n FROM links GROUP BY a) USING (rid)""")
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations")).conversations

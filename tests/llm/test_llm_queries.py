@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from leadlens.llm import queries as Q
 
 SF = "/root/testdata/sf0.01"
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -34,7 +34,7 @@ def test_matches_sql(spark, con, key):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES) == list(range(1, 14))
 
 
 def test_queries_are_listed_without_a_session():
