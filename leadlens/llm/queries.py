@@ -190,7 +190,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
 {", ".join(_kind_sql(n) for n in range(len(KINDS)))},
 c AS ({" UNION ALL ".join(f"SELECT * FROM {kind}" for kind, *_ in KINDS)}),
 o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM c GROUP BY value),
-j AS (SELECT rid, kind, s, e, CASE WHEN owners > {MAX_OWNERS} OR repos > {MAX_REPOS} THEN 'example'
+j AS (SELECT rid, kind, s, e, CASE WHEN owners > {MAX_OWNERS} OR (owners > 1 AND repos > {MAX_REPOS}) THEN 'example'
              WHEN length(value) >= {LIVE_LENGTH} AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
                   AND NOT regexp_matches(value, '{PLACEHOLDER}')
                   AND len(list_distinct(string_split(value, ''))) >= {LIVE_DISTINCT} THEN 'live' ELSE 'other' END AS verdict

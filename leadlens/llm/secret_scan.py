@@ -2,9 +2,11 @@
 
 Candidates are three base kinds (an assignment to a secret-like name, an access key id, a run of hex digits) and one
 that the method adds: long opaque strings of letters and digits. Each candidate's value is hashed, and the hashes are
-aggregated over the corpus by distinct repositories and distinct owners. A value held by more than ``max_owners``
-owners or ``max_repos`` repositories is a widely copied example; one held by few that also looks live (letters and
-digits, many distinct characters, no placeholder word) is an owner-specific credential. Base spans always stay; an
+aggregated over the corpus by distinct repositories and distinct owners. Owners decide: a value held by more than
+``max_owners`` owners is a widely copied example, and one that a single owner holds is owner-specific however many of
+that owner's repositories it is in. Repositories refine what lies between: a value of several owners, though not too
+many, is an example too when it is spread over more than ``max_repos`` repositories. A value that is no example and looks
+live (letters and digits, many distinct characters, no placeholder word) is a credential. Base spans always stay; an
 opaque string becomes a span only if it is such a credential and touches no base span of its text.
 
 Positions: splitting a text at a pattern and extracting the pattern's matches give the pieces in turn, so running sums
@@ -40,7 +42,7 @@ BASE_KINDS = 3
 PLACEHOLDER = "|".join(either_case(w) for w in ("example", "sample", "dummy", "placeholder", "changeme", "password",
                                                 "your", "xxxx", "test", "12345"))
 LIVE_LENGTH, LIVE_DISTINCT = 16, 8
-MAX_OWNERS = MAX_REPOS = 2
+MAX_OWNERS, MAX_REPOS = 2, 4
 
 
 def looks_live(value: Column) -> Column:
@@ -101,7 +103,8 @@ def secret_scan(docs: DataFrame, repo: Column, owner: Column, text_col: str = "t
     scanned = scan(docs, repo, owner, text_col, id_col)
     found = written(candidates(scanned), "candidates")
     held = written(ownership(found).withColumnRenamed("hash", "hash_"), "ownership")
-    verdict = (F.when((F.col("owners") > max_owners) | (F.col("repos") > max_repos), "example")
+    spread = (F.col("owners") > 1) & (F.col("repos") > max_repos)
+    verdict = (F.when((F.col("owners") > max_owners) | spread, "example")
                .when(F.col("live"), "live").otherwise("other"))
     judged = found.join(held, F.col("hash") == F.col("hash_")).withColumn("verdict", verdict)
     # An opaque span may touch no base span: nothing that began before it may reach it, nothing may begin inside it.

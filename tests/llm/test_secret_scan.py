@@ -37,7 +37,8 @@ def brute(rows):
     for spans in found:
         kept = []
         for s, k, e, v in sorted(spans):
-            verdict = "example" if len(owners[v]) > 2 or len(repos[v]) > 2 else "live" if live(v) else "other"
+            copied = len(owners[v]) > 2 or len(owners[v]) == 2 and len(repos[v]) > 4
+            verdict = "example" if copied else "live" if live(v) else "other"
             touches = any(b[1] < 3 and b[0] < e and s < b[2] for b in spans)
             if k < 3 or (verdict == "live" and not touches):
                 kept.append((s, k, e, verdict))
@@ -88,6 +89,19 @@ def test_copied_examples_and_owned_credentials(spark):
     assert got[0] == [] and [(s.kind, s.start, s.verdict) for s in got[10]] == [(3, 4, "live")]
 
 
+def test_owners_decide_and_repositories_refine(spark):
+    one, many, two, wide = (f"{k}8zLq02MvB7sXcK5tYw1Jh{k}" for k in "QRST")
+    held = [(one, "o1", f"r{i}") for i in range(10)]  # one owner with ten repositories
+    held += [(many, f"o{i}", f"r{i}") for i in range(11)]  # eleven owners with one each
+    held += [(two, f"o{i % 2}", f"r{i}") for i in range(4)]  # two owners, two repositories each
+    held += [(wide, f"o{i % 2}", f"r{i}") for i in range(5)]
+    rows = [(i, f"see {v} here", repo, owner, 1) for i, (v, owner, repo) in enumerate(held)]
+    repo = F.concat_ws("/", "source", "lang")
+    got = {r.doc_id: [s.verdict for s in r.found] for r in S.secret_scan(docs(spark, *rows), repo, F.col("source")).collect()}
+    want = {one: ["live"], many: [], two: ["live"], wide: []}
+    assert got == {i: want[v] for i, (v, _, _) in enumerate(held)}
+
+
 def test_empty_table_and_clashing_names(spark):
     assert S.secret_scan(docs(spark), F.col("source"), F.col("source")).count() == 0
     odd = docs(spark, (1, "deadbeefdeadbeef")).selectExpr("*", "1 as rid", "2 as hex", "3 as found", "4 as owner", "5 as repo")
