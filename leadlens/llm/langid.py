@@ -4,8 +4,9 @@ A text is the mean of the embeddings of its hashed byte n-grams (3 and 4 bytes o
 subword models of fastText do; a linear layer and a softmax follow. As everything up to the softmax is linear, the
 trained embeddings are folded with the layer into one table of scores per n-gram, and a text costs one lookup a byte.
 
-Training takes a bounded sample (``PER_LANG`` documents a language, texts of up to ``MAX_CHARS`` characters, of each
-the whole text, up to ``MAX_GRAMS`` n-grams spread evenly, and two short cuts). A part is kept back: on it a
+Training takes a bounded sample (``PER_LANG`` documents of each of at most MOST_LABELS languages; up to ``MAX_CHARS``
+characters of each, longer texts by evenly spaced windows; of those up to ``MAX_GRAMS`` n-grams spread evenly, and two
+short cuts). A part is kept back: on it a
 temperature calibrates the scores, and the rejection threshold is the least score from which on at least
 ``PRECISION`` of the predictions are right.
 

@@ -2,35 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: Labels learned at most, those with the most documents; evenly spaced windows that a long text is sampled by.
+MOST_LABELS, WINDOWS = 64, 8
+
 
 def crc_bucket(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def bounded_text(text: Column, max_chars: int) -> Column:
+    """The whole text up to ``max_chars`` characters, of a longer one WINDOWS evenly spaced pieces of that many in all."""
+    size = max_chars // WINDOWS
+    step = (F.length(text) - size) / F.lit(WINDOWS - 1)
+    pieces = [F.substring(text, (F.floor(step * k) + 1).cast("int"), F.lit(size)) for k in range(WINDOWS)]
+    return F.when(F.length(text) <= max_chars, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def training_rows(labelled: DataFrame, label: str, per_label: int, max_chars: int, text_col: str = "text",
-                  id_col: str = "doc_id") -> list:
-    """At most ``per_label`` rows of each label, in an order given by a hash of the id: [(label, text)].
+                  id_col: str = "doc_id", most_labels: int = MOST_LABELS) -> list:
+    """At most ``per_label`` distinct ids of each of at most ``most_labels`` labels, in an order given by a hash of the
+    id: [(label, text)].
 
-    Only texts of 1 to ``max_chars`` characters are sampled, so the driver holds at most labels x per_label x
-    max_chars characters. Ids are chosen first; texts of the chosen rows alone are read after that.
+    Of rows that share label and id the one with the least text hash is taken. Texts longer than ``max_chars`` enter by
+    evenly spaced windows of that many characters in all, so the driver holds at most most_labels x per_label x
+    (max_chars + WINDOWS) characters whatever the table holds. Ids may be of any type.
     """
-    fit = labelled.where(F.length(text_col).between(1, max_chars))
-    ids = written(fit.select(F.col(label).alias("label"), F.col(id_col).alias("id"),
-                             F.md5(F.col(id_col).cast("string")).alias("turn")), "labelled-ids")
-    chosen = []
-    for r in ids.select("label").distinct().orderBy("label").collect():
-        rows = ids.where(F.col("label") == F.lit(r.label)).orderBy("turn", "id").limit(per_label)
-        chosen += [x.id for x in rows.collect()]
-    if not chosen:
-        return []
-    spark = labelled.sparkSession
-    named = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "id long"))
-    rows = (fit.join(named, F.col(id_col).cast("long") == F.col("id"), "left_semi")
-            .select(F.col(label).alias("label"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).collect())
+    fit = labelled.where(F.length(text_col) > 0).select(
+        F.col(label).alias("label"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+        F.xxhash64(text_col).alias("text_hash"))
+    ids = written(fit.groupBy("label", "id").agg(F.min("text_hash").alias("text_hash"))
+                  .withColumn("turn", F.md5(F.col("id").cast("string"))), "labelled-ids")
+    common = ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_labels)
+    # The first rows of each label are cut inside every partition before they are shuffled, so a label may hold all rows.
+    first = F.row_number().over(Window.partitionBy("label").orderBy("turn", "id"))
+    chosen = written(ids.join(F.broadcast(common.select("label")), "label").withColumn("at", first)
+                     .where(F.col("at") <= per_label).select("label", "id", "text_hash"), "chosen-ids")
+    # most_labels x per_label narrow rows at most.
+    rows = (fit.join(F.broadcast(chosen), ["label", "id", "text_hash"], "left_semi").dropDuplicates(["label", "id"])
+            .select("label", "id", bounded_text(F.col("text"), max_chars).alias("text")).collect())
     return [(r.label, r.text) for r in sorted(rows, key=lambda r: (str(r.id), r.text))]

@@ -8,7 +8,8 @@ a document scores as its most toxic window, mapped to a probability by a calibra
 Labels mark documents, not windows: training sends each document's gradient to its windows in proportion to a softmax
 of their scores, which starts near the mean and closes in on the worst window. The network, its gradients and the Adam
 steps are numpy; training runs on the driver on a bounded, documented sample of labelled rows (``PER_LABEL`` rows of
-each label, texts of up to ``MAX_CHARS`` characters, at most ``BAG`` evenly spaced windows of each).
+each label, up to ``MAX_CHARS`` characters of each, longer texts by evenly spaced pieces; at most ``BAG`` evenly spaced
+windows of each).
 
 Scoring is a map over Arrow batches without a shuffle; texts are cut into blocks of bounded size, so memory does not
 grow with the length of a text.
