@@ -39,12 +39,24 @@ def limit_policies(t):
 
 @job("stream_admission_limit")
 def stream_admission_limit(t):
-    """The admission limiter as a stream; hits arrive in time order, in several micro-batches."""
+    """The admission limiter as a stream. Hits land in slices of time, a tenth of them a slice late; the stream stops
+    and restarts after each. Lateness covers two slices, so no hit is refused as late; a clock tick ends the run."""
     hits = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts")
     d = S.run_dir(t.spark, "stream_admission_limit")
-    S.run_in_order(hits, S.time_slice(hits, "ts"), f"{d}/landing", lambda stream: S.run_to_sink(
-        L.admission_limit_stream(stream, 24 * 3600, 3), f"{d}/sink", f"{d}/checkpoint"))
-    return t.spark.read.parquet(f"{d}/sink").select(
+    delayed = (F.pmod(F.xxhash64("id"), F.lit(10)) == 0).cast("long")
+    slices = F.least(S.time_slice(hits, "ts") + delayed, F.lit(S.SLICES - 1))
+    window, span = 24 * 3600, S.span_seconds(hits, "ts")
+    lateness = 2 * (span // S.SLICES + 1)
+
+    def start(stream):
+        S.run_to_sink(L.admission_limit_stream(stream, window, 3, f"{lateness} seconds"), f"{d}/sink", f"{d}/checkpoint")
+
+    def run():
+        S.run_in_order(hits, slices, f"{d}/landing", start)
+        S.land_tick(hits, "ts", lateness + 3 * window, f"{d}/landing", start)
+
+    L.with_state_store(t.spark, run)
+    return t.spark.read.schema(L.STREAM_OUT).parquet(f"{d}/sink").select(
         "key", "id", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "admitted")
 
 
@@ -92,9 +104,14 @@ def stream_delivery(t):
 @job("stream_session_state")
 def stream_session_state(t):
     """Running counters per session from the turn log."""
-    return S.merge_session_state(S.partials_to_table(t.spark, "stream_session_state", A.turn_log(t), S.session_state))
+    return S.session_state_stream(t.spark, A.turn_log(t))
 
 
 @job("stream_funnel")
 def stream_funnel(t):
-    return S.merge_funnel_counts(S.partials_to_table(t.spark, "stream_funnel", A.funnel_events(t), S.funnel_counts))
+    """Daily and 7-day windows. Events land in slices of time; a tenth come one slice late, a tenth up to three, the
+    watermark allows one, so part of them reach the late output."""
+    events = A.funnel_events(t)
+    tenth = F.pmod(F.xxhash64("metric", "ts"), F.lit(10))
+    slices = F.least(S.time_slice(events, "ts") + F.when(tenth == 0, 1).when(tenth == 1, 3).otherwise(0), F.lit(S.SLICES - 1))
+    return S.funnel_stream(t.spark, events, slices, S.span_seconds(events, "ts") // S.SLICES + 1)

@@ -5,43 +5,46 @@ refused when ``max`` entries are live, and refused hits are not recorded.
 A decision depends on earlier decisions, so no window aggregate expresses
 it (a RANGE count over all hits over-refuses).
 
-Batch: rows are hash-partitioned by key and sorted by (key, ts, id) with an
-external sort; ``mapInPandas`` then streams each partition once, keeping at
-most ``max`` timestamps per key. Memory is O(max) whatever the size of a key
-(a key holding a third of all rows is a long but memory-safe scan); no group
-is ever materialized. Stream: ``applyInPandasWithState`` keeps the same
-bounded log per key across micro-batches; a key's hits of one micro-batch are
-sorted in runs of bounded size, which wait in a temporary file of the worker
-and are merged, so no group is held whole there either.
+Batch: rows are range-partitioned on (key, ts, id) and sorted, so a key holding
+a third of all rows is spread over many partitions, idle gaps or not. A
+partition's rows of one key are a chunk. Decisions of a chunk depend on earlier
+chunks only through the log they leave, at most ``max`` timestamps. All chunks
+that a key continues through are decided from an assumed incoming log first;
+then only chunks whose incoming log turned out different are decided again,
+until none does: a fixed point, and so the sequential result. Different logs
+soon admit the same hits, so few chunks are redone.
+
+Stream: a state machine per key (``transformWithStateInPandas``) on the state
+store. Hits wait in the state, grouped by slots of event time, until the
+watermark passes their slot; a timer then decides them in time order against
+the log. Decisions equal the batch form however late a hit arrives within
+``lateness``; a later hit is refused and marked late. Logs expire by event time.
 """
 
 from __future__ import annotations
 
-import heapq
 import sys
-import tempfile
 from collections import deque
 from collections.abc import Iterator
-from itertools import islice
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
-# The per-partition / per-group functions below run in Python workers. Ship
-# them by value so workers need only pandas, not this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from leadlens.plans.sequence import PID, lay_out
 
-OUT_FIELDS = [("key", T.StringType()), ("id", T.LongType()), ("ts_us", T.LongType()),
-              ("admitted", T.BooleanType())]
+# The functions below run in Python workers. Ship them by value so workers
+# need only pandas, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _decide(rows: pd.DataFrame, logs: dict, windows: pd.Series, maxes: pd.Series) -> list[bool]:
+def _decide(rows: pd.DataFrame, logs: dict) -> list[bool]:
     out = []
-    for key, t, w, m in zip(rows["key"].to_numpy(), rows["ts_us"].to_numpy(), windows, maxes):
+    for key, t, w, m in zip(rows["key"].to_numpy(), rows["ts_us"].to_numpy(), rows["window_us"].to_numpy(),
+                            rows["max_hits"].to_numpy()):
         log = logs.get(key)
         if log is None:
             log = logs[key] = deque()
@@ -56,43 +59,72 @@ def _decide(rows: pd.DataFrame, logs: dict, windows: pd.Series, maxes: pd.Series
     return out
 
 
-def _partition_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    logs: dict = {}
+def _walk(batches: Iterator[pd.DataFrame], incoming: dict[int, tuple[str, list[int]]]
+          ) -> Iterator[tuple[pd.DataFrame, list[bool], int, dict]]:
+    """(rows, decisions, partition, open logs) of the sorted batches of a task, which may hold several partitions."""
+    logs, at = {}, None
     for b in batches:
-        if b.empty:
-            continue
-        dec = _decide(b, logs, b["window_us"].to_numpy(), b["max_hits"].to_numpy())
-        # Input is sorted by key: only the last key of the batch can continue
-        # into the next one, so every other log is dropped.
-        last_key = b["key"].iloc[-1]
-        logs = {last_key: logs[last_key]}
-        yield pd.DataFrame({"key": b["key"], "id": b["id"], "ts_us": b["ts_us"], "admitted": dec,
-                            "orig_key": b["orig_key"], "route": b["route"]})
-
-
-def idle_segments(h: DataFrame) -> DataFrame:
-    """Cut each key's hits where the gap to the previous hit is at least the
-    window: every earlier entry has expired there, so segments are independent
-    and can be decided in parallel (exactly). Uses the skew-proof sequence
-    helper, so a hot key is split without ever sitting in one task."""
-    from leadlens.plans.sequence import lay_out, sequence
-    order = ["ts_us", "id"]
-    s = sequence(lay_out(h, "key", order), "key", order, prev_cols=["ts_us"])
-    s = s.withColumn("_new", (F.col("_prev_ts_us").isNull()
-                              | (F.col("ts_us") - F.col("_prev_ts_us") >= F.col("window_us"))).cast("long"))
-    s = sequence(s.drop("_rn", "_prev_ts_us"), "key", order, sums={"new": F.col("_new")})
-    return s.select(F.concat(F.col("key"), F.lit("#"), (F.col("_before_new") + F.col("_new")).cast("string")).alias("segment"),
-                    "key", "id", "ts_us", "window_us", "max_hits", *[c for c in h.columns if c == "route"])
+        for pid, rows in b.groupby(PID, sort=False):
+            if pid != at:
+                at, logs = pid, {}
+                if pid in incoming:
+                    key, log = incoming[pid]
+                    logs[key] = deque(log)
+            decided = _decide(rows, logs)
+            # Rows are sorted by key: only the last one can go on.
+            last = rows["key"].iloc[-1]
+            logs = {last: logs[last]}
+            yield rows, decided, int(pid), logs
+
+
+def _open_chunks(laid: DataFrame) -> tuple[dict[int, str], dict[int, int]]:
+    """Keys that partitions hand on to the next one with rows: ({pid: key handed on}, {pid: the one before it}).
+
+    One row per partition reaches the driver."""
+    ends = laid.groupBy(PID).agg(F.min("key").alias("first"), F.max("key").alias("last")).orderBy(PID).collect()
+    handed, before = {}, {}
+    for a, b in zip(ends, ends[1:]):
+        if a["last"] == b["first"]:
+            handed[a[PID]] = a["last"]
+            before[b[PID]] = a[PID]
+    return handed, before
+
+
+def incoming_logs(laid: DataFrame) -> dict[int, tuple[str, list[int]]]:
+    """{partition: (its first key, the log that earlier partitions leave for it)}, for keys that go on into it.
+
+    Rounds: decide the chunks that hand a key on, from the logs assumed so far, and redo those whose own incoming log
+    changed. At most one log of ``max`` entries per partition is held."""
+    handed, before = _open_chunks(laid)
+    spark = laid.sparkSession
+    after: dict[int, list[int]] = {}
+    incoming: dict[int, tuple[str, list[int]]] = {}
+    todo = set(handed)
+    while todo:
+        now = dict(incoming)
+
+        def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ends: dict[int, list[int]] = {}
+            for _, _, pid, logs in _walk(batches, now):
+                ends[pid] = list(next(iter(logs.values())))
+            yield pd.DataFrame({PID: pd.Series(list(ends), dtype="int32"), "log": pd.Series(list(ends.values()), dtype=object)})
+
+        wanted = F.broadcast(spark.createDataFrame([(p, handed[p]) for p in sorted(todo)], f"{PID} int, key string"))
+        chunk = laid.select("key", "id", "ts_us", "window_us", "max_hits", PID).join(wanted, [PID, "key"], "left_semi")
+        for r in chunk.mapInPandas(tails, f"{PID} int, log array<long>").collect():
+            after[r[PID]] = list(r["log"])
+        found = {p: (handed[q], after[q]) for p, q in before.items() if after[q]}
+        # A chunk's own log can only change when its partition is one chunk: another key would begin afresh.
+        todo = {p for p in handed if p in before and handed[p] == handed[before[p]] and found.get(p) != incoming.get(p)}
+        incoming = found
+    return incoming
 
 
 def admission_limit(hits: DataFrame, window_seconds: int | None = None, max_hits: int | None = None,
-                    partitions: int | None = None, split_idle: bool = True) -> DataFrame:
+                    partitions: int | None = None) -> DataFrame:
     """hits(key string, id long, ts timestamp[, window_us long, max_hits int][, route]) ->
-    ([route,] key, id, ts, admitted). A constant window/max may be given instead of columns.
-
-    With ``split_idle`` each key is first cut at idle gaps (>= window), so a
-    busy key with quiet periods is decided by many tasks; within a segment the
-    decision is a sequential, O(max)-memory scan."""
+    ([route,] key, id, ts, admitted). A constant window/max may be given instead of columns. Hits without a key have
+    no limit and are admitted."""
     h = hits
     if window_seconds is not None:
         h = h.withColumn("window_us", F.lit(int(window_seconds) * 1_000_000).cast("long"))
@@ -101,107 +133,100 @@ def admission_limit(hits: DataFrame, window_seconds: int | None = None, max_hits
     h = h.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"),
                  F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "window_us", "max_hits",
                  (F.col("route") if "route" in hits.columns else F.lit(None).cast("string")).alias("route"))
-    n = int(partitions or h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if split_idle:
-        g = idle_segments(h)
-        ordered = g.repartition(n, "segment").sortWithinPartitions("segment", "ts_us", "id") \
-            .select(F.col("segment").alias("key"), F.col("key").alias("orig_key"), "id", "ts_us", "window_us", "max_hits", "route")
-    else:
-        ordered = h.repartition(n, "key").sortWithinPartitions("key", "ts_us", "id").withColumn("orig_key", F.col("key"))
-    schema = T.StructType([T.StructField(a, b) for a, b in OUT_FIELDS] + [
-        T.StructField("orig_key", T.StringType()), T.StructField("route", T.StringType())])
-    decided = ordered.mapInPandas(_partition_fn, schema)
-    return decided.select(*(["route"] if "route" in hits.columns else []), F.col("orig_key").alias("key"), "id",
+    free = h.where(F.col("key").isNull()).select("key", "id", "ts_us", F.lit(True).alias("admitted"), "route")
+    laid = lay_out(h.where(F.col("key").isNotNull()), "key", ["ts_us", "id"], partitions)
+    incoming = incoming_logs(laid)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, decided, _, _ in _walk(batches, incoming):
+            yield pd.DataFrame({"key": rows["key"], "id": rows["id"], "ts_us": rows["ts_us"],
+                                "admitted": pd.Series(decided, index=rows.index), "route": rows["route"]})
+
+    decided = laid.mapInPandas(decide, "key string, id long, ts_us long, admitted boolean, route string").unionByName(free)
+    return decided.select(*(["route"] if "route" in hits.columns else []), "key", "id",
                           F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "admitted")
 
 
 # ---------------------------------------------------------------------------
 # Streaming form
 # ---------------------------------------------------------------------------
-STATE_SCHEMA = "log array<long>"
-STREAM_OUT = "key string, id long, ts_us long, admitted boolean"
-
-
-#: Hits that a sorted run holds in memory, and those that are read from a run, or decided, at once.
-RUN_HITS, BLOCK_HITS = 500_000, 10_000
-
-
-def _run_of(pieces: list[np.ndarray]) -> np.ndarray:
-    hits = np.concatenate(pieces)
-    return hits[np.lexsort((hits[:, 1], hits[:, 0]))]
-
-
-def _blocks(spill, at: int, n: int) -> Iterator[list[int]]:
-    """The hits of a run in the file, read block by block."""
-    for done in range(0, n, BLOCK_HITS):
-        spill.seek((at + done) * 16)
-        size = min(BLOCK_HITS, n - done) * 16
-        yield from np.frombuffer(spill.read(size), np.int64).reshape(-1, 2).tolist()
-
-
-def _in_order(pieces: Iterator[np.ndarray]) -> Iterator[list[int]]:
-    """[ts_us, id] of every hit in that order: an external merge sort with at most RUN_HITS hits of input in memory."""
-    with tempfile.SpooledTemporaryFile(max_size=1) as spill:  # a file only once a run is written
-        runs, held, size, written = [], [], 0, 0
-        for piece in pieces:
-            held.append(piece)
-            size += len(piece)
-            if size >= RUN_HITS:
-                spill.write(_run_of(held).tobytes())
-                runs.append((written, size))
-                held, size, written = [], 0, written + size
-        last = _run_of(held) if held else np.empty((0, 2), np.int64)
-        tail = (hit for at in range(0, len(last), BLOCK_HITS) for hit in last[at:at + BLOCK_HITS].tolist())
-        yield from heapq.merge(*(_blocks(spill, at, n) for at, n in runs), tail)
-
-
-def _stream_fn(window_us: int, max_hits: int):
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = deque(state.get[0]) if state.exists else deque()
-        arrived_ms = 0
-
-        def pieces() -> Iterator[np.ndarray]:
-            nonlocal arrived_ms
-            for rows in pdfs:
-                if len(rows):
-                    arrived_ms = max(arrived_ms, int(rows["arrived_ms"].max()))
-                    yield np.column_stack([rows[c].to_numpy().astype(np.int64, casting="safe") for c in ("ts_us", "id")])
-
-        hits = _in_order(pieces())
-        while chunk := list(islice(hits, BLOCK_HITS)):
-            out = []
-            for t, i in chunk:
-                while log and log[0] <= t - window_us:
-                    log.popleft()
-                ok = len(log) < max_hits
-                if ok:
-                    log.append(t)
-                out.append((key[0], i, t, ok))
-            yield pd.DataFrame(out, columns=["key", "id", "ts_us", "admitted"])
-        state.update((list(log),))
-        state.setTimeoutTimestamp(arrived_ms + max(1, window_us // 1000))
-    return fn
-
-
-def admission_limit_stream(hits: DataFrame, window_seconds: int, max_hits: int) -> DataFrame:
-    """Streaming hits -> decisions; state per key is the live log (<= max entries).
-
-    Every hit gets a decision: rows are applied in (ts, id) order within a
-    micro-batch and in arrival order across micro-batches, as the in-process
-    limiter does. The watermark runs on the time of arrival, so no hit is ever
-    late; a key without a hit for a whole window of that clock is swept, as all
-    its entries have expired by then."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+STREAM_OUT = "key string, id long, ts_us long, admitted boolean, late boolean"
+#: Spark's state store with timers and list state.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SlidingLog(StatefulProcessor):
+    """State of a key: ``pending`` hits by slot of event time, and the ``log`` of admitted times."""
+
+    def __init__(self, window_us: int, max_hits: int, slot_ms: int):
+        self.window_us, self.max_hits, self.slot_ms = window_us, max_hits, slot_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "slot_end_ms long", "times array<long>, ids array<long>")
+        self.log = handle.getListState("log", "ts_us long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for hits in rows:
+            hits = hits[hits["id"].notna()]  # a row without an id only moves the clock
+            slot_end = (hits["ts_us"] // 1000 // self.slot_ms + 1) * self.slot_ms
+            late = slot_end <= mark  # its slot has been decided
+            if late.any():
+                gone = hits[late]
+                yield pd.DataFrame({"key": key[0], "id": gone["id"], "ts_us": gone["ts_us"], "admitted": False, "late": True})
+            for end, own in hits[~late].groupby(slot_end[~late]):
+                end = int(end)
+                times, ids = self.pending.getValue((end,)) if self.pending.containsKey((end,)) else ([], [])
+                self.pending.updateValue((end,), ([*times, *map(int, own["ts_us"])], [*ids, *map(int, own["id"])]))
+                self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = int(expiredTimerInfo.getExpiryTimeInMs())
+        log = deque(t for t, in self.log.get())
+        if self.pending.containsKey((due,)):
+            times, ids = self.pending.getValue((due,))
+            self.pending.removeKey((due,))
+            # The hits of one slot of one key, no more than arrived for it.
+            rows = pd.DataFrame({"key": key[0], "id": list(ids), "ts_us": list(times)}).sort_values(["ts_us", "id"])
+            logs = {key[0]: log}
+            rows["admitted"] = _decide(rows.assign(window_us=self.window_us, max_hits=self.max_hits), logs)
+            if log:
+                self.log.put([(int(t),) for t in log])
+                # Past this time the last entry has expired, unless a later slot has added one.
+                self.handle.registerTimer((log[-1] + self.window_us) // 1000 // self.slot_ms * self.slot_ms + self.slot_ms + 1)
+            yield rows.assign(late=False)
+        elif log and log[-1] + self.window_us <= due * 1000:
+            self.log.clear()
+
+
+def admission_limit_stream(hits: DataFrame, window_seconds: int, max_hits: int, lateness: str = "0 seconds",
+                           slot_seconds: int | None = None) -> DataFrame:
+    """Streaming hits -> decisions (key, id, ts_us, admitted, late), each once the watermark passes the hit's slot.
+
+    ``lateness`` is how much event time a hit may come after later ones; ``slot_seconds`` (default: the window) is how
+    finely decisions follow the watermark. A row without an id is a clock tick: it moves the watermark and has no
+    decision. The watermark column does not reach the operator, so Spark drops no late row before it can be marked."""
     h = hits.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"),
                     F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-                    F.current_timestamp().alias("arrived")).withWatermark("arrived", "0 seconds")
-    h = h.withColumn("arrived_ms", F.unix_millis("arrived"))
-    return h.groupBy("key").applyInPandasWithState(
-        _stream_fn(int(window_seconds) * 1_000_000, int(max_hits)), STREAM_OUT, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+                    F.col("ts").cast("timestamp").alias("clock")).withWatermark("clock", lateness)
+    machine = SlidingLog(int(window_seconds) * 1_000_000, int(max_hits), int(slot_seconds or window_seconds) * 1000)
+    return h.select("key", "id", "ts_us").groupBy("key").transformWithStateInPandas(
+        machine, STREAM_OUT, "append", "EventTime")
+
+
+def with_state_store(spark: SparkSession, run) -> None:
+    """``run()`` with queries on the RocksDB state store, which list state and timers need; the setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        run()
+    finally:
+        spark.conf.set(name, before)
 
 
 # Route policies (key prefix, window in seconds, most hits). Message and report calls are counted per
@@ -229,6 +254,5 @@ def limit_policies(requests: DataFrame) -> DataFrame:
     pol = F.broadcast(policy_table(requests.sparkSession))
     h = requests.join(pol, "route", "left").select(
         "route", F.concat(F.col("prefix"), F.col("caller").cast("string")).alias("key"), "id", "ts",
-        "window_us", "max_hits")
-    free = h.where(F.col("key").isNull()).select("route", "key", "id", "ts", F.lit(True).alias("admitted"))
-    return admission_limit(h.where(F.col("key").isNotNull())).unionByName(free)
+        F.coalesce("window_us", F.lit(0).cast("long")).alias("window_us"), F.coalesce("max_hits", F.lit(0)).alias("max_hits"))
+    return admission_limit(h)

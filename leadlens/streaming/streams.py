@@ -7,10 +7,12 @@ with ``availableNow`` and a checkpoint under the cluster's
 ``spark.checkpoint.dir``, and writes an idempotent sink. Re-running a job on
 the same checkpoint processes only new files.
 
-No job uses a watermark: results that span micro-batches are kept as one
-partial aggregate per batch folder and merged on read, so late rows count
-whenever they arrive, no state grows, and a replayed batch overwrites its
-own folder.
+Three ways to span micro-batches: ``stream_funnel`` closes event-time windows
+by watermark and keeps the rows that come later than it in a side output, so
+the two together are exact; ``stream_session_state`` keeps running totals on
+the state store and upserts the keys a batch changed; the others keep one
+partial aggregate per batch folder and merge them on read. A replayed batch
+overwrites its own folders in all of them.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.session import checkpoint_root
+from leadlens.sources import keyed
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -66,6 +69,23 @@ def run_in_order(df: DataFrame, order: Column, path: str, start) -> None:
         start(df.sparkSession.readStream.schema(df.schema).parquet(f"{path}/*"))
 
 
+def span_seconds(df: DataFrame, ts: str) -> int:
+    """Whole seconds between the least and the greatest ``ts``; 0 without any."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    return 0 if low is None else (high - low) // 1_000_000 + 1
+
+
+def land_tick(df: DataFrame, ts: str, seconds: int, path: str, start) -> None:
+    """Land one row that is null but for a ``ts`` that many seconds after the last one, and run the stream on it: a clock
+    tick, with which the watermark passes all rows."""
+    tick = df.agg(F.max(ts).alias(ts)).where(F.col(ts).isNotNull()).select(*(
+        (F.col(ts) + F.make_dt_interval(secs=F.lit(float(seconds)))).cast(f.dataType).alias(f.name) if f.name == ts
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+    tick.write.parquet(f"{path}/tick")
+    start(df.sparkSession.readStream.schema(df.schema).parquet(f"{path}/*"))
+
+
 def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None,
                  fmt: str = "parquet") -> DataFrame:
     """A file stream over the landing folder with a fixed schema (no inference).
@@ -177,26 +197,100 @@ def partials_to_table(spark: SparkSession, name: str, source: DataFrame, build,
 
 
 def session_state(turns: DataFrame) -> DataFrame:
-    """Counters and flags per session of one micro-batch."""
+    """Counters and flags per session (batch or stream)."""
     return turns.groupBy("session_id").agg(
         F.count_if("inc_turn").alias("turns"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"), F.bool_or("m_mantiq").alias("done_mantiq"),
         F.bool_or("m_psixologiya").alias("done_psixologiya"), F.bool_or("m_harakat").alias("done_harakat"))
 
 
-def merge_session_state(parts: DataFrame) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in ("turns", "input_tokens", "output_tokens")]
-    flags = [F.bool_or(c).alias(c) for c in ("done_mantiq", "done_psixologiya", "done_harakat")]
-    return parts.groupBy("session_id").agg(*sums, *flags)
+def session_state_stream(spark: SparkSession, turns: DataFrame, run: str | None = None) -> DataFrame:
+    """Running counters per session: a streaming aggregation in update mode, whose totals live in the state store.
+
+    Each micro-batch sends on only the sessions it changed, with their totals, which replace the old rows of the keyed
+    table; what a batch reads depends on its own sessions, not on the batches before it. ``run`` resumes a run folder."""
+    d = run or run_dir(spark, "stream_session_state")
+    if run is None:
+        stage(turns, f"{d}/landing")
+    totals = session_state(read_landing(spark, f"{d}/landing", turns.schema))
+    run_foreach_batch(totals, lambda batch, batch_id: keyed.upsert(batch, "session_id", f"{d}/table", batch_id),
+                      f"{d}/checkpoint", "update")
+    return keyed.table(spark, f"{d}/table", totals.schema)
+
+
+#: Days of the tumbling windows. Longer ones are whole numbers of the shortest, so a row late for it is late for none before.
+FUNNEL_DAYS = (1, 7)
 
 
 def funnel_counts(events: DataFrame, days: int = 7) -> DataFrame:
-    """Epoch-aligned tumbling windows per metric (not the now-anchored weekly funnel) of one micro-batch."""
-    return (events.withColumn("ts", F.col("ts").cast("timestamp"))
-            .groupBy(F.window("ts", f"{days} days"), "metric").agg(F.count(F.lit(1)).alias("n"))
+    """Epoch-aligned tumbling windows per metric (not the now-anchored weekly funnel); rows without a time are in none."""
+    if events.schema["ts"].dataType.simpleString() != "timestamp":  # a cast would hide a stream's watermark
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return (events.groupBy(F.window("ts", f"{days} days"), "metric").agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window.end").cast("timestamp_ntz").alias("window_end"), "metric", "n"))
 
 
 def merge_funnel_counts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("window_start", "window_end", "metric").agg(F.sum("n").alias("n"))
+
+
+def split_late(spark: SparkSession, d: str, schema, ts: str, lateness: int) -> None:
+    """Part the landed rows into ``ontime`` and ``late``, a folder per micro-batch, by the watermark that holds for it:
+    the greatest ``ts`` of earlier batches less ``lateness`` seconds. A row is late when the shortest window that it
+    belongs to ended by then, which is the rule by which a windowed aggregation drops rows."""
+    shortest = min(FUNNEL_DAYS) * 86_400_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        mark = None  # of the batch before this one: one row
+        if batch_id:
+            mark = spark.read.parquet(batch_path(f"{d}/clock", batch_id - 1)).first().mark
+        end = (F.floor(us / F.lit(shortest)) + 1) * F.lit(shortest)
+        late = F.lit(False) if mark is None else F.coalesce(end <= F.lit(mark - lateness * 1_000_000), F.lit(False))
+        batch.where(~late).write.mode("overwrite").parquet(batch_path(f"{d}/ontime", batch_id))
+        batch.where(late).write.mode("overwrite").parquet(batch_path(f"{d}/late", batch_id))
+        batch.agg(F.greatest(F.max(us), F.lit(mark).cast("long")).alias("mark")).write.mode("overwrite").parquet(
+            batch_path(f"{d}/clock", batch_id))
+
+    run_foreach_batch(spark.readStream.schema(schema).parquet(f"{d}/landing/*"), split, f"{d}/split-checkpoint")
+
+
+def funnel_windows(spark: SparkSession, d: str, schema, lateness: int) -> None:
+    """Count the on-time rows by ``withWatermark`` and ``window``, one query per window length, in append mode: a window
+    is written once, when the watermark passes its end, and leaves the state."""
+    for days in FUNNEL_DAYS:
+        events = spark.readStream.schema(schema).parquet(f"{d}/ontime/*").withColumn("ts", F.col("ts").cast("timestamp"))
+        run_to_sink(funnel_counts(events.withWatermark("ts", f"{lateness} seconds"), days), f"{d}/windows-{days}",
+                    f"{d}/windows-{days}-checkpoint")
+
+
+def funnel_stream(spark: SparkSession, events: DataFrame, order: Column, lateness: int, run: str | None = None) -> DataFrame:
+    """events(metric, ts) -> (window_start, window_end, metric, n) for daily and 7-day windows, exact whatever comes late.
+
+    Slice after slice (``order``) lands; each time the split and then the counts run from their checkpoints, so each
+    micro-batch of the counts takes whole batches of the split and both see the same watermark. A clock tick closes the
+    last windows. The result is the closed windows plus the counts of the late rows."""
+    d = run or run_dir(spark, "stream_funnel")
+
+    def start(_stream: DataFrame) -> None:
+        split_late(spark, d, events.schema, "ts", lateness)
+        funnel_windows(spark, d, events.schema, lateness)
+
+    run_in_order(events, order, f"{d}/landing", start)
+    land_tick(events, "ts", lateness + 2 * 86_400 * max(FUNNEL_DAYS), f"{d}/landing", start)
+    return funnel_table(spark, d, events.schema)
+
+
+WINDOWS_SCHEMA = "window_start timestamp_ntz, window_end timestamp_ntz, metric string, n long"
+
+
+def funnel_table(spark: SparkSession, d: str, schema) -> DataFrame:
+    """Closed windows and late rows of a run folder, merged."""
+    late = spark.read.schema(schema).parquet(f"{d}/late/*")
+    parts = [spark.read.schema(WINDOWS_SCHEMA).parquet(f"{d}/windows-{days}").unionByName(funnel_counts(late, days))
+             for days in FUNNEL_DAYS]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return merge_funnel_counts(both)

@@ -3,7 +3,7 @@
 from oracle.adapters import FIN, SID, with_views
 from oracle.sql_identity import ATTEMPTS, REQS, UPDATES, parse_int
 
-WEEK_US = "604800000000"
+DAY_US, WEEK_US = "86400000000", "604800000000"
 
 
 def limiter(hits_sql: str, cols: str = "") -> str:
@@ -100,8 +100,8 @@ SELECT {SID} AS session_id, CAST(count(*) FILTER (WHERE l_linestatus <> 'F') AS
        bool_or(l_linestatus <> 'F' AND l_suppkey % 3 = 2) AS done_harakat
 FROM lineitem GROUP BY 1""",
     "stream_funnel": with_views(["funnel_events"], f"""
-SELECT make_timestamp(CAST(floor(epoch_us(ts) / {WEEK_US}) AS BIGINT) * {WEEK_US}) AS window_start,
-       make_timestamp(CAST(floor(epoch_us(ts) / {WEEK_US}) AS BIGINT) * {WEEK_US} + {WEEK_US}) AS window_end,
+SELECT make_timestamp(CAST(floor(epoch_us(ts) / us) AS BIGINT) * us) AS window_start,
+       make_timestamp(CAST(floor(epoch_us(ts) / us) AS BIGINT) * us + us) AS window_end,
        metric, CAST(count(*) AS BIGINT) AS n
-FROM funnel_events GROUP BY 1, 2, 3"""),
+FROM funnel_events CROSS JOIN (VALUES ({DAY_US}), ({WEEK_US})) w(us) GROUP BY 1, 2, 3"""),
 }

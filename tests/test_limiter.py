@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from leadlens.plans import jobs_streams
@@ -61,48 +61,83 @@ def test_events_counts(spark):
     assert c == {True: 7567, False: 2433}
 
 
-def test_stream_equals_batch_with_restart(spark):
-    pairs = [("k%d" % (i % 4), i * 7 % 300) for i in range(200)]
-    h = hits(spark, pairs).withColumn("part", (F.col("id") % 3))
-    d = S.run_dir(spark, "limiter_test")
-    # Arrival order = time order: three files, each a time slice.
-    src = h.withColumn("part", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 100) % 3)
-    for p in range(3):
-        src.filter(F.col("part") == p).drop("part").write.parquet(f"{d}/landing/f{p}")
-        stream = spark.readStream.schema("key string, id long, ts timestamp_ntz").parquet(f"{d}/landing/*")
-        q = (L.admission_limit_stream(stream, 60, 3).writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start(f"{d}/out"))
-        q.awaitTermination()  # one run per arriving file, restarting from the checkpoint
-    got = {r[0]: r[1] for r in rows(spark.read.parquet(f"{d}/out"), "id", "admitted")}
-    exp = {r[0]: r[1] for r in rows(L.admission_limit(hits(spark, pairs), 60, 3), "id", "admitted")}
-    assert got == exp
-
-
-def test_idle_segments_split_hot_key_exactly(spark):
-    import random
-    rnd = random.Random(11)
-    # One hot key with bursts separated by idle gaps longer than the window.
-    pairs = [("hot", b * 1000 + rnd.randint(0, 50)) for b in range(12) for _ in range(30)] + \
-            [("cold", rnd.randint(0, 12000)) for _ in range(40)]
+def stream(spark, d, slices, lateness, restart=True, tick=10**7):
+    """Land slice after slice and run the stream on each from its checkpoint; a clock tick ends the run."""
+    schema = "key string, id long, ts timestamp_ntz"
+    end = spark.createDataFrame([(None, None, T0 + timedelta(seconds=tick))], schema)
+
+    def run():
+        for k, part in enumerate([*slices, end]):
+            part.write.parquet(f"{d}/landing/f{k}")
+            S.run_to_sink(L.admission_limit_stream(spark.readStream.schema(schema).parquet(f"{d}/landing/*"), 60, 3, lateness),
+                          f"{d}/out", f"{d}/ck")
+    L.with_state_store(spark, run)
+    return {r.id: (r.admitted, r.late) for r in spark.read.parquet(f"{d}/out").collect()}
+
+
+def test_stream_equals_batch_with_restarts_and_delayed_hits(spark):
+    """Hits of four restarted runs come up to 200 seconds late, over three windows."""
+    rnd = random.Random(2)
+    pairs = [("k%d" % (i % 4), rnd.randint(0, 800)) for i in range(300)]
     h = hits(spark, pairs)
-    hh = h.select("key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-                  F.lit(60 * 1_000_000).cast("long").alias("window_us"), F.lit(3).alias("max_hits"))
-    segs = L.idle_segments(hh).filter(F.col("key") == "hot").select("segment").distinct().count()
-    assert segs == 12
-    a = decisions(L.admission_limit(h, 60, 3, split_idle=True))
-    b = decisions(L.admission_limit(h, 60, 3, split_idle=False))
-    assert a == b == brute(pairs, 60, 3)
-
-
-def test_stream_decides_every_hit_however_late(spark):
-    d = S.run_dir(spark, "late_test")
-    late = hits(spark, [("a", 500_000), ("b", 500_001), ("a", 1), ("a", 2), ("c", 3), ("b", 4), ("c", 400_000), ("a", 500_002)])
-    for p in range(4):
-        late.filter(F.col("id") % 4 == p).write.parquet(f"{d}/landing/f{p}")
-    stream = (spark.readStream.schema("key string, id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1)
-              .parquet(f"{d}/landing/*"))
-    S.run_to_sink(L.admission_limit_stream(stream, 60, 3), f"{d}/out", f"{d}/ck")
-    assert sorted(r[0] for r in rows(spark.read.parquet(f"{d}/out"), "id")) == list(range(8))
+    arrives = F.least(F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(int(T0.timestamp()))
+                               + F.pmod(F.hash("id"), F.lit(200))) / 250), F.lit(3))
+    slices = [h.where(arrives == k) for k in range(4)]
+    assert all(p.count() for p in slices)
+    got = stream(spark, S.run_dir(spark, "limiter_test"), slices, "200 seconds")
+    assert [got[i] for i in range(300)] == [(ok, False) for ok in brute(pairs, 60, 3)]
+
+
+def test_stream_marks_hits_that_come_too_late(spark):
+    early, late = hits(spark, [("a", 0), ("a", 1000), ("b", 1001)]), hits(spark, [("a", 5)] * 2 + [("b", 1)])
+    late = late.withColumn("id", F.col("id") + 10)
+    after = hits(spark, [("a", 1002), ("a", 1003), ("a", 1004)]).withColumn("id", F.col("id") + 20)
+    got = stream(spark, S.run_dir(spark, "late_test"), [early, early.limit(0), late, after], "30 seconds")
+    assert {i for i, (_, is_late) in got.items() if is_late} == {10, 11, 12}
+    assert not any(ok for ok, is_late in got.values() if is_late)
+    assert [got[i][0] for i in (0, 1, 2, 20, 21, 22)] == [True, True, True, True, True, False]
+
+
+def test_stream_plan_uses_the_state_store(spark):
+    d = S.run_dir(spark, "plan_test")
+    hits(spark, [("a", 1)]).write.parquet(f"{d}/landing/f0")
+    plans = []
+
+    def run():
+        out = L.admission_limit_stream(spark.readStream.schema("key string, id long, ts timestamp_ntz").parquet(f"{d}/landing/*"), 60, 3)
+        q = (out.writeStream.format("noop").option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start())
+        q.awaitTermination()
+        plans.append(q._jsq.explainInternal(True))
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    L.with_state_store(spark, run)
+    assert "StateStoreSave" in plans[0] or "TransformWithState" in plans[0]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+@pytest.mark.parametrize("gap", [1, 7, 30])
+def test_hot_key_without_idle_gaps_is_decided_in_parallel(spark, gap):
+    """60 % of rows in one key without an idle gap: its chunks lie in many partitions, none reads much more than its share."""
+    rnd = random.Random(gap)
+    pairs = [("hot", i * gap // 2 + rnd.randint(0, gap)) for i in range(600)] + [(f"c{i % 90}", rnd.randint(0, 900)) for i in range(400)]
+    h = hits(spark, pairs).repartition(3)
+    assert decisions(L.admission_limit(h, 60, 3, partitions=10)) == brute(pairs, 60, 3)
+    laid = L.lay_out(h.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))), "key", ["ts_us", "id"], 10)
+    per = [r["count"] for r in laid.where("key = 'hot'").groupBy(L.PID).count().collect()]
+    assert len(per) >= 5 and max(per) <= 200
+
+
+def test_chunks_are_redone_until_logs_agree(spark):
+    """A strictly periodic key never forgets its phase: every chunk's log differs from the assumed one."""
+    pairs = [("p", 10 * i) for i in range(300)] + [("q", 7 * i) for i in range(60)]
+    assert decisions(L.admission_limit(hits(spark, pairs), 95, 4, partitions=12)) == brute(pairs, 95, 4)
+
+
+def test_empty_hits_and_hits_without_a_key(spark):
+    assert L.admission_limit(hits(spark, []), 60, 3).count() == 0
+    h = spark.createDataFrame([(None, i, T0) for i in range(5)] + [("a", 5 + i, T0) for i in range(5)],
+                              "key string, id long, ts timestamp_ntz")
+    assert decisions(L.admission_limit(h, 60, 3)) == [True] * 5 + [True] * 3 + [False] * 2
 
 
 def test_policies_admit_unknown_routes_and_keep_the_route(spark):
@@ -118,34 +153,6 @@ def test_policies_admit_unknown_routes_and_keep_the_route(spark):
     assert got[0].route == "report" and got[3].route == "read"
 
 
-class State:
-    """What the streaming function uses of a key's state."""
-    exists = hasTimedOut = False
-
-    def update(self, value):
-        self.exists, self.get = True, value
-
-    def setTimeoutTimestamp(self, ms):
-        self.timeout = ms
-
-
-def test_stream_decides_a_hot_key_in_sorted_chunks(monkeypatch):
-    monkeypatch.setattr(L, "RUN_HITS", 50)
-    monkeypatch.setattr(L, "BLOCK_HITS", 20)
-    rnd = random.Random(5)
-    pairs = [("hot", rnd.randint(0, 900)) for _ in range(640)]
-    order = sorted(range(640), key=lambda i: (pairs[i][1] >= 450, rnd.random()))  # two micro-batches in time order
-    late = sum(s >= 450 for _, s in pairs)
-    state, got = State(), {}
-    for batch in (order[:640 - late], order[640 - late:]):
-        pieces = [pd.DataFrame({"ts_us": [pairs[i][1] * 1_000_000 for i in batch[a:a + 7]], "id": batch[a:a + 7],
-                                "arrived_ms": 1000}) for a in range(0, len(batch), 7)]
-        out = list(L._stream_fn(60_000_000, 3)(("hot",), iter(pieces), state))
-        assert max(map(len, out)) <= 20 and len(state.get[0]) <= 3 and state.timeout == 61_000
-        got |= {i: ok for o in out for i, ok in zip(o["id"], o["admitted"], strict=True)}
-    assert [got[i] for i in range(640)] == brute(pairs, 60, 3)
-
-
 def test_stream_job_over_two_months_equals_batch(spark):
     rnd = random.Random(3)
     rows_ = [(i % 3, i, T0 + timedelta(seconds=rnd.randint(0, 60 * 86400))) for i in range(600)] + [(7, 600, T0), (7, 601, T0)]

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from leadlens.operators.reports import first_report_wins
+from leadlens.sources import keyed
 from leadlens.streaming import streams as S
 from tests.conftest import rows
 
@@ -50,29 +51,88 @@ def test_staging_gives_several_batches_with_a_keys_rows_apart(spark):
     assert batches(d) >= 4 and spark.read.parquet(f"{d}/sink").count() == 200
 
 
-def test_partials_count_late_rows_once_over_batches_and_restart(spark):
-    events = spark.range(300).select(
+def funnel_events(spark, n=300):
+    return spark.range(n).select(
         (F.lit(datetime(2024, 1, 1)) + F.make_dt_interval(F.col("id").cast("int") % 90)).cast("timestamp_ntz").alias("ts"),
         F.when(F.col("id") % 2 == 0, "started").otherwise("finished").alias("metric"))
+
+
+def batch_windows(events):
+    return sorted(tuple(r) for days in S.FUNNEL_DAYS for r in S.funnel_counts(events, days).collect())
+
+
+def test_funnel_windows_and_late_rows_equal_batch_over_restarts(spark):
+    """Slices by hash arrive wholly out of time order, so most rows of the later ones are late."""
+    events = funnel_events(spark)
     d = S.run_dir(spark, "funnel_test")
-    S.stage(events, f"{d}/landing")
-    S.partials_to_table(spark, "funnel_test", events, S.funnel_counts, run=d)
-    got = S.merge_funnel_counts(S.partials_to_table(spark, "funnel_test", events, S.funnel_counts, run=d))  # nothing new
-    want = S.merge_funnel_counts(S.funnel_counts(events))
-    assert batches(d) >= 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    late = spark.createDataFrame([(datetime(2024, 1, 2), "started")], events.schema)
-    late.write.parquet(f"{d}/landing/late")
-    again = S.merge_funnel_counts(S.partials_to_table(spark, "funnel_test", events, S.funnel_counts, run=d))
-    assert sum(r.n for r in again.collect()) == 301
-
-
-def test_session_state_merges_a_session_over_batches(spark):
-    turns = spark.range(80).select((F.col("id") % 3).alias("session_id"), (F.col("id") % 4 == 0).alias("inc_turn"),
-                                   F.col("id").alias("input_tokens"), F.lit(2).alias("output_tokens"),
-                                   (F.col("id") == 30).alias("m_mantiq"), F.lit(False).alias("m_psixologiya"),
-                                   (F.col("id") > 70).alias("m_harakat"))
-    got = S.merge_session_state(S.partials_to_table(spark, "state_test", turns, S.session_state))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.session_state(turns).collect()))
+    share = F.pmod(F.xxhash64("ts", "metric"), F.lit(S.SLICES))
+    got = S.funnel_stream(spark, events, share, 10 * 86400, run=d)
+    assert sorted(map(tuple, got.collect())) == batch_windows(events)
+    late = spark.read.schema(events.schema).parquet(f"{d}/late/*").count()
+    assert 0 < late < 300
+    for name in ("split-checkpoint", "windows-1-checkpoint", "windows-7-checkpoint"):
+        assert len([f for f in os.listdir(f"{d}/{name}/commits") if not f.startswith(".")]) >= 4
+    # A run without new files changes nothing, and no window is written twice.
+    S.split_late(spark, d, events.schema, "ts", 10 * 86400)
+    S.funnel_windows(spark, d, events.schema, 10 * 86400)
+    assert sorted(map(tuple, S.funnel_table(spark, d, events.schema).collect())) == batch_windows(events)
+    for days in S.FUNNEL_DAYS:
+        closed = spark.read.schema(S.WINDOWS_SCHEMA).parquet(f"{d}/windows-{days}")
+        assert closed.count() == closed.select("window_start", "metric").distinct().count()
+
+
+def test_funnel_in_time_order_has_no_late_row(spark):
+    events = funnel_events(spark, 200)
+    d = S.run_dir(spark, "funnel_order_test")
+    got = S.funnel_stream(spark, events, S.time_slice(events, "ts"), 0, run=d)
+    assert sorted(map(tuple, got.collect())) == batch_windows(events)
+    assert spark.read.schema(events.schema).parquet(f"{d}/late/*").count() == 0
+
+
+def turns(spark, n=80, sessions=3):
+    return spark.range(n).select((F.col("id") % sessions).alias("session_id"), (F.col("id") % 4 == 0).alias("inc_turn"),
+                                 F.col("id").alias("input_tokens"), F.lit(2).alias("output_tokens"),
+                                 (F.col("id") == 30).alias("m_mantiq"), F.lit(False).alias("m_psixologiya"),
+                                 (F.col("id") > 70).alias("m_harakat"))
+
+
+def test_session_state_sums_a_session_over_batches_and_restart(spark):
+    d = S.run_dir(spark, "state_test")
+    all_turns = turns(spark)
+    S.stage(all_turns.where("input_tokens < 60"), f"{d}/landing")
+    S.session_state_stream(spark, all_turns, run=d)
+    all_turns.where("input_tokens >= 60").write.parquet(f"{d}/landing/later")
+    got = S.session_state_stream(spark, all_turns, run=d)
+    assert batches(d) >= 5
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.session_state(all_turns).collect()))
+
+
+def test_upsert_rewrites_touched_buckets_and_replays(spark):
+    root = S.run_dir(spark, "keyed_test")
+    schema = "k long, v string"
+    frame = lambda *r: spark.createDataFrame(list(r), schema)
+    keyed.upsert(frame(*((i, "a") for i in range(100)), (None, "a")), "k", root, 0, buckets=8)
+    keyed.upsert(frame((5, "b"), (200, "b")), "k", root, 1, buckets=8)
+    keyed.upsert(frame(), "k", root, 2, buckets=8)
+    keyed.upsert(frame((7, "c"), (None, "c")), "k", root, 3, buckets=8)
+    want = {**{i: "a" for i in range(100)}, 5: "b", 200: "b", 7: "c", None: "c"}
+    assert dict(map(tuple, keyed.table(spark, root, schema).collect())) == want
+    assert len(os.listdir(f"{root}/data/v=1")) <= 2 + len([f for f in os.listdir(f"{root}/data/v=1") if "bucket" not in f])
+    keyed.upsert(frame((7, "c"), (None, "c")), "k", root, 3, buckets=8)  # replayed after a failure
+    rows_ = keyed.table(spark, root, schema).collect()
+    assert dict(map(tuple, rows_)) == want and len(rows_) == len(want)
+
+
+def test_session_batches_read_their_own_buckets(spark):
+    """The buckets read by a batch of one session don't grow with the number of batches before it."""
+    root = S.run_dir(spark, "keyed_growth_test")
+    frame = lambda *r: spark.createDataFrame(list(r), "k long, v long")
+    keyed.upsert(frame(*((i, 0) for i in range(400))), "k", root, 0, buckets=8)
+    for b in range(1, 6):
+        keyed.upsert(frame((1, b)), "k", root, b, buckets=8)
+        rewritten = spark.read.parquet(f"{root}/data/v={b}").count()
+        assert rewritten < 100
+    assert keyed.table(spark, root, "k long, v long").where("k = 1").first().v == 5
 
 
 def test_ingest_from_json_landing(spark):
