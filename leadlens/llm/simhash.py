@@ -3,14 +3,18 @@
 A fingerprint bit is set when more than half of the text's word shingles have it in their XXH64 (seed 42).
 Fingerprints that differ in at most ``max_bits`` bits are linked; groups are the connected components.
 
-Search: the 64 bits are dealt into ``parts`` groups so that correlated bits, which add little selectivity to each
-other, sit together. If two fingerprints differ in at most t bits, then for any thresholds t_i >= -1 with
-sum(t_i) = t - parts + 1 some group differs in at most t_i bits (-1 leaves a group out). Dynamic programming picks the
-thresholds with the least estimated work: probes to send plus candidates to verify, the latter from collision counts
-over all fingerprints. One table is indexed by each group's bits, every fingerprint probes all values within t_i
-flips, and each candidate is verified on the whole 64 bits inside the join.
-
-Copies share a fingerprint, and only distinct fingerprints are searched, so groups of copies cost one row.
+Search: the 64 bits are dealt into groups so that correlated bits, which add little selectivity to each other, sit
+together. If two fingerprints differ in at most t bits, then for any thresholds t_i >= -1 with sum(t_i) = t - groups + 1
+some group differs in at most t_i bits (-1 leaves a group out). Dynamic programming picks the thresholds with the least
+estimated work: probes to send plus candidates to verify, the latter from collision counts over all fingerprints; the
+number of groups is the one whose best thresholds cost least, so it follows the number of fingerprints. One table is
+indexed by each group's bits, every fingerprint probes all values within t_i flips, and each candidate is verified on the
+whole 64 bits inside the join.
+
+Copies share a fingerprint, and only distinct fingerprints are searched, so groups of copies cost one row. Pairs of near
+fingerprints are never listed: first each fingerprint is compared with the least and the greatest of its bucket in each
+group, and those links are merged into clusters; then the search reports only which clusters are linked, each pair of
+clusters once a task, and merges those. A dense group is one cluster after the first step.
 
 Edge cases: null, empty and word-less texts have fingerprint zero and are linked like any other; fewer words than
 a shingle give one shingle of them all; repeated shingles count each time; null ids never become a component_id
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, map_batches, own_columns, written
 from .components import components
 
-SHINGLE_WORDS, MAX_BITS, PARTS = 4, 4, 3
+SHINGLE_WORDS, MAX_BITS = 4, 4
 #: Work of verifying a candidate, with sending one probe as 1.
 CANDIDATE_COST = 0.1
 BLOCK = 1 << 16
@@ -95,7 +99,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     return fps.count(), together.reshape(64, 64)
 
 
-def bit_groups(n: int, together: np.ndarray, parts: int = PARTS) -> list[list[int]]:
+def bit_groups(n: int, together: np.ndarray, parts: int = 3) -> list[list[int]]:
     """Deal the bits into groups of near-equal size, each grown around its most correlated bits."""
     p = np.diag(together) / max(n, 1)
     spread = np.sqrt(np.clip(p * (1 - p), 1e-12, None))
@@ -117,8 +121,8 @@ def probes(width: int, radius: int) -> int:
     return sum(comb(width, k) for k in range(radius + 1))
 
 
-def thresholds(widths: list[int], candidates: list[list[float]], n: int, max_bits: int = MAX_BITS) -> list[int]:
-    """Thresholds t_i >= -1 summing to max_bits - parts + 1 with the least probes plus candidates.
+def cheapest(widths: list[int], candidates: list[list[float]], n: int, max_bits: int = MAX_BITS) -> tuple[float, list[int]]:
+    """(work, thresholds t_i >= -1 summing to max_bits - groups + 1) with the least probes plus candidates.
 
     candidates[i][t]: estimated pairs within t bits in group i.
     """
@@ -132,29 +136,40 @@ def thresholds(widths: list[int], candidates: list[list[float]], n: int, max_bit
                 if total + t not in grown or work < grown[total + t][0]:
                     grown[total + t] = (work, [*chosen, t])
         best = grown
-    return best[want][1]
+    return best[want]
 
 
-def plan_search(fps: DataFrame, parts: int = PARTS, max_bits: int = MAX_BITS) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each group, from statistics over all distinct fingerprints."""
+def thresholds(widths: list[int], candidates: list[list[float]], n: int, max_bits: int = MAX_BITS) -> list[int]:
+    return cheapest(widths, candidates, n, max_bits)[1]
+
+
+def plan_search(fps: DataFrame, parts: int | None = None, max_bits: int = MAX_BITS) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each group, from statistics over all distinct fingerprints; ``parts`` groups, by default as
+    many as cost least."""
     n, together = bit_statistics(fps)
-    groups = bit_groups(n, together, parts)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("key"))
-                               for i, g in enumerate(groups)])).alias("k")
-    same = {r.part: r.pairs for r in fps.select(keys).groupBy("k.part", "k.key").agg(F.count(F.lit(1)).alias("c"))
+    options = [parts] if parts else list(range(2, max_bits + 2))
+    dealt = {k: bit_groups(n, together, k) for k in options}
+    places = [(k, i) for k in options for i in range(k)]
+    keys = F.explode(F.array(*[F.struct(F.lit(at).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(dealt[k][i]))).alias("key"))
+                               for at, (k, i) in enumerate(places)])).alias("k")
+    same = {places[r.part]: r.pairs for r in fps.select(keys).groupBy("k.part", "k.key").agg(F.count(F.lit(1)).alias("c"))
             .groupBy("part").agg(F.sum(F.expr("c * (c - 1) / 2")).alias("pairs")).collect()}
     p = np.diag(together) / max(n, 1)
-    candidates = []
-    for i, g in enumerate(groups):
-        at = np.zeros(len(g) + 1)  # chance of each distance, bits taken as independent
-        at[0] = 1.0
-        for b in g:
-            differ = 2 * p[b] * (1 - p[b])
-            at[1:], at[0] = at[1:] * (1 - differ) + at[:-1] * differ, at[0] * (1 - differ)
-        within = np.cumsum(at)
-        measured = max(float(same.get(i) or 0), 1.0)
-        candidates.append([measured * within[min(t, len(g))] / max(within[0], 1e-30) for t in range(max_bits + 1)])
-    return list(zip(groups, thresholds([len(g) for g in groups], candidates, n, max_bits), strict=True))
+    found = []
+    for k in options:
+        candidates = []
+        for i, g in enumerate(dealt[k]):
+            at = np.zeros(len(g) + 1)  # chance of each distance, bits taken as independent
+            at[0] = 1.0
+            for b in g:
+                differ = 2 * p[b] * (1 - p[b])
+                at[1:], at[0] = at[1:] * (1 - differ) + at[:-1] * differ, at[0] * (1 - differ)
+            within = np.cumsum(at)
+            measured = max(float(same.get((k, i)) or 0), 1.0)
+            candidates.append([measured * within[min(t, len(g))] / max(within[0], 1e-30) for t in range(max_bits + 1)])
+        work, chosen = cheapest([len(g) for g in dealt[k]], candidates, max(n, 1), max_bits)
+        found.append((work, k, list(zip(dealt[k], chosen, strict=True))))
+    return min(found)[2]
 
 
 def _mask(bits: list[int]) -> int:
@@ -166,35 +181,64 @@ def _probes(part: int, key: Column, flips: list[int]) -> Column:
         F.lit(part).cast("byte").alias("part"), key.bitwiseXOR(flip).alias("key")))
 
 
+def _index(plan: list[tuple[list[int], int]]) -> Column:
+    """(part, key) of a fingerprint in each group that is not left out."""
+    return F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("key"))
+                               for i, (bits, radius) in enumerate(plan) if radius >= 0])).alias("k")
+
+
 def links(fps: DataFrame, plan: list[tuple[list[int], int]], max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): every pair of distinct fingerprints (column fp, unique) that differ in at most max_bits bits."""
-    index, probing = [], []
+    """(a, b): every pair of clusters with distinct fingerprints (columns fp, unique, and cluster) that differ in at most
+    max_bits bits, once."""
+    probing = []
     for i, (bits, radius) in enumerate(plan):
-        if radius < 0:
-            continue
-        flips = [_mask(list(c)) for k in range(radius + 1) for c in combinations(bits, k)]
-        key = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        index.append(F.struct(F.lit(i).cast("byte").alias("part"), key.alias("key")))
-        probing.append(_probes(i, key, flips))
-    held = fps.select(F.col("fp").alias("b"), F.explode(F.array(*index)).alias("k")).select("k.part", "k.key", "b")
-    sent = (fps.select(F.col("fp").alias("a"), F.explode(F.concat(*probing)).alias("k"))
-            .select(F.col("k.part").alias("part_"), F.col("k.key").alias("key_"), "a"))
-    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) & (F.col("a") < F.col("b"))
-    return sent.join(held, (F.col("part_") == F.col("part")) & (F.col("key_") == F.col("key")) & near).select("a", "b")
-
-
-def fingerprint_groups(rows: DataFrame, least: Column, max_bits: int, parts: int) -> DataFrame:
+        if radius >= 0:
+            flips = [_mask(list(c)) for k in range(radius + 1) for c in combinations(bits, k)]
+            probing.append(_probes(i, F.col("fp").bitwiseAND(F.lit(_mask(bits))), flips))
+    held = fps.select(F.col("fp").alias("b"), F.col("cluster").alias("cluster_b"), _index(plan)).select(
+        "k.part", "k.key", "b", "cluster_b")
+    sent = (fps.select(F.col("fp").alias("a"), F.col("cluster").alias("cluster_a"), F.explode(F.concat(*probing)).alias("k"))
+            .select(F.col("k.part").alias("part_"), F.col("k.key").alias("key_"), "a", "cluster_a"))
+    near = ((F.col("cluster_a") != F.col("cluster_b")) & (F.col("a") < F.col("b"))
+            & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+    found = sent.join(held, (F.col("part_") == F.col("part")) & (F.col("key_") == F.col("key")) & near)
+    # Grouped in each task before the shuffle: pairs of one pair of clusters are one row.
+    return found.select(F.least("cluster_a", "cluster_b").alias("a"), F.greatest("cluster_a", "cluster_b").alias("b")).distinct()
+
+
+def bucket_links(fps: DataFrame, plan: list[tuple[list[int], int]], max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): fingerprints with the least and the greatest of their buckets, where they differ in at most max_bits bits.
+    At most two rows for each fingerprint and group."""
+    rows = fps.select("fp", _index(plan)).select("fp", "k.part", "k.key")
+    ends = rows.groupBy("part", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select(
+        F.col("part").alias("part_"), F.col("key").alias("key_"), F.array("low", "high").alias("ends"))
+    met = rows.join(ends, (F.col("part_") == F.col("part")) & (F.col("key_") == F.col("key"))).select(
+        F.col("fp").alias("a"), F.explode("ends").alias("b"))
+    return met.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+
+
+def clusters(fps: DataFrame, max_bits: int = MAX_BITS, parts: int | None = None) -> DataFrame:
+    """fps (column fp, unique, and others) with ``cluster``: a fingerprint that stands for all that links reach."""
+    plan = plan_search(fps, parts, max_bits)
+
+    def merged(rows: DataFrame, edges: DataFrame, key: str, name: str) -> DataFrame:
+        roots = components(edges).select(F.col("node").alias("node_"), "root")
+        return written(rows.join(roots, F.col(key) == F.col("node_"), "left").withColumn(
+            "cluster", F.coalesce("root", key)).drop("node_", "root"), name)
+
+    near = merged(fps, bucket_links(fps, plan, max_bits), "fp", "bucket-clusters")
+    return merged(near, links(near, plan, max_bits), "cluster", "clusters")
+
+
+def fingerprint_groups(rows: DataFrame, least: Column, max_bits: int, parts: int | None) -> DataFrame:
     """(fp, least): the least value of the aggregate ``least`` among all rows that links reach, the own ones included."""
     fps = written(rows.groupBy("fp").agg(least.alias("own_least")), "distinct-fingerprints")
-    linked = components(links(fps, plan_search(fps, parts, max_bits), max_bits))
-    linked = fps.join(linked.withColumnRenamed("node", "fp"), "fp")
-    roots = linked.groupBy("root").agg(F.min("own_least").alias("root_least"))
-    linked = written(linked.join(roots, "root").select("fp", "root_least"), "linked-fingerprints")
-    return written(fps.join(linked, "fp", "left").select(
-        F.col("fp"), F.coalesce("root_least", "own_least").alias("least")), "fingerprint-components")
+    linked = clusters(fps, max_bits, parts)
+    leasts = linked.groupBy("cluster").agg(F.min("own_least").alias("least"))
+    return written(linked.join(leasts, "cluster").select("fp", "least"), "fingerprint-components")
 
 
-def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, parts: int = PARTS,
+def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, parts: int | None = None,
                    text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, fp, component_id (least doc_id that links reach, its own included)."""
     rows = written(fingerprints(docs, words, text_col, id_col), "fingerprints")
@@ -214,7 +258,7 @@ def near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_
     numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered-documents")
     rows = written(fingerprints(numbered, words, text_col, id_col, rid), "fingerprints")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "rid")))
-    first = fingerprint_groups(rows, least, max_bits, PARTS).select("fp", F.col("least.rid").alias("first_rid"))
+    first = fingerprint_groups(rows, least, max_bits, None).select("fp", F.col("least.rid").alias("first_rid"))
     copies = rows.where("doc_id is not null").join(first, "fp").where("rid <> first_rid")
     copies = written(copies.select(F.col("rid").alias(gone)), "near-copies")
     # Merged at any size: whether the numbers would fit a broadcast grows with the corpus.

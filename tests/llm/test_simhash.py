@@ -85,11 +85,59 @@ def test_links_find_every_pair(spark):
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i)
             if (fps[i] ^ fps[j]).bit_count() <= 4}
-    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    table = spark.createDataFrame([(x, x) for x in signed], "fp long, cluster long")
     for parts in (2, 3, 5):
         plan = S.plan_search(table, parts)
         assert sum(t for _, t in plan) == 4 - parts + 1 and sorted(b for g, _ in plan for b in g) == list(range(64))
-        assert {(r.a, r.b) for r in S.links(table, plan).distinct().collect()} == want
+        found = S.links(table, plan).collect()
+        assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
+
+
+def brute_clusters(fps):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    values = np.array(fps, np.uint64)
+    for i, f in enumerate(fps):
+        for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= 4).tolist():
+            root[find(f)] = find(fps[j])
+    return {frozenset(f for f in fps if find(f) == r) for r in {find(f) for f in fps}}
+
+
+def test_dense_groups_give_linear_rows(spark):
+    """2,000 fingerprints within two bits of one centre are all within four bits of each other: two million pairs."""
+    r = np.random.default_rng(4)
+    centre, other = (int(x) for x in r.integers(0, 1 << 63, 2, dtype=np.uint64))
+    near = {centre ^ 1 << int(a) ^ 1 << int(b) for a in range(64) for b in range(a)}
+    fps = sorted(near)[:2000] + [other ^ 1 << int(a) for a in range(40)] + r.integers(0, 1 << 63, 200, dtype=np.uint64).tolist()
+    signed = {f: int(np.uint64(f).astype(np.int64)) for f in fps}
+    table = spark.createDataFrame([(x,) for x in signed.values()], "fp long").repartition(4)
+    for parts in (None, 3):
+        plan = S.plan_search(table, parts)
+        first = S.bucket_links(table, plan)
+        assert first.count() <= 2 * len(plan) * len(fps)
+        roots = {x.node: x.root for x in components(first).collect()}
+        near_table = spark.createDataFrame([(x, roots.get(x, x)) for x in signed.values()], "fp long, cluster long")
+        assert S.links(near_table, plan).count() <= len(fps)
+        got = {}
+        for x in S.clusters(table, parts=parts).collect():
+            got.setdefault(x.cluster, set()).add(x.fp)
+        want = {frozenset(signed[f] for f in c) for c in brute_clusters(fps)}
+        assert {frozenset(c) for c in got.values()} == want
+
+
+def test_number_of_groups_follows_the_cost(spark):
+    r = np.random.default_rng(6)
+    table = spark.createDataFrame([(int(x),) for x in r.integers(-(1 << 62), 1 << 62, 3000)], "fp long")
+    assert len(S.plan_search(table)) == 5  # few fingerprints: one probe a group is cheapest
+    wide = [[5e17 / 2 ** w * S.probes(w, t) for t in range(5)] for w in (32, 32)]
+    many = S.cheapest([32, 32], wide, 10 ** 9)[0]
+    assert many < S.cheapest([13, 13, 13, 13, 12], [[5e17 / 2 ** w] * 5 for w in (13, 13, 13, 13, 12)], 10 ** 9)[0]
 
 
 def test_thresholds_take_the_cheapest_split():
