@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import map_batches, with_field
+from .common import map_batches, with_field, written
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before the merges of the rank file; fixed value that belongs to the vocabulary.
@@ -68,8 +68,9 @@ def token_lengths(docs: DataFrame, encoder: Encoder, text_col: str = "text", kee
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """(n_tokens, n_docs): exact, pre-aggregated in each task."""
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """(n_tokens, n_docs): exact, pre-aggregated in each task. Written, as it is read more than once but texts should be
+    encoded once."""
+    return written(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "length-histogram")
 
 
 def limit_table(hist: DataFrame, span: int = SPAN) -> DataFrame:

@@ -1,4 +1,7 @@
+import base64
+
 import pytest
+import regex
 from helpers import docs
 
 from leadlens.llm import token_counts as T
@@ -18,9 +21,32 @@ def table(spark, **kw):
     return T.limit_table(T.histogram(T.token_lengths(rows, ENCODER)), **kw)
 
 
-def test_whole_vocabulary_decodes_back():
+def merged(piece, ranks):
+    """Byte-pair merges one by one: the neighbours of the least rank first, the leftmost of equal ones."""
+    parts = [bytes([b]) for b in piece]
+    while len(parts) > 1:
+        ranked = [(ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+        rank, i = min(ranked)
+        if rank == len(ranks):
+            break
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_encoder_round_trips_and_equals_merge_loop():
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ENCODER.lines.splitlines())}
     for t in TEXTS:
-        assert ENCODER._made is None or ENCODER._made.decode(ENCODER.encode(t)) == (t or "")
+        codes = ENCODER.encode(t)
+        assert ENCODER._made is None or ENCODER._made.decode(codes) == (t or "")
+        if t and len(t) < 200:
+            assert ENCODER._made is not None
+            assert codes == [c for piece in regex.findall(ENCODER.pattern, t) for c in merged(piece.encode(), ranks)]
+
+
+def test_texts_are_encoded_once(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    plan = T.limit_table(T.histogram(T.token_lengths(rows, ENCODER)))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
 
 
 def test_table_equals_brute_force_for_any_block(spark, lengths):
