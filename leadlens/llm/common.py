@@ -33,7 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder of ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage (a lost executor re-reads files) and, unlike ``checkpoint()``, forgets the old partitioning,
-    so later joins see two plain shuffles, which AQE can split when a key is hot.
+    so later joins see two plain shuffles, which AQE can split when a key is hot. The files stay, below ``llm`` in that
+    folder: results that have not been computed yet may still read them, so dropping them is the caller's decision.
     """
     path = f"{checkpoint_root(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -41,15 +42,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the shared folder; Spark's cleaner drops the files once nothing refers to them."""
+    """``checkpoint()`` into the shared folder. The files stay until they are deleted there, unless the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints on."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
 
 
 def map_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
     """``mapInArrow`` over batches of at most BATCH_ROWS rows: texts may be long, and the JVM's buffers and the
-    worker's copies are as large as a batch. Spark takes the batch size from the session when the job runs."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    worker's copies are as large as a batch (Spark bounds its bytes too, by arrow.maxBytesPerBatch).
+
+    Spark takes the batch size from the session when the job runs, so this lowers
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` of the session and leaves it lowered; a smaller one stays."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(size)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(size, BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 
