@@ -77,16 +77,26 @@ def ingest_delivery_updates(t):
                     lambda s: D.parse_updates(s).select("update_id", "chat_id", "token", "ts"))
 
 
+def _matched(t, name):
+    """(run folder, reports) of updates and reports joined as streams."""
+    reports = A.reports(t).select("share_token", "session_id", "created_at")
+    return D.run_matching(t.spark, name, A.delivery_updates(t), reports), reports
+
+
 @job("webhook_match", spread=True)
 def webhook_match(t):
-    """Stream-static left join of /start tokens with reports; unknown -> found=false."""
-    reports = A.reports(t).select("share_token", "session_id")
+    """/start tokens with their reports, joined as two streams; unknown -> found=false."""
+    d, reports = _matched(t, "webhook_match")
+    return D.outcomes(t.spark, d, reports).where("token is not null and update_id is not null").select(
+        "update_id", "token", "found", "session_id", "ts")
+
 
-    def transform(s):
-        p = D.parse_updates(s).filter(F.col("token").isNotNull())
-        j = p.join(reports, p.token == reports.share_token, "left")
-        return j.select("update_id", "token", F.col("share_token").isNotNull().alias("found"), "session_id", "ts")
-    return S.ingest(t.spark, "webhook_match", A.delivery_updates(t), transform)
+@job("delivery_replies", spread=True)
+def delivery_replies(t):
+    """What the bot answers to each update: help without a token, not found, or the delivered report."""
+    d, reports = _matched(t, "delivery_replies")
+    return D.outcomes(t.spark, d, reports).where("update_id is not null").select(
+        "update_id", "chat_id", "token", "outcome", "session_id", "ts")
 
 
 @job("stream_first_report")
@@ -96,9 +106,10 @@ def stream_first_report(t):
 
 @job("stream_delivery", spread=True)
 def stream_delivery(t):
-    rep = A.reports(t)
-    first = S.delivery_stream(t.spark, A.delivery_updates(t), rep, D.parse_updates, D.match_updates)
-    return I.mark_delivered(rep, first.select("token", "ts"))
+    """Delivery times from the joined streams: the keyed first times, and those of updates that only the lookup found."""
+    d, reports = _matched(t, "stream_delivery")
+    first = D.first_deliveries(t.spark, d, reports)
+    return I.mark_delivered(A.reports(t), first.select("token", "ts"))
 
 
 @job("stream_session_state")

@@ -8,6 +8,8 @@ before its own and overwrites its own folders, so it changes nothing twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +42,10 @@ def _read(spark: SparkSession, root: str, versions: dict[int, int], schema) -> D
     return spark.read.schema(schema).parquet(*paths)
 
 
-def upsert(changed: DataFrame, key: str, root: str, batch_id: int, buckets: int = BUCKETS) -> None:
-    """Replace the rows of ``changed``'s keys, at most one row each, by those of ``changed``."""
+def upsert(changed: DataFrame, key: str, root: str, batch_id: int, buckets: int = BUCKETS,
+           merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Replace the rows of ``changed``'s keys, at most one row each, by those of ``changed``; with ``merge``, which takes
+    old and new rows of any keys and gives one row a key with the same columns, by what it makes of both."""
     spark = changed.sparkSession
     at = f"{root}/changes/batch_id={batch_id}"
     changed.write.mode("overwrite").parquet(at)  # once: the stream's state is not computed twice
@@ -52,10 +56,14 @@ def upsert(changed: DataFrame, key: str, root: str, batch_id: int, buckets: int
         versions = held
     else:
         old = _read(spark, root, {b: held[b] for b in touched if b in held}, changed.schema)
-        kept = old.join(new.select(F.col(key).alias("new_key")), old[key].eqNullSafe(F.col("new_key")), "left_anti")
-        kept = kept.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        # One file per bucket and shuffle partition at most; the rewrite is as large as the touched buckets.
-        new.unionByName(kept).repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(4))).write.mode("overwrite") \
+        if merge:
+            rows = merge(new.drop("bucket").unionByName(old))
+        else:
+            rows = new.drop("bucket").unionByName(
+                old.join(new.select(F.col(key).alias("new_key")), old[key].eqNullSafe(F.col("new_key")), "left_anti"))
+        # The rewrite is as large as the touched buckets; each is spread over a few files.
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows.repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(4))).write.mode("overwrite") \
             .partitionBy("bucket").parquet(f"{root}/data/v={batch_id}")
         versions = {**held, **{b: batch_id for b in touched}}
     spark.createDataFrame(sorted(versions.items()), "bucket int, version long").coalesce(1).write.mode("overwrite") \

@@ -164,19 +164,6 @@ def first_report_stream(spark: SparkSession, attempts: DataFrame, first_wins) ->
                          F.col("w.created_at").alias("created_at"), F.col("attempts").cast("long").alias("attempts"))
 
 
-def delivery_stream(spark: SparkSession, updates: DataFrame, reports: DataFrame, parse, match) -> DataFrame:
-    """Webhook updates stream joined to the static reports table; the first
-    delivery time per token is kept (later /start repeats change nothing).
-
-    Each micro-batch writes its per-token minimum; the table is the minimum
-    over batches, so the result does not depend on file arrival order."""
-    def first(batch: DataFrame) -> DataFrame:
-        matched, _ = match(parse(batch), reports)
-        return matched.groupBy("token").agg(F.min("ts").alias("ts"))
-
-    return partials_to_table(spark, "stream_delivery", updates, first).groupBy("token").agg(F.min("ts").alias("ts"))
-
-
 def partials_to_table(spark: SparkSession, name: str, source: DataFrame, build,
                       run: str | None = None) -> DataFrame:
     """Each micro-batch writes ``build(batch)`` into its own batch folder;

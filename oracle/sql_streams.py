@@ -82,6 +82,18 @@ FROM (
   FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'N' AND l_linenumber = 1) u
 LEFT JOIN reports r ON r.share_token = u.token
 WHERE u.token IS NOT NULL"""),
+    "delivery_replies": with_views(["reports"], f"""
+SELECT update_id, chat_id, token, CASE WHEN token IS NULL THEN 'help' WHEN r.share_token IS NULL THEN 'not found'
+       ELSE 'delivered' END AS outcome, r.session_id, ts
+FROM (
+  SELECT update_id, chat_id, token, ts + INTERVAL 1 DAY * again AS ts
+  FROM (SELECT l_orderkey AS update_id, l_partkey AS chat_id, l_returnflag, l_linenumber,
+               CASE WHEN l_suppkey % 4 < 2 THEN md5({SID}) WHEN l_suppkey % 4 = 3 THEN md5('gone-' || {SID}) END AS token,
+               {FIN} + INTERVAL 2 HOUR AS ts
+        FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag <> 'R') first
+  CROSS JOIN (VALUES (0), (1)) a(again)
+  WHERE again = 0 OR (l_returnflag = 'N' AND l_linenumber = 1)) u
+LEFT JOIN reports r ON r.share_token = u.token"""),
     "stream_first_report": f"""
 WITH {ATTEMPTS.strip()}
 SELECT session_id, arg_min(share_token, (created_at, share_token)) AS share_token, min(created_at) AS created_at,

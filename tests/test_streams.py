@@ -1,10 +1,11 @@
 import os
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
 from leadlens.operators.reports import first_report_wins
 from leadlens.sources import keyed
+from leadlens.streaming import delivery as D
 from leadlens.streaming import streams as S
 from tests.conftest import rows
 
@@ -135,6 +136,42 @@ def test_session_batches_read_their_own_buckets(spark):
     assert keyed.table(spark, root, "k long, v long").where("k = 1").first().v == 5
 
 
+T0 = datetime(2024, 1, 1)
+REPORTS = "share_token string, session_id string, created_at timestamp_ntz"
+
+
+def update(i, text, at):
+    return (f'{{"update_id": {i}, "message": {{"chat": {{"id": {i}}}, "text": "{text}"'
+            + (f', "date": {int(at.replace(tzinfo=timezone.utc).timestamp())}' if at else "") + "}}",)
+
+
+def test_reports_that_land_after_their_update_are_matched(spark):
+    """By hand: the report of update 1 lands a run later, that of 2 is too old and that of 7 a day too
+    young for the bounds, 3 is unknown, 4 has no time, 5 no token."""
+    d = S.run_dir(spark, "match_test")
+    day = timedelta(days=1)
+    u_schema, r_schema = "update_json string", REPORTS
+    lands = [
+        ([update(1, "/start late", T0 + 40 * day), update(2, "/start old", T0 + 41 * day), update(3, "/start none", T0 + 41 * day),
+          update(4, "/start old", None), update(5, "hi", T0 + 41 * day)], [("old", "s-old", T0)]),
+        ([update(6, "/start late", T0 + 42 * day)], [("late", "s-late", T0 + 40 * day)]),
+        ([update(7, "/start late", T0 + 39 * day)], []),
+        ([update("null", "/start -", T0 + 500 * day)], [("--", None, T0 + 500 * day)])]
+    for k, (ups, reps) in enumerate(lands):
+        spark.createDataFrame(ups, u_schema).write.parquet(f"{d}/updates/f{k}") if ups else None
+        spark.createDataFrame(reps, r_schema).write.parquet(f"{d}/reports/f{k}")
+        D.match_streams(spark, d, spark.createDataFrame([], u_schema).schema, spark.createDataFrame([], r_schema).schema, "5 days")
+    reports = spark.read.parquet(*(f"{d}/reports/f{k}" for k in range(4)))
+    streamed = spark.read.schema(D.OUTCOME_SCHEMA + ", batch_id long").parquet(f"{d}/outcomes").where("update_id is not null")
+    assert {r.update_id: r.session_id for r in streamed.where("found").collect()} == {1: "s-late", 6: "s-late"}
+    assert {r.update_id for r in streamed.where("not found").collect()} == {2, 3, 7}
+    got = {r.update_id: (r.outcome, r.session_id) for r in D.outcomes(spark, d, reports).where("update_id is not null").collect()}
+    assert got == {1: ("delivered", "s-late"), 2: ("delivered", "s-old"), 3: ("not found", None), 4: ("delivered", "s-old"),
+                   5: ("help", None), 6: ("delivered", "s-late"), 7: ("delivered", "s-late")}
+    first = {r.token: r.ts for r in D.first_deliveries(spark, d, reports).collect()}
+    assert first == {"late": T0 + 39 * day, "old": T0 + 41 * day}
+
+
 def test_ingest_from_json_landing(spark):
     from types import SimpleNamespace
 
