@@ -67,15 +67,13 @@ def join_streams(updates: DataFrame, reports: DataFrame, lateness: str, age: str
 OUTCOME_SCHEMA = "update_id long, chat_id long, token string, session_id string, found boolean, ts timestamp_ntz"
 
 
-def match_streams(spark: SparkSession, d: str, updates_schema, reports_schema, lateness: str) -> None:
-    """One run over the landed updates and reports of a run folder, from its checkpoints.
+def _parsed_landing(spark: SparkSession, d: str, schema) -> DataFrame:
+    return parse_updates(spark.readStream.schema(schema).parquet(f"{d}/updates/*")).select("update_id", "chat_id", "token", "ts")
 
-    Per micro-batch: ``matched`` and ``unmatched`` updates each in their own sink, and the first delivery time per token
-    in the keyed table ``delivered``. Updates without a token go to ``help`` and those without a time, which no bound of
-    event time can hold for, to ``undated``, by a query without state."""
-    parsed = parse_updates(spark.readStream.schema(updates_schema).parquet(f"{d}/updates/*")).select(
-        "update_id", "chat_id", "token", "ts")
-    reports = spark.readStream.schema(reports_schema).parquet(f"{d}/reports/*")
+
+def reply_streams(spark: SparkSession, d: str, updates_schema) -> None:
+    """One run, from its checkpoint, over the landed updates that no join can hold for: those without a token go to
+    ``help``, those without a time to ``undated``. No state."""
 
     def replies(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumns({"session_id": F.lit(None).cast("string"), "found": F.lit(False)}).select(
@@ -84,6 +82,18 @@ def match_streams(spark: SparkSession, d: str, updates_schema, reports_schema, l
             S.batch_path(f"{d}/help", batch_id))
         batch.where("token is not null").write.mode("overwrite").parquet(S.batch_path(f"{d}/undated", batch_id))
 
+    S.run_foreach_batch(_parsed_landing(spark, d, updates_schema).where("token is null or ts is null"), replies,
+                        f"{d}/replies-checkpoint")
+
+
+def match_streams(spark: SparkSession, d: str, updates_schema, reports_schema, lateness: str) -> None:
+    """One run of the join over the landed updates and reports of a run folder, from its checkpoint.
+
+    Per micro-batch: updates with and without a report each in their own sink (``outcomes``, by ``found``), and the
+    first delivery time per token in the keyed table ``delivered``."""
+    parsed = _parsed_landing(spark, d, updates_schema)
+    reports = spark.readStream.schema(reports_schema).parquet(f"{d}/reports/*")
+
     def outcomes(batch: DataFrame, batch_id: int) -> None:
         at = S.batch_path(f"{d}/outcomes", batch_id)
         batch.write.mode("overwrite").partitionBy("found").parquet(at)  # once: the join's state is not worked on twice
@@ -91,7 +101,6 @@ def match_streams(spark: SparkSession, d: str, updates_schema, reports_schema, l
         keyed.upsert(held.where("found").groupBy("token").agg(F.min("ts").alias("ts")), "token", f"{d}/delivered", batch_id,
                      merge=lambda rows: rows.groupBy("token").agg(F.min("ts").alias("ts")))
 
-    S.run_foreach_batch(parsed.where("token is null or ts is null"), replies, f"{d}/replies-checkpoint")
     S.run_foreach_batch(join_streams(parsed.where("token is not null and ts is not null"), reports, lateness),
                         outcomes, f"{d}/join-checkpoint")
 
@@ -151,4 +160,5 @@ def run_matching(spark: SparkSession, name: str, updates: DataFrame, reports: Da
         for f in reports.schema)) \
         .write.parquet(f"{d}/reports/tick")
     run()
+    reply_streams(spark, d, updates.schema)
     return d

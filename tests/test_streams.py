@@ -161,6 +161,7 @@ def test_reports_that_land_after_their_update_are_matched(spark):
         spark.createDataFrame(ups, u_schema).write.parquet(f"{d}/updates/f{k}") if ups else None
         spark.createDataFrame(reps, r_schema).write.parquet(f"{d}/reports/f{k}")
         D.match_streams(spark, d, spark.createDataFrame([], u_schema).schema, spark.createDataFrame([], r_schema).schema, "5 days")
+    D.reply_streams(spark, d, spark.createDataFrame([], u_schema).schema)
     reports = spark.read.parquet(*(f"{d}/reports/f{k}" for k in range(4)))
     streamed = spark.read.schema(D.OUTCOME_SCHEMA + ", batch_id long").parquet(f"{d}/outcomes").where("update_id is not null")
     assert {r.update_id: r.session_id for r in streamed.where("found").collect()} == {1: "s-late", 6: "s-late"}
