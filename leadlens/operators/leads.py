@@ -18,6 +18,7 @@ JSON_OPTS = {"ignoreNullFields": "false"}
 
 from leadlens.functions.exprs import (LEAD_STATUS_ORDER, display_phone, format_phone, iso_utc, status_to_enum,
                                       status_to_label)
+from leadlens.plans.sequence import positions
 
 
 def child_label(nickname: Column, grade: Column) -> Column:
@@ -103,9 +104,15 @@ def lead_rows(rollup: DataFrame) -> DataFrame:
         "marketing_consent", "created_at")
 
 
+def list_order() -> list[Column]:
+    """Newest first, leads without a date last, id as the tie-break; all ascending."""
+    newest = -F.unix_micros(F.col("created_at").cast("timestamp"))
+    return [F.coalesce(newest, F.lit((1 << 63) - 1)), F.col("id")]
+
+
 def leads_sorted(rollup: DataFrame) -> DataFrame:
-    """Newest first, id as the tie-break; a range-partitioned sort, only at the sink."""
-    return rollup.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").asc())
+    """The lead list with each lead's place in it (``pos``)."""
+    return positions(rollup, list_order())
 
 
 # ---------------------------------------------------------------------------
@@ -134,22 +141,24 @@ def csv_lines(rollup: DataFrame) -> DataFrame:
     return rollup.select("id", "created_at", F.concat_ws(",", *[csv_cell(c) for c in cells]).alias("csv_line"))
 
 
-def write_leads_csv(lines: DataFrame, path: str) -> None:
-    """BOM + header + lines in lead-list order, one file, '\\n' between lines.
+def csv_file_lines(lines: DataFrame) -> DataFrame:
+    """(line, csv_line) of the file: BOM and header are line 0, the leads follow in list order."""
+    header = BOM + ",".join('"' + h.replace('"', '""') + '"' for h in CSV_HEADER)
+    head = lines.sparkSession.createDataFrame([(0, header)], "line long, csv_line string")
+    return head.unionByName(positions(lines, list_order(), "line").select("line", "csv_line"))
+
+
+def write_leads_csv(lines: DataFrame, path: str, files: int | None = None) -> None:
+    """The file of ``csv_file_lines`` as part files, '\n' between lines: read in the order of their names they are the
+    file. Ranges of line numbers are sorted side by side, none holds the whole list.
 
     Spark's text writer ends every line with the separator (an empty one is
-    rejected), so the file ends with one '\\n' where the product's response
-    has none; all else is byte-identical. Everything before the final
-    one-file write runs distributed.
+    rejected), so the file ends with one '\n' where the product's response
+    has none; all else is byte-identical.
     """
-    spark = lines.sparkSession
-    header = BOM + ",".join('"' + h.replace('"', '""') + '"' for h in CSV_HEADER)
-    head = spark.createDataFrame([(0, None, None, header)], "k int, created_at timestamp_ntz, id long, csv_line string")
-    body = lines.select(F.lit(1).alias("k"), "created_at", "id", "csv_line")
-    (head.unionByName(body)
-     .orderBy("k", F.col("created_at").desc_nulls_last(), "id")
-     .select("csv_line").coalesce(1)
-     .write.mode("overwrite").option("lineSep", "\n").text(path))
+    n = files or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (csv_file_lines(lines).repartitionByRange(n, "line").sortWithinPartitions("line")
+     .select("csv_line").write.mode("overwrite").option("lineSep", "\n").text(path))
 
 
 # ---------------------------------------------------------------------------
@@ -168,6 +177,13 @@ def lead_children(children: DataFrame, sessions: DataFrame, reports: DataFrame)
                     "status", "started_at", "share_token", "partial", "report_at"))
 
 
+def lead_children_sorted(rows: DataFrame) -> DataFrame:
+    """``lead_children`` with ``pos``, a row's place among those of its parent: children by creation, then sessions by
+    start; ids break ties."""
+    order = [F.col(c) for c in ("child_created_at", "child_id", "started_at", "session_id")]
+    return positions(rows, order, key="parent_id")
+
+
 def lead_detail(lead_children_df: DataFrame) -> DataFrame:
     """Per linked child: its sessions that produced a report, in start order.
 

@@ -68,12 +68,12 @@ def lead_rows(t):
 
 @job("export_leads_csv")
 def export_leads_csv(t):
-    return L.csv_lines(_rollup(t))
+    return L.csv_file_lines(L.csv_lines(_rollup(t)))
 
 
 @job("lead_children")
 def lead_children(t):
-    return L.lead_children(A.children(t), A.sessions(t), A.reports(t))
+    return L.lead_children_sorted(L.lead_children(A.children(t), A.sessions(t), A.reports(t)))
 
 
 def _detail(t):

@@ -85,3 +85,13 @@ def sequence(laid: DataFrame, key: str, order: list[str], sums: dict[str, Column
         names.append("_prev_" + c)
     keep = [c for c in laid.columns]
     return j.select(*keep, *[e.alias(n) for e, n in zip(out, names)])
+
+
+def positions(df: DataFrame, order: list[Column], name: str = "pos", key: str | None = None) -> DataFrame:
+    """``df`` with the 1-based position of each row among all rows, or those of its ``key``, by ``order`` (ascending).
+
+    The rows are range-partitioned on the order and counted per partition, so no task sorts them all."""
+    marks = [f"_order{i}" for i in range(len(order))]
+    one = "_whole" if key is None else key
+    marked = df.withColumns({m: c for m, c in zip(marks, order)} | ({one: F.lit(0)} if key is None else {}))
+    return sequence(lay_out(marked, one, marks), one, marks).select(*df.columns, F.col("_rn").cast("long").alias(name))

@@ -84,16 +84,22 @@ UNION ALL SELECT 'messages', count(*) FROM messages"""),
     "leads_filtered": with_views(V4, rollup(
         "WHERE p.lead_status = 'contacted' AND p.id IN (SELECT parent_id FROM children "
         f"WHERE grade = 3) AND p.created_at >= {AS_OF} - INTERVAL 200 DAY")),
-    "leads_sorted": with_views(V4, rollup() + "\nORDER BY p.created_at DESC, p.id"),
+    "leads_sorted": with_views(V4, f"""
+SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS pos FROM ({rollup()}) x"""),
     "lead_rows": with_views(V4, f"""
 SELECT id, name, CASE WHEN coalesce(phone, '') = '' THEN NULL ELSE {fmt_phone('phone')} END AS phone,
        children_label, children_count, sessions_count, last_report_at, lead_status,
        {LABEL.format(c='lead_status')} AS lead_status_label, marketing_consent, created_at
 FROM ({rollup()}) x"""),
     "export_leads_csv": with_views(V4, f"""
-SELECT id, created_at, {" || ',' || ".join(cell(c) for c in CSV_CELLS)} AS csv_line
+SELECT 0 AS line, chr(65279) || '"Ota-ona","Telefon","Holat","Marketing roziligi","Bolalar","Mashg''ulotlar","Qo''shilgan"' AS csv_line
+UNION ALL
+SELECT row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS line,
+       {" || ',' || ".join(cell(c) for c in CSV_CELLS)} AS csv_line
 FROM ({rollup()}) x"""),
-    "lead_children": with_views(["children", "sessions", "reports"], LEAD_CHILDREN),
+    "lead_children": with_views(["children", "sessions", "reports"], f"""
+SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY child_created_at, child_id, started_at, session_id) AS pos
+FROM ({LEAD_CHILDREN}) lc"""),
     "lead_detail": with_views(["children", "sessions", "reports"], f"""
 SELECT parent_id, child_id, nickname AS name, grade,
        CAST(count(share_token) AS BIGINT) AS report_sessions,

@@ -73,12 +73,22 @@ def test_write_leads_csv_file(spark):
     lines = spark.createDataFrame([(2, datetime(2024, 1, 2), '"b"'), (1, datetime(2024, 1, 2), '"a"'),
                                    (3, datetime(2024, 1, 5), '"c"')], "id long, created_at timestamp_ntz, csv_line string")
     d = tempfile.mkdtemp(prefix="csv-test-")
-    LD.write_leads_csv(lines, d + "/out")
-    parts = glob.glob(d + "/out/part-*")
-    assert len(parts) == 1
-    text = open(parts[0], encoding="utf-8").read()
-    assert text.startswith("﻿\"Ota-ona\",\"Telefon\"")
-    assert text.split("\n")[1:] == ['"c"', '"a"', '"b"', ""]  # the text writer ends the last line too
+    lines = lines.unionByName(spark.createDataFrame([(4, None, '"d"')], lines.schema))
+    LD.write_leads_csv(lines, d + "/out", files=3)
+    parts = sorted(glob.glob(d + "/out/part-*"))
+    assert len(parts) > 1  # ranges of lines, written side by side
+    text = "".join(open(p, encoding="utf-8").read() for p in parts)
+    assert text.startswith("\ufeff\"Ota-ona\",\"Telefon\"")
+    assert text.split("\n")[1:] == ['"c"', '"a"', '"b"', '"d"', ""]  # the text writer ends the last line too
+
+
+def test_list_places_over_many_partitions(spark):
+    """One date holds most leads, so the list is one key; places still come from all partitions."""
+    leads = spark.range(500).select("id", F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 5 == 0, datetime(2024, 1, 3))
+                                    .otherwise(datetime(2024, 1, 2)).cast("timestamp_ntz").alias("created_at")).repartition(5)
+    got = {r.id: r.pos for r in LD.leads_sorted(leads).collect()}
+    want = sorted(range(500), key=lambda i: (2 if i % 7 == 0 else 0 if i % 5 == 0 else 1, i))
+    assert got == {i: k + 1 for k, i in enumerate(want)}
 
 
 def test_minimized_view_allow_list(spark):
