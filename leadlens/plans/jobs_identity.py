@@ -46,6 +46,12 @@ def patch_leads(t):
     return out.select("id", "lead_status", "admin_notes")
 
 
+@job("patch_rejects")
+def patch_rejects(t):
+    """Admin patches that change nothing, as their status is none of the list."""
+    return I.patch_leads(A.parents(t), A.lead_patches(t))[1]
+
+
 @job("apply_turns")
 def apply_turns(t):
     return I.apply_turns(A.sessions(t), A.turn_log(t))

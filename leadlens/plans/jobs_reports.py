@@ -36,6 +36,17 @@ def child_facing_cards(t):
     return R.child_facing_cards(A.messages(t))
 
 
+@job("adult_text")
+def adult_text(t):
+    return R.adult_text(A.messages(t))
+
+
+@job("greeting_audit")
+def greeting_audit(t):
+    """The first reply of every session: long enough, with a card, no track reported as done."""
+    return R.greeting_audit(A.messages(t))
+
+
 @job("report_quality_audit", spread=True)
 def report_quality_audit(t):
     return R.report_quality_audit(_parsed(t))

@@ -195,6 +195,9 @@ FROM parents p LEFT JOIN (
   FROM (SELECT *, {ENUM.format(c='lead_status_text')} AS st FROM patches) x
   WHERE NOT (lead_status_text IS NOT NULL AND st IS NULL)
   GROUP BY parent_id) n ON n.parent_id = p.id""", extra=[PATCHES]),
+    "patch_rejects": with_views(["parents"], f"""
+SELECT patch_id, parent_id, 'bad_status' AS reason FROM (SELECT *, {ENUM.format(c='lead_status_text')} AS st FROM patches) x
+WHERE lead_status_text IS NOT NULL AND st IS NULL""", extra=[PATCHES]),
     "apply_turns": with_views(["sessions"], f"""
 SELECT s.id, CAST(s.turn_count + coalesce(d.d_turns, 0) AS BIGINT) AS turn_count,
        CAST(s.input_tokens + coalesce(d.d_in, 0) AS BIGINT) AS input_tokens,

@@ -71,6 +71,16 @@ SELECT session_id, id, CAST(card_no AS BIGINT) AS card_no, card FROM (
   SELECT session_id, id, unnest(regexp_extract_all(content, '(?m)^>[ \\t]?(.*)$', 1)) AS card,
          generate_subscripts(regexp_extract_all(content, '(?m)^>[ \\t]?(.*)$', 1), 1) AS card_no
   FROM messages WHERE role = 'assistant') x"""),
+    "adult_text": with_views(["messages"], """
+SELECT session_id, id, array_to_string(list_filter(string_split(coalesce(content, ''), chr(10)),
+       lambda x: NOT starts_with(x, '>')), chr(10)) AS adult_text
+FROM messages WHERE role = 'assistant'"""),
+    "greeting_audit": with_views(["messages"], r"""
+SELECT *, greeting_ok AND has_card AND no_early_marker AS ok FROM (
+  SELECT session_id, CAST(length(content) AS BIGINT) AS greeting_chars, length(content) > 50 AS greeting_ok,
+         regexp_matches(content, '(?m)^>') AS has_card, NOT regexp_matches(content, '(?i)\[YAKUN:') AS no_early_marker
+  FROM (SELECT session_id, coalesce(content, '') AS content FROM messages WHERE role = 'assistant'
+        QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) = 1) AS first) AS checks"""),
     "report_quality_audit": with_views(["reports"], r"""
 SELECT *, body_ok AND sections_ok AND partial_ok AND not_all_kuchli AND no_marker_left AS ok FROM (
   SELECT session_id, CAST(length(content_md) AS BIGINT) AS body_chars,
