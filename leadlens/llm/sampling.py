@@ -24,26 +24,44 @@ def bounded_text(text: Column, max_chars: int) -> Column:
     return F.when(F.length(text) <= max_chars, text).otherwise(F.concat_ws(" ", *pieces))
 
 
-def training_rows(labelled: DataFrame, label: str, per_label: int, max_chars: int, text_col: str = "text",
-                  id_col: str = "doc_id", most_labels: int = MOST_LABELS) -> list:
+def _first_ids(ids: DataFrame, per_label: int) -> DataFrame:
+    """The ``per_label`` rows of each label with the least turn, for a bounded number of labels.
+
+    Turns are hashes in hex. Counts of their first digits tell where each label's share ends, so only the rows up to
+    there are ranked: no task gets a label's rows, however many it has."""
+    head = F.substring("turn", 1, 4)
+    counts = ids.groupBy("label", head.alias("head")).agg(F.count(F.lit(1)).alias("n"))  # 65,536 rows a label at most
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("head").rowsBetween(Window.unboundedPreceding, -1))
+    ends = (counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < per_label)
+            .groupBy("label").agg(F.max("head").alias("end")))
+    first = F.row_number().over(Window.partitionBy("label").orderBy("turn", "id"))
+    return (ids.join(F.broadcast(ends), "label").where(head <= F.col("end")).withColumn("at", first)
+            .where(F.col("at") <= per_label))
+
+
+def training_rows(docs: DataFrame, label: str, per_label: int, max_chars: int, text_col: str = "text",
+                  id_col: str = "doc_id", most_labels: int = MOST_LABELS, known: DataFrame | None = None) -> list:
     """At most ``per_label`` distinct ids of each of at most ``most_labels`` labels, in an order given by a hash of the
-    id: [(label, text)].
+    id: [(label, text)]. Labels are a column of ``docs``, or of ``known``, one row per id, which is joined on the id.
 
     Of rows that share label and id the one with the least text hash is taken. Texts longer than ``max_chars`` enter by
     evenly spaced windows of that many characters in all, so the driver holds at most most_labels x per_label x
-    (max_chars + WINDOWS) characters whatever the table holds. Ids may be of any type.
+    (max_chars + WINDOWS) characters whatever the table holds. Ids may be of any type. Texts are read twice, once for
+    their hashes and once for those chosen, and never shuffled.
     """
-    fit = labelled.where(F.length(text_col) > 0).select(
-        F.col(label).alias("label"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-        F.xxhash64(text_col).alias("text_hash"))
-    ids = written(fit.groupBy("label", "id").agg(F.min("text_hash").alias("text_hash"))
+    texts = docs.where(F.length(text_col) > 0).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"),
+        *([] if known is not None else [F.col(label).alias("label")]))
+    narrow = texts.drop("text")
+    if known is not None:
+        narrow = narrow.join(known.select(F.col(id_col).alias("id"), F.col(label).alias("label")), "id")
+    ids = written(narrow.groupBy("label", "id").agg(F.min("text_hash").alias("text_hash"))
                   .withColumn("turn", F.md5(F.col("id").cast("string"))), "labelled-ids")
     common = ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_labels)
-    # The first rows of each label are cut inside every partition before they are shuffled, so a label may hold all rows.
-    first = F.row_number().over(Window.partitionBy("label").orderBy("turn", "id"))
-    chosen = written(ids.join(F.broadcast(common.select("label")), "label").withColumn("at", first)
-                     .where(F.col("at") <= per_label).select("label", "id", "text_hash"), "chosen-ids")
+    chosen = written(_first_ids(ids.join(F.broadcast(common.select("label")), "label"), per_label)
+                     .select("label", "id", "text_hash"), "chosen-ids")
     # most_labels x per_label narrow rows at most.
-    rows = (fit.join(F.broadcast(chosen), ["label", "id", "text_hash"], "left_semi").dropDuplicates(["label", "id"])
+    on = ["id", "text_hash"] + ([] if known is not None else ["label"])
+    rows = (texts.join(F.broadcast(chosen), on).dropDuplicates(["label", "id"])
             .select("label", "id", bounded_text(F.col("text"), max_chars).alias("text")).collect())
     return [(r.label, r.text) for r in sorted(rows, key=lambda r: (str(r.id), r.text))]

@@ -310,9 +310,9 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
              .groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("label")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
         crc_bucket("doc_id", 4) != 2)
-    rows = rows.join(known, rows["doc_id"] == known["label_id"]).select("doc_id", "text", "label")
-    share = rows.agg(F.avg("label")).first()[0] or 0.0
-    return fit(training_rows(rows, "label", PER_LABEL, MAX_CHARS), share)
+    known = known.withColumnRenamed("label_id", "doc_id")
+    share = rows.select("doc_id").join(known, "doc_id").agg(F.avg("label")).first()[0] or 0.0
+    return fit(training_rows(rows, "label", PER_LABEL, MAX_CHARS, known=known), share)
 
 
 def _scores(docs: DataFrame, model: dict, keep: bool, text_col: str, threshold: float) -> DataFrame:
