@@ -14,11 +14,14 @@ then only chunks whose incoming log turned out different are decided again,
 until none does: a fixed point, and so the sequential result. Different logs
 soon admit the same hits, so few chunks are redone.
 
-Stream: a state machine per key (``transformWithStateInPandas``) on the state
-store. Hits wait in the state, grouped by slots of event time, until the
+Stream: a state machine (``transformWithStateInPandas``) on the state store, one
+for each of ``BUCKETS`` hash buckets of keys, as each call to the store and each
+timer costs a round trip, which one machine per key would pay for every key and
+slot. Hits wait in the state, grouped by slots of event time, until the
 watermark passes their slot; a timer then decides them in time order against
-the log. Decisions equal the batch form however late a hit arrives within
-``lateness``; a later hit is refused and marked late. Logs expire by event time.
+the logs of their keys. Decisions equal the batch form however late a hit
+arrives within ``lateness``; a later hit is refused and marked late. Logs expire
+by event time.
 """
 
 from __future__ import annotations
@@ -155,16 +158,20 @@ STREAM_OUT = "key string, id long, ts_us long, admitted boolean, late boolean"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Buckets of keys. Fixed for a checkpoint, as state is held by bucket; a bucket's state is that of its keys.
+BUCKETS = 512
+
+
 class SlidingLog(StatefulProcessor):
-    """State of a key: ``pending`` hits by slot of event time, and the ``log`` of admitted times."""
+    """State of a bucket of keys: ``pending`` hits by slot of event time, and the ``log`` of admitted times by key."""
 
     def __init__(self, window_us: int, max_hits: int, slot_ms: int):
         self.window_us, self.max_hits, self.slot_ms = window_us, max_hits, slot_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "slot_end_ms long", "times array<long>, ids array<long>")
-        self.log = handle.getListState("log", "ts_us long")
+        self.pending = handle.getMapState("pending", "slot_end_ms long", "keys array<string>, times array<long>, ids array<long>")
+        self.log = handle.getValueState("log", "keys array<string>, times array<long>")
 
     def close(self) -> None:
         pass
@@ -172,39 +179,46 @@ class SlidingLog(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         for hits in rows:
-            hits = hits[hits["id"].notna()]  # a row without an id only moves the clock
+            hits = hits[hits["is_hit"]]  # the others only move the clock
             slot_end = (hits["ts_us"] // 1000 // self.slot_ms + 1) * self.slot_ms
             late = slot_end <= mark  # its slot has been decided
             if late.any():
-                gone = hits[late]
-                yield pd.DataFrame({"key": key[0], "id": gone["id"], "ts_us": gone["ts_us"], "admitted": False, "late": True})
+                yield hits.loc[late, ["key", "id", "ts_us"]].assign(admitted=False, late=True)
             for end, own in hits[~late].groupby(slot_end[~late]):
                 end = int(end)
-                times, ids = self.pending.getValue((end,)) if self.pending.containsKey((end,)) else ([], [])
-                self.pending.updateValue((end,), ([*times, *map(int, own["ts_us"])], [*ids, *map(int, own["id"])]))
+                keys, times, ids = self.pending.getValue((end,)) if self.pending.containsKey((end,)) else ([], [], [])
+                self.pending.updateValue((end,), ([*keys, *own["key"]], [*times, *own["ts_us"].tolist()], [*ids, *own["id"].tolist()]))
                 self.handle.registerTimer(end)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = int(expiredTimerInfo.getExpiryTimeInMs())
-        log = deque(t for t, in self.log.get())
+        logs: dict[str, deque] = {}
+        if self.log.exists():
+            for k, t in zip(*self.log.get()):
+                logs.setdefault(k, deque()).append(t)
+        rows = None
         if self.pending.containsKey((due,)):
-            times, ids = self.pending.getValue((due,))
+            keys, times, ids = self.pending.getValue((due,))
             self.pending.removeKey((due,))
-            # The hits of one slot of one key, no more than arrived for it.
-            rows = pd.DataFrame({"key": key[0], "id": list(ids), "ts_us": list(times)}).sort_values(["ts_us", "id"])
-            logs = {key[0]: log}
+            # The hits of one slot of one bucket, no more than arrived for it.
+            rows = pd.DataFrame({"key": pd.Series(list(keys), dtype=object), "id": list(ids), "ts_us": list(times)}) \
+                .sort_values(["ts_us", "id"])
             rows["admitted"] = _decide(rows.assign(window_us=self.window_us, max_hits=self.max_hits), logs)
-            if log:
-                self.log.put([(int(t),) for t in log])
-                # Past this time the last entry has expired, unless a later slot has added one.
-                self.handle.registerTimer((log[-1] + self.window_us) // 1000 // self.slot_ms * self.slot_ms + self.slot_ms + 1)
-            yield rows.assign(late=False)
-        elif log and log[-1] + self.window_us <= due * 1000:
+        # Slots are decided in order, so hits yet to come are no earlier than the end of this one.
+        live = [(k, int(t)) for k, log in logs.items() for t in log if t + self.window_us > due * 1000]
+        if live:
+            self.log.update(([k for k, _ in live], [t for _, t in live]))
+            # Past this time the last entry has expired, unless a later slot has added one.
+            last = max(t for _, t in live)
+            self.handle.registerTimer((last + self.window_us) // 1000 // self.slot_ms * self.slot_ms + self.slot_ms + 1)
+        elif logs:
             self.log.clear()
+        if rows is not None:
+            yield rows.assign(late=False)
 
 
 def admission_limit_stream(hits: DataFrame, window_seconds: int, max_hits: int, lateness: str = "0 seconds",
-                           slot_seconds: int | None = None) -> DataFrame:
+                           slot_seconds: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Streaming hits -> decisions (key, id, ts_us, admitted, late), each once the watermark passes the hit's slot.
 
     ``lateness`` is how much event time a hit may come after later ones; ``slot_seconds`` (default: the window) is how
@@ -213,9 +227,11 @@ def admission_limit_stream(hits: DataFrame, window_seconds: int, max_hits: int,
     h = hits.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"),
                     F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
                     F.col("ts").cast("timestamp").alias("clock")).withWatermark("clock", lateness)
+    zero = F.lit(0).cast("long")  # pandas holds longs with nulls among them as floats
+    h = h.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", F.coalesce("id", zero).alias("id"),
+                 F.coalesce("ts_us", zero).alias("ts_us"), (F.col("id").isNotNull() & F.col("ts_us").isNotNull()).alias("is_hit"))
     machine = SlidingLog(int(window_seconds) * 1_000_000, int(max_hits), int(slot_seconds or window_seconds) * 1000)
-    return h.select("key", "id", "ts_us").groupBy("key").transformWithStateInPandas(
-        machine, STREAM_OUT, "append", "EventTime")
+    return h.groupBy("bucket").transformWithStateInPandas(machine, STREAM_OUT, "append", "EventTime")
 
 
 def with_state_store(spark: SparkSession, run) -> None:

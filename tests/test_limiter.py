@@ -172,3 +172,28 @@ def test_stream_job_takes_whole_slices_of_unequal_files(spark):
     got = {r.id: r.admitted for r in jobs_streams.stream_admission_limit(SimpleNamespace(spark=spark, events=events)).collect()}
     h = events.selectExpr("cast(user_id as string) as key", "event_id as id", "ts")
     assert got == {r.id: r.admitted for r in L.admission_limit(h, 86400, 3).collect()} and len(got) == 240
+
+
+def test_stream_state_is_held_by_bucket(spark):
+    """The store holds no entry and no timer per key, only a few per bucket of keys."""
+    d = S.run_dir(spark, "bucket_test")
+    schema = "key string, id long, ts timestamp_ntz"
+    hits(spark, [(f"k{i}", i % 50) for i in range(4000)]).write.parquet(f"{d}/landing/f0")
+    held = []
+
+    def run():
+        out = L.admission_limit_stream(spark.readStream.schema(schema).parquet(f"{d}/landing/*"), 60, 3)
+        q = out.writeStream.format("noop").option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        held.extend(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+
+    L.with_state_store(spark, run)
+    assert 0 < max(held) <= 4 * L.BUCKETS
+
+
+def test_stream_keeps_large_ids_beside_clock_ticks(spark):
+    """A tick without an id in the same bucket and batch must not turn ids into floats."""
+    big = 2 ** 53 + 1
+    h = spark.createDataFrame([(None, big, T0), (None, None, T0), (None, big + 2, T0 + timedelta(seconds=1))], "key string, id long, ts timestamp_ntz")
+    got = stream(spark, S.run_dir(spark, "large_id_test"), [h], "0 seconds")
+    assert set(got) == {big, big + 2} and all(ok for ok, _ in got.values())
