@@ -146,14 +146,15 @@ def by_prompt_version_model(sessions: DataFrame, reports: DataFrame) -> DataFram
 def token_outliers(sessions: DataFrame, k: float = 3.0) -> DataFrame:
     """Sessions whose total tokens exceed mean + k * stddev_pop of their model.
 
-    Per-model statistics are a grouped aggregate joined back (one row per
-    model, so the join side is tiny); no single-partition window.
+    Per-model statistics are a grouped aggregate joined back by broadcast: one
+    row of three values per model name. A join by model would send all sessions
+    of a model to one task; no single-partition window.
     """
     s = sessions.select("id", "model", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
     stats = s.groupBy("model").agg(
         (F.sum("tokens").cast("double") / F.count("tokens")).alias("mean_tokens"),
         F.stddev_pop("tokens").alias("sd_tokens"))
-    return (s.join(stats, "model")
+    return (s.join(F.broadcast(stats), "model")
             .filter(F.col("tokens") > F.col("mean_tokens") + F.lit(k) * F.col("sd_tokens"))
             .select("id", "model", "tokens"))
 
