@@ -1,7 +1,9 @@
 """Erasure, retention and data-quality rules.
 
-Cascades are chains of ``left_anti`` joins from one id list, so each table is
-shuffled once on its foreign key; audits are counts computed in the same plan.
+Cascades start from one id list. When tables are written, integer ids become
+bitmaps that are broadcast up to a fixed size, so wide rows are not shuffled;
+otherwise each table is shuffled once on its foreign key by a ``left_anti`` join.
+Audits are counts.
 DQ rules split input into valid rows and quarantined rows with the reason of
 the first failing rule, in the order the product checks them.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from leadlens.functions.exprs import (LEAD_STATUS_ORDER, LEVELS, MAX_MESSAGE_CHARS, js_trim, normalize_phone, parse_int_prefix)
 from leadlens.sources.snapshots import write_snapshot, write_tables
@@ -34,18 +37,47 @@ def orphan_parents(parents: DataFrame, children: DataFrame) -> DataFrame:
     return parents.join(linked, parents.id == linked.parent_id, "left_anti")
 
 
+#: Bitmaps that a cascade broadcasts at most, each of 4 KB for 32,768 neighbouring ids: 64 MB.
+MOST_MARKS = 16_384
+
+
+def id_marks(ids: DataFrame) -> DataFrame | None:
+    """``ids`` (id) as bitmaps (_bucket, _bits), written once; None when they are no integers or so scattered that they
+    would take more than MOST_MARKS bitmaps."""
+    if not isinstance(ids.schema["id"].dataType, IntegralType):
+        return None
+    i = F.col("id").cast("long")
+    spread = ids.where(i.isNotNull()).select(F.bitmap_bucket_number(i).alias("_bucket"), F.bitmap_bit_position(i).alias("_pos"))
+    if spread.select("_bucket").distinct().count() > MOST_MARKS:
+        return None
+    # Ids are brought together first: partial bitmaps of 4 KB from each task would be far larger than they.
+    marks = spread.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_pos").alias("_bits"))
+    return write_snapshot(marks, "id_marks")
+
+
+def _split_by_ids(df: DataFrame, key: str, ids: DataFrame, marks: DataFrame | None, kept: bool) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is (``kept``: is not) among ``ids``. With ``marks`` a lookup in the broadcast bitmaps,
+    so no row of ``df`` is shuffled or sorted; else a join."""
+    if marks is None or not isinstance(df.schema[key].dataType, IntegralType):
+        return df.join(ids.select(F.col("id").alias(key)), key, "left_anti" if kept else "left_semi")
+    k = F.col(key).cast("long")
+    at = F.bitmap_bit_position(k)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    found = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    rows = df.join(F.broadcast(marks), F.bitmap_bucket_number(k) == F.col("_bucket"), "left")
+    return rows.where(~found if kept else found).select(key, *(c for c in df.columns if c != key))
+
+
 def cascade_children(children: DataFrame, sessions: DataFrame, messages: DataFrame, reports: DataFrame,
-                     gone_children: DataFrame) -> dict[str, DataFrame]:
-    """Remove children and everything hanging off them."""
-    kids = children.join(gone_children, "id", "left_anti")
-    gone_sessions = sessions.join(gone_children.select(F.col("id").alias("child_id")), "child_id", "left_semi") \
-        .select(F.col("id").alias("session_id"))
+                     gone_children: DataFrame, marks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Remove children and everything hanging off them; ``marks`` are ``id_marks`` of the children."""
+    gone_sessions = _split_by_ids(sessions, "child_id", gone_children, marks, False).select(F.col("id").alias("session_id"))
     return {
-        "children": kids,
-        "sessions": sessions.join(gone_children.select(F.col("id").alias("child_id")), "child_id", "left_anti"),
+        "children": _split_by_ids(children, "id", gone_children, marks, True),
+        "sessions": _split_by_ids(sessions, "child_id", gone_children, marks, True),
         "messages": messages.join(gone_sessions, messages.session_id.cast("string") == gone_sessions.session_id,
                                   "left_anti"),
-        "reports": reports.join(gone_children.select(F.col("id").alias("child_id")), "child_id", "left_anti"),
+        "reports": _split_by_ids(reports, "child_id", gone_children, marks, True),
     }
 
 
@@ -69,7 +101,7 @@ def retention_purge(parents, children, sessions, messages, reports, as_of: Colum
     gone = children_expired(sessions, as_of, months)
     if write:  # five rewrites use the ids: aggregate the sessions once
         gone = write_snapshot(gone, "retention_purge_ids")
-    after = cascade_children(children, sessions, messages, reports, gone)
+    after = cascade_children(children, sessions, messages, reports, gone, id_marks(gone) if write else None)
     after["parents"] = parents.join(orphan_parents(parents, after["children"]).select("id"), "id", "left_anti")
     if write:
         after = write_tables(after, "retention_purge")
@@ -90,7 +122,7 @@ def erase_parents(parents, children, sessions, messages, reports, requests: Data
                      .join(req.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id"))
     if write:
         gone_children = write_snapshot(gone_children, "erase_parents_ids")
-    after = cascade_children(children, sessions, messages, reports, gone_children)
+    after = cascade_children(children, sessions, messages, reports, gone_children, id_marks(gone_children) if write else None)
     after["parents"] = parents.join(req, "id", "left_anti")
     if write:
         after = write_tables(after, "erase_parents")

@@ -90,3 +90,38 @@ def test_a_failed_write_publishes_nothing(spark):
     assert {n: t.count() for n, t in now.items()} == {"a": 3, "b": 2}
     SN.write_tables({"a": spark.range(5), "b": spark.range(5)}, prefix)
     assert {n: t.count() for n, t in SN.published(spark, prefix).items()} == {"a": 5, "b": 5}
+
+
+def test_cascade_by_bitmaps_equals_joins_without_a_shuffle(spark, monkeypatch):
+    """Negative, large and repeated ids, null keys; scattered or non-integer ids go back to the joins."""
+    ids = [0, 1, -1, 7, 8, 32767, 32768, 32769, -32768, -32769, 2 ** 40, 2 ** 40 + 9]
+    gone = spark.createDataFrame([(i,) for i in ids[::2]] + [(1,), (1,), (None,)], "id long")
+    children = spark.createDataFrame([(i, None) for i in ids] + [(None, 5)], "id long, parent_id long")
+    sessions = spark.createDataFrame([(f"s{i}", i) for i in ids] * 2 + [("s-null", None)], "id string, child_id long")
+    messages = spark.createDataFrame([(f"s{i}", n) for n, i in enumerate(ids)], "session_id string, id long")
+    reports = spark.createDataFrame([("r", i, i) for i in [*ids, None]], "share_token string, child_id long, n long")
+    marks = G.id_marks(gone)
+    want = G.cascade_children(children, sessions, messages, reports, gone)
+    got = G.cascade_children(children, sessions, messages, reports, gone, marks)
+    for name, rows_ in got.items():
+        assert rows_.columns == want[name].columns
+        assert sorted(rows_.collect(), key=str) == sorted(want[name].collect(), key=str)
+    for name in ("children", "sessions", "reports"):
+        plan = got[name]._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+        assert "SortMergeJoin" not in plan
+    monkeypatch.setattr(G, "MOST_MARKS", 3)
+    assert G.id_marks(gone) is None and G.id_marks(gone.selectExpr("cast(id as string) as id")) is None
+
+
+def test_token_outliers_send_no_model_to_one_task(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = spark.range(200).selectExpr("cast(id as string) as id", "'m' as model",
+                                        "if(id = 7, 100000L, 10L) as input_tokens", "1L as output_tokens")
+        out = M.token_outliers(s)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert rows(out) == [("7", "m", 100001)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
