@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions.exprs import (display_phone, js_trim, mask_phone, normalize_phone,
                                       status_to_enum)
+from leadlens.sources.snapshots import write_snapshot
 
 NEW_ID_BASE = 10 ** 12  # ids of parents inserted by a batch: base + first contact id
 
@@ -95,20 +96,31 @@ def upsert_parents(parents: DataFrame, contacts: DataFrame) -> DataFrame:
     return merged.unionByName(no_phone)
 
 
-def split_submissions(contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_submissions(contacts: DataFrame, write: bool = False) -> tuple[DataFrame, DataFrame]:
     """(first, later): the first submission (ts, then id) of each child in the batch links it; later ones of the
-    same child update that family's contact instead of making another."""
+    same child update that family's contact instead of making another. With ``write`` the batch is written, parted."""
     first = contacts.groupBy("child_id").agg(F.min(_order_key()).alias("_first"))
     first = first.select(F.col("child_id").alias("_child"), F.col("_first.contact_id").alias("_contact"))
     tagged = contacts.join(first, contacts.child_id == F.col("_child"), "left")
     is_first = F.col("child_id").isNull() | (F.col("contact_id") == F.col("_contact"))
+    if write:
+        tagged = write_snapshot(tagged.withColumn("_is_first", is_first), "submissions_parted")
+        is_first = F.col("_is_first")
     return (tagged.filter(is_first).select(*contacts.columns), tagged.filter(~is_first).select(*contacts.columns))
 
 
-def submit_contacts(parents: DataFrame, children: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parents, children) after a batch of accepted submissions of still unlinked children."""
-    first, later = split_submissions(contacts)
+def submit_contacts(parents: DataFrame, children: DataFrame, contacts: DataFrame,
+                    write: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(parents, children) after a batch of accepted submissions of still unlinked children.
+
+    With ``write`` the batch and the upserted parents, which several later steps read, are each computed and written
+    once instead of once for each use."""
+    if write:
+        contacts = write_snapshot(contacts, "submissions")
+    first, later = split_submissions(contacts, write)
     upserted = upsert_parents(parents, first)
+    if write:
+        upserted = write_snapshot(upserted, "upserted_parents")
     linked = link_children(children, first, upserted)
     return update_contact(upserted, later, linked), linked
 

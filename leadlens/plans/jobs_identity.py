@@ -27,12 +27,12 @@ def standardize_contacts(t):
 
 @job("upsert_parents", spread=True)
 def upsert_parents(t):
-    return I.submit_contacts(A.parents(t), A.children(t), _unlinked_contacts(t))[0]
+    return I.submit_contacts(A.parents(t), A.children(t), _unlinked_contacts(t), write=True)[0]
 
 
 @job("link_children", spread=True)
 def link_children(t):
-    return I.submit_contacts(A.parents(t), A.children(t), _unlinked_contacts(t))[1].select("id", "parent_id")
+    return I.submit_contacts(A.parents(t), A.children(t), _unlinked_contacts(t), write=True)[1].select("id", "parent_id")
 
 
 @job("update_contact", spread=True)

@@ -155,3 +155,26 @@ def test_resubmission_of_one_child_in_a_batch(spark):
     first, second = (up[r.parent_id] for r in kids.orderBy("id").collect())
     assert (first.name, first.phone, first.email, first.marketing_consent) == ("Ota", "+998901234567", "a@b.uz", True)
     assert (second.name, second.phone, second.marketing_consent) == ("Y", None, True)
+
+
+def test_submissions_are_computed_once(spark):
+    """With ``write`` nothing after the first step computes the contacts or the upserted parents again."""
+    from datetime import datetime
+
+    t = [datetime(2024, 1, d) for d in range(1, 6)]
+    parents = spark.createDataFrame(
+        [(5, "Old", "+998901234567", None, False, "v0", t[0], "new", None, t[0])],
+        "id long, name string, phone string, email string, marketing_consent boolean, consent_text_version string, "
+        "consented_at timestamp_ntz, lead_status string, admin_notes string, created_at timestamp_ntz")
+    children = spark.createDataFrame([(1, None), (2, None), (3, 5)], "id long, parent_id long")
+    contacts = spark.createDataFrame(
+        [(10, 1, "Ona", "+998901234567", None, False, "v1", t[0]), (11, 1, "Ota", "+998907654321", "a@b.uz", True, "v2", t[1]),
+         (12, 2, "X", None, None, False, "v1", t[2]), (12, 2, "X", None, None, False, "v1", t[2]),
+         (13, None, "Y", None, None, True, "v1", t[3])],
+        "contact_id long, child_id long, parent_name string, phone string, email string, marketing boolean, "
+        "consent_version string, ts timestamp_ntz").withColumn("parent_name", F.reverse(F.reverse("parent_name")))
+    want, got = I.submit_contacts(parents, children, contacts), I.submit_contacts(parents, children, contacts, write=True)
+    for a, b in zip(want, got):
+        assert a.columns == b.columns and sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (want[0], *got)]
+    assert ["reverse(" in p for p in plans] == [True, False, False]
