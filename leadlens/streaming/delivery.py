@@ -64,6 +64,10 @@ def join_streams(updates: DataFrame, reports: DataFrame, lateness: str, age: str
         "update_id", "chat_id", "token", F.col("r_session").alias("session_id"), F.col("r_token").isNotNull().alias("found"), "ts")
 
 
+def _earliest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("token").agg(F.min("ts").alias("ts"))
+
+
 OUTCOME_SCHEMA = "update_id long, chat_id long, token string, session_id string, found boolean, ts timestamp_ntz"
 
 
@@ -98,8 +102,7 @@ def match_streams(spark: SparkSession, d: str, updates_schema, reports_schema, l
         at = S.batch_path(f"{d}/outcomes", batch_id)
         batch.write.mode("overwrite").partitionBy("found").parquet(at)  # once: the join's state is not worked on twice
         held = spark.read.schema(OUTCOME_SCHEMA).parquet(at)
-        keyed.upsert(held.where("found").groupBy("token").agg(F.min("ts").alias("ts")), "token", f"{d}/delivered", batch_id,
-                     merge=lambda rows: rows.groupBy("token").agg(F.min("ts").alias("ts")))
+        keyed.upsert(_earliest(held.where("found")), "token", f"{d}/delivered", batch_id, merge=_earliest)
 
     S.run_foreach_batch(join_streams(parsed.where("token is not null and ts is not null"), reports, lateness),
                         outcomes, f"{d}/join-checkpoint")
@@ -124,9 +127,9 @@ def outcomes(spark: SparkSession, d: str, reports: DataFrame, joined_too: bool =
 def first_deliveries(spark: SparkSession, d: str, reports: DataFrame) -> DataFrame:
     """(token, ts): the first delivery per token. Matched updates come from the keyed table, which each batch kept up to
     date; of the others only those that the lookup finds are grouped."""
-    kept = keyed.table(spark, f"{d}/delivered", "token string, ts timestamp_ntz")
+    kept = keyed.table(spark, f"{d}/delivered", "token string, ts timestamp_ntz", "token", _earliest)
     late = outcomes(spark, d, reports, joined_too=False).where("found").select("token", "ts")
-    return kept.unionByName(late).groupBy("token").agg(F.min("ts").alias("ts"))
+    return _earliest(kept.unionByName(late))
 
 
 def run_matching(spark: SparkSession, name: str, updates: DataFrame, reports: DataFrame) -> str:

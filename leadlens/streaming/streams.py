@@ -18,6 +18,7 @@ overwrites its own folders in all of them.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,19 @@ from leadlens.session import checkpoint_root
 from leadlens.sources import keyed
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with these settings; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run of one stream job (never reused, never deleted)."""
     return f"{checkpoint_root(spark)}/streams/{name}/{uuid.uuid4().hex}"
@@ -195,14 +209,14 @@ def session_state_stream(spark: SparkSession, turns: DataFrame, run: str | None
     """Running counters per session: a streaming aggregation in update mode, whose totals live in the state store.
 
     Each micro-batch sends on only the sessions it changed, with their totals, which replace the old rows of the keyed
-    table; what a batch reads depends on its own sessions, not on the batches before it. ``run`` resumes a run folder."""
+    table; what a batch reads and writes depends on its own sessions, not on the batches before it. ``run`` resumes a run folder."""
     d = run or run_dir(spark, "stream_session_state")
     if run is None:
         stage(turns, f"{d}/landing")
     totals = session_state(read_landing(spark, f"{d}/landing", turns.schema))
     run_foreach_batch(totals, lambda batch, batch_id: keyed.upsert(batch, "session_id", f"{d}/table", batch_id),
                       f"{d}/checkpoint", "update")
-    return keyed.table(spark, f"{d}/table", totals.schema)
+    return keyed.table(spark, f"{d}/table", totals.schema, "session_id")
 
 
 #: Days of the tumbling windows. Longer ones are whole numbers of the shortest, so a row late for it is late for none before.

@@ -136,6 +136,23 @@ def test_session_batches_read_their_own_buckets(spark):
     assert keyed.table(spark, root, "k long, v long").where("k = 1").first().v == 5
 
 
+def test_upsert_writes_its_own_rows_and_merges_parts_in_time(spark, monkeypatch):
+    """A batch writes no row of other keys until a bucket has too many parts; then one rewrite puts them together."""
+    monkeypatch.setattr(keyed, "MOST_PARTS", 3)
+    frame = lambda *r: spark.createDataFrame(list(r), "k long, v long")
+    for merge in (None, lambda rows: rows.groupBy("k").agg(F.min("v").alias("v"))):
+        root = S.run_dir(spark, "keyed_parts_test")
+        keyed.upsert(frame(*((i, i) for i in range(50)), (None, 3)), "k", root, 0, buckets=2, merge=merge)
+        for b in range(1, 6):
+            for _ in range(1 + (b == 4)):  # replayed
+                keyed.upsert(frame((1, 10 - b), (None, None if b == 5 else b)), "k", root, b, buckets=2, merge=merge)
+            assert spark.read.parquet(f"{root}/data/v={b}").count() == 2
+            assert max(map(len, keyed._manifest(spark, root).values())) <= 3
+        got = dict(map(tuple, keyed.table(spark, root, "k long, v long", "k", merge).collect()))
+        want = {i: i for i in range(50)} | ({1: 1, None: 1} if merge else {1: 5, None: None})
+        assert got == want and keyed.table(spark, root, "k long, v long", "k", merge).count() == 51
+
+
 T0 = datetime(2024, 1, 1)
 REPORTS = "share_token string, session_id string, created_at timestamp_ntz"
 
