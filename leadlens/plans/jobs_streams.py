@@ -80,7 +80,8 @@ def ingest_delivery_updates(t):
 def _matched(t, name):
     """(run folder, reports) of updates and reports joined as streams."""
     reports = A.reports(t).select("share_token", "session_id", "created_at")
-    return D.run_matching(t.spark, name, A.delivery_updates(t), reports), reports
+    d = D.run_matching(t.spark, name, A.delivery_updates(t), reports)
+    return d, D.staged_reports(t.spark, d, reports.schema)
 
 
 @job("webhook_match", spread=True)

@@ -90,8 +90,10 @@ def reply_streams(spark: SparkSession, d: str, updates_schema) -> None:
                         f"{d}/replies-checkpoint")
 
 
-def match_streams(spark: SparkSession, d: str, updates_schema, reports_schema, lateness: str) -> None:
-    """One run of the join over the landed updates and reports of a run folder, from its checkpoint.
+def match_streams(spark: SparkSession, d: str, updates_schema, reports_schema, lateness: str, last: bool = True) -> None:
+    """One run of the join over the landed updates and reports of a run folder, from its checkpoint. A run that is not the
+    ``last`` leaves it to the next one's first batch to send on what the watermark has passed since, instead of going
+    through the whole state once more for that.
 
     Per micro-batch: updates with and without a report each in their own sink (``outcomes``, by ``found``), and the
     first delivery time per token in the keyed table ``delivered``."""
@@ -104,8 +106,9 @@ def match_streams(spark: SparkSession, d: str, updates_schema, reports_schema, l
         held = spark.read.schema(OUTCOME_SCHEMA).parquet(at)
         keyed.upsert(_earliest(held.where("found")), "token", f"{d}/delivered", batch_id, merge=_earliest)
 
-    S.run_foreach_batch(join_streams(parsed.where("token is not null and ts is not null"), reports, lateness),
-                        outcomes, f"{d}/join-checkpoint")
+    with S.settings(spark, {"spark.sql.streaming.noDataMicroBatches.enabled": str(last).lower()}):
+        S.run_foreach_batch(join_streams(parsed.where("token is not null and ts is not null"), reports, lateness),
+                            outcomes, f"{d}/join-checkpoint")
 
 
 def outcomes(spark: SparkSession, d: str, reports: DataFrame, joined_too: bool = True) -> DataFrame:
@@ -132,20 +135,31 @@ def first_deliveries(spark: SparkSession, d: str, reports: DataFrame) -> DataFra
     return _earliest(kept.unionByName(late))
 
 
+def staged_reports(spark: SparkSession, d: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{d}/staged/reports")
+
+
 def run_matching(spark: SparkSession, name: str, updates: DataFrame, reports: DataFrame) -> str:
     """Land updates and reports in slices of time, every tenth report a slice after its time, and run the streams after
-    each slice; clock ticks on both sides end the run. Returns the run folder."""
+    each slice; clock ticks on both sides end the run. Returns the run folder.
+
+    Both tables are written once (``staged_reports``) and the slices and their bounds taken from there, so the tables are
+    not built anew for each of them."""
     d = S.run_dir(spark, name)
     when = F.timestamp_seconds(F.get_json_object("update_json", "$.message.date").cast("long")).cast("timestamp_ntz")
-    u_slice = S.time_slice(updates.withColumn("ts", when), "ts")
     timed = updates.withColumn("ts", when)
+    timed.write.parquet(f"{d}/staged/updates")
+    reports.write.parquet(f"{d}/staged/reports")
+    timed = spark.read.schema(timed.schema).parquet(f"{d}/staged/updates")
+    reports = staged_reports(spark, d, reports.schema)
+    u_slice = S.time_slice(timed, "ts")
     delayed = F.when(F.pmod(F.xxhash64("share_token"), F.lit(10)) == 0, 1).otherwise(0)
     r_slice = F.least(S.time_slice(reports, "created_at") + delayed, F.lit(S.SLICES - 1))
     span = max(S.span_seconds(timed, "ts"), S.span_seconds(reports, "created_at"))
     lateness = f"{2 * (span // S.SLICES + 1)} seconds"
 
-    def run() -> None:
-        match_streams(spark, d, updates.schema, reports.schema, lateness)
+    def run(last: bool = False) -> None:
+        match_streams(spark, d, updates.schema, reports.schema, lateness, last)
 
     for k in range(S.SLICES):
         timed.where(u_slice == k).drop("ts").write.parquet(f"{d}/updates/f{k}")
@@ -162,6 +176,6 @@ def run_matching(spark: SparkSession, name: str, updates: DataFrame, reports: Da
         F.col(f.name) if f.name == "created_at" else F.lit("--" if f.name == "share_token" else None).cast(f.dataType).alias(f.name)
         for f in reports.schema)) \
         .write.parquet(f"{d}/reports/tick")
-    run()
+    run(last=True)
     reply_streams(spark, d, updates.schema)
     return d

@@ -190,6 +190,25 @@ def test_reports_that_land_after_their_update_are_matched(spark):
     assert first == {"late": T0 + 39 * day, "old": T0 + 41 * day}
 
 
+def test_matching_builds_its_tables_once(spark):
+    """However many slices, the rows of both tables are made once."""
+    seen = spark.sparkContext.accumulator(0)
+    u = [update(i, f"/start t{i}", T0 + timedelta(days=i))[0] for i in range(6)]
+    r = [(f"t{i}", f"s{i}", T0 + timedelta(days=i)) for i in range(6)]
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    updates = spark.createDataFrame([(x,) for x in u], "update_json string").mapInPandas(counted, "update_json string")
+    reports = spark.createDataFrame(r, REPORTS).mapInPandas(counted, REPORTS)
+    d = D.run_matching(spark, "once_test", updates, reports)
+    assert seen.value == 12
+    got = D.outcomes(spark, d, D.staged_reports(spark, d, reports.schema)).where("update_id is not null").collect()
+    assert {x.update_id: x.session_id for x in got} == {i: f"s{i}" for i in range(6)}
+
+
 def test_ingest_from_json_landing(spark):
     from types import SimpleNamespace
 
