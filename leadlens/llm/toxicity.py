@@ -172,7 +172,8 @@ def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 
 
 def _bag(text: str) -> tuple | None:
-    """Tokens and at most BAG evenly spaced windows of a training text."""
+    """Tokens and at most BAG evenly spaced windows of a training text, in types no wider than they need: the driver
+    holds them for all rows of the sample."""
     words, grams, first = tokens(text)
     if not len(words):
         return None
@@ -180,7 +181,8 @@ def _bag(text: str) -> tuple | None:
     if len(starts) > BAG:
         starts = starts[np.linspace(0, len(starts) - 1, BAG).astype(int)]
     index = starts[:, None] + np.arange(WINDOW)
-    return words, grams, first, np.where(index < len(words), index, -1)
+    return (words.astype(np.uint16), grams.astype(np.uint16), first.astype(np.int32),
+            np.where(index < len(words), index, -1).astype(np.int32))
 
 
 def _join(bags: list[tuple]) -> tuple:
@@ -200,6 +202,7 @@ def _input_gates(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(rows: list[tuple[int, str]], share: float, seed: int = SEED) -> dict[str, np.ndarray]:
     """Train on (label, text) rows; ``share`` is label 1's share of all labelled rows, for the calibration."""
     bags = [(int(y), b) for y, text in rows if (b := _bag(text)) is not None]
+    del rows  # the texts are not held while training
     model = new_model(seed)
     labels = {y for y, _ in bags}
     if labels != {0, 1}:

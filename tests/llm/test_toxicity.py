@@ -94,3 +94,12 @@ def test_nothing_to_learn_from(spark):
     clean = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert [r.predicted for r in T.toxicity(table, clean).collect()] == [0, 0]
     assert T.toxicity(docs(spark), none).count() == 0
+
+
+def test_training_bags_are_held_in_narrow_types():
+    """The driver holds the tokens of the whole sample: a few bytes a character, not eight for each trigram."""
+    text = " ".join(f"word{i}" for i in range(1000))
+    bag = T._bag(text)
+    assert sum(a.nbytes for a in bag[:3]) < 4 * len(text)
+    wide = T.tokens(text)
+    assert all((a == b).all() for a, b in zip(bag[:3], wide))
