@@ -31,7 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Later occurrences of three-line windows go; n_chars follows, and texts of which nothing is left go."""
     out = line_dedup.dedup_lines(docs, removed_col="lines_gone")
     gone = out.columns[-1]
-    out = out.where((F.col(gone) == 0) | (F.translate("text", " \t\n\r\x0b\x0c", "") != ""))
+    out = out.where((F.col(gone) == 0) | (F.ltrim("text", F.lit(" \t\n\r\x0b\x0c")) != ""))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col(gone) > 0, length).otherwise(F.col("n_chars")))
